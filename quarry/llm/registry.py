@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm.common import table
 
-BPE = "byte_bpe_50k.json"
+BPE, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.path(BPE), SPECIAL)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_harmonic_packing": op7_harmonic_packing,
         "op10_token_counts": op10_token_counts,
     }
 
