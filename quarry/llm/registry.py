@@ -12,6 +12,12 @@ from quarry.llm.common import table
 BPE, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality_rules import line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import packed
 
@@ -27,10 +33,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_frequency": op3_line_frequency,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quarry.llm import quality_rules
+
+    return {
+        "op3_line_frequency": quality_rules.ORACLE,
+    }
