@@ -25,6 +25,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import packed
 
@@ -42,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_frequency": op3_line_frequency,
         "op4_url_filters": op4_url_filters,
+        "op6_personal_data": op6_personal_data,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op10_token_counts": op10_token_counts,
     }
