@@ -37,6 +37,12 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.path(BPE), SPECIAL)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_counts import token_counts
 
@@ -50,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": op4_url_filters,
         "op6_personal_data": op6_personal_data,
         "op7_harmonic_packing": op7_harmonic_packing,
+        "op8_toxicity": op8_toxicity,
         "op10_token_counts": op10_token_counts,
     }
 
