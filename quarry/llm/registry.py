@@ -13,6 +13,12 @@ BPE, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", {"<|endoftex
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import line_quality
 
@@ -52,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_neighbours": op1_nearest_neighbours,
         "op3_line_frequency": op3_line_frequency,
         "op4_url_filters": op4_url_filters,
         "op6_personal_data": op6_personal_data,
@@ -62,8 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.llm import quality_rules
+    from quarry.llm import neighbours, quality_rules
 
     return {
+        "op1_nearest_neighbours": neighbours.ORACLE,
         "op3_line_frequency": quality_rules.ORACLE,
     }
