@@ -19,6 +19,18 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+#: Of the mixing query: even and odd sources are two domains, English weighs less than its bulk.
+MIX = {("even",): 2, ("odd",): 3, ("even", "en"): 2, ("odd", "en"): 2, ("even", "en", "src0"): 3}
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mixed
+
+    docs = table(spark, sf_dir, "documents")
+    domain = F.when(F.coalesce("source", F.lit("?")).rlike("[02468]$"), "even").otherwise("odd")
+    return mixed(docs, MIX, share=0.8, epochs=2, seed=1, domain=domain)
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import line_quality
 
@@ -59,6 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
+        "op2_source_mixing": op2_source_mixing,
         "op3_line_frequency": op3_line_frequency,
         "op4_url_filters": op4_url_filters,
         "op6_personal_data": op6_personal_data,
@@ -69,9 +82,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.llm import neighbours, quality_rules
+    from quarry.llm import mixing, neighbours, quality_rules
+
+    weight = """CASE WHEN lang IS NULL THEN CASE domain WHEN 'even' THEN 2 ELSE 3 END
+        WHEN source IS NULL THEN CASE lang WHEN 'en' THEN 2 ELSE 1 END
+        WHEN domain = 'even' AND lang = 'en' AND source = 'src0' THEN 3 ELSE 1 END"""
+    domain = "CASE WHEN regexp_matches(coalesce(source, '?'), '[02468]$') THEN 'even' ELSE 'odd' END"
 
     return {
         "op1_nearest_neighbours": neighbours.ORACLE,
+        "op2_source_mixing": mixing.oracle(domain, weight, 0.8, 2, 1),
         "op3_line_frequency": quality_rules.ORACLE,
     }
