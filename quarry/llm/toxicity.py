@@ -29,7 +29,7 @@ from quarry.llm.common import pieces
 WORDS = ["bastard", "clown", "disgusting", "dumb", "fool", "freak", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
 TOKEN = re.compile(r"[^\W\d_]+")
 PATTERNS = [re.compile(p) for p in (r"!!", r"\b[A-Z]{4,}\b", r"\*\*\*|%%%|\$\$\$", r"(?i)\byou\b", r"\?\?|\?!")]
-BITS = 22
+BITS = 20
 LEADS = (4, 5, 6, 7)
 
 
@@ -127,9 +127,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, list[int], int, int]], voters:
     """rows: feature codes, their counts, pattern counts, words, mark."""
     marks = np.array([r[4] for r in rows], np.float64)
     spoken = {code(w): None for w in WORDS}
-    sizes = [np.bincount(np.concatenate([r[0] for r in rows if r[4] == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for c in (0, 1)]
+    sizes = np.zeros((2, 1 << BITS))
+    for r in rows:
+        sizes[r[4], np.unique(r[0])] += 1
     good, bad = (marks == 0).sum(), (marks == 1).sum()
-    n1, n0 = sizes[1].astype(np.float64), sizes[0].astype(np.float64)
+    n0, n1 = sizes
     base = bad / max(good + bad, 1)
     part = n1 / np.maximum(n1 + n0, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -191,10 +193,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int,
     kind = docs.schema["id"].dataType.simpleString()
     found = texts.mapInArrow(run, f"id {kind}, codes binary, counts binary, patterns array<int>, words int, mark int").collect()
     found.sort(key=lambda r: (r[0], r[1]))
-    return [(np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<u2").astype(np.int64), list(r[3]), r[4], r[5]) for r in found]
+    return [(np.frombuffer(r[1], "<u4"), np.frombuffer(r[2], "<u2"), list(r[3]), r[4], r[5]) for r in found]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 12_000, longest: int = 32_768, voters: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, longest: int = 16_384, voters: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1) and predicted (score >= threshold).
 
     The fit reads labelled rows whose crc32(id as text) mod 3 is not 1: ``sample``
