@@ -43,6 +43,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.personal_data import personal_data
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_line_frequency": op3_line_frequency,
         "op4_url_filters": op4_url_filters,
+        "op5_repeated_passages": op5_repeated_passages,
         "op6_personal_data": op6_personal_data,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_toxicity": op8_toxicity,
