@@ -67,6 +67,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_counts import token_counts
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_personal_data": op6_personal_data,
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_toxicity": op8_toxicity,
+        "op9_ngram_join": op9_ngram_join,
         "op10_token_counts": op10_token_counts,
     }
 
