@@ -20,9 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.llm.common import written
 from quarry.llm.quality_rules import words_of
 
 LEVELS = ["domain", "lang", "source"]
+FEW = 200_000  #: leaves, of about 100 bytes, that a worker may be sent
 RANGES = 3  #: hex digits of the hash that name a range
 
 
@@ -47,11 +49,11 @@ def hash_of(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key).cast("binary"))
 
 
-def mixed(
+def chosen(
     df: DataFrame, weights: dict[tuple[str, ...], int], share: float, epochs: int, seed: int = 1, tokens: Column | None = None, domain: Column | None = None,
     id_column: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
 ) -> DataFrame:
-    """The documents chosen, one row per document and epoch: key, domain, lang, source, n_tokens, epoch.
+    """The rows chosen, one per document and epoch: domain, lang, source, n_tokens, epoch, and ``row`` with all columns of ``df``.
 
     weights: whole numbers by path, (domain,), (domain, lang) or (domain, lang,
     source); a path without one weighs 1. share: the budget as a part of all
@@ -61,15 +63,17 @@ def mixed(
     chosen; a null id is the key ``?``. Repeated rows are documents of their own
     with equal hashes, ordered among themselves by nothing: they stand or fall
     together, as a prefix ends before the first key that doesn't fit. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns ride along unread.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     body = F.coalesce(df[text], F.lit(""))
     docs = df.select(
-        df[id_column].alias("id"), name(df[id_column]).alias("key"), name(domain if domain is not None else F.lit("web")).alias("domain"),
+        F.struct(*[df[c] for c in df.columns]).alias("row"), name(df[id_column]).alias("key"), name(domain if domain is not None else F.lit("web")).alias("domain"),
         name(df[lang]).alias("lang"), name(df[source]).alias("source"), (tokens if tokens is not None else F.size(words_of(body))).cast("long").alias("n_tokens"),
     ).where("n_tokens > 0")
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("held")).withColumn("capacity", F.col("held") * epochs)
+    # each document's place in the tree, without its text: what budgets and prefix sums read
+    slim = written(docs.select("key", *LEVELS, "n_tokens"))
+    leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("held")).withColumn("capacity", F.col("held") * epochs)
     plan = None
     for depth in (1, 2, 3):
         at = LEVELS[:depth]
@@ -83,21 +87,29 @@ def mixed(
         else:
             nodes = nodes.join(plan.select(*at[:-1], F.col("budget").alias("above")), at[:-1])
         plan = shared(nodes, at[:-1])
-    leaf = plan.select(*LEVELS, "budget", "held", F.floor(F.col("budget") / F.col("held")).cast("int").alias("whole"))
-    leaf = leaf.withColumn("left", F.col("budget") - F.col("whole") * F.col("held"))
-    planned = docs.join(leaf, LEVELS)
-    again = planned.where("whole > 0").select("id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("epoch"))
-    # the epoch begun: ranges of the hash, then documents within the range where the budget ends
-    begun = planned.where("left > 0").withColumn("epoch", F.col("whole") + 1).withColumn("hash", hash_of(seed, F.col("epoch"), F.col("key")))
-    begun = begun.withColumn("range", F.substring("hash", 1, RANGES)).drop("whole", "budget", "held")
+    leaf = plan.select(*LEVELS, "held", F.floor(F.col("budget") / F.col("held")).cast("int").alias("whole"), "budget")
+    leaf = written(leaf.select(*LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("held")).alias("left")))
+    few = leaf.count() <= FEW
+    near = lambda t: F.broadcast(t) if few else t
+    # the epoch begun: sums by range of the hash, then by document in the one range where the budget ends
+    placed = lambda t: t.withColumn("hash", hash_of(seed, F.col("whole") + 1, F.col("key"))).withColumn("range", F.substring("hash", 1, RANGES))
+    begun = placed(slim.join(near(leaf.where("left > 0")), LEVELS))
     run = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = begun.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"))
-    ranges = ranges.select(*LEVELS, "range", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("so_far"), "n")
-    within = begun.join(ranges, [*LEVELS, "range"]).where("so_far < left")
-    sure = within.where("so_far + n <= left")
-    edge = within.where("so_far + n > left").withColumn("upto", F.col("so_far") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("hash")))
-    prefix = sure.select("id", *LEVELS, "n_tokens", "epoch").unionByName(edge.where("upto <= left").select("id", *LEVELS, "n_tokens", "epoch"))
-    return again.unionByName(prefix).withColumnRenamed("id", id_column)
+    ranges = begun.groupBy(*LEVELS, "range", "left").agg(F.sum("n_tokens").alias("n")).withColumn("so_far", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    ends = written(ranges.where("so_far <= left and so_far + n > left").select(*LEVELS, F.col("range").alias("end"), "so_far"))
+    upto = F.col("so_far") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("hash"))
+    edge = begun.join(near(ends), LEVELS).where("range = end").withColumn("upto", upto).where("upto <= left").groupBy(*LEVELS).agg(F.max("hash").alias("last"))
+    bounds = written(leaf.join(ends, LEVELS, "left").join(edge, LEVELS, "left").drop("so_far"))
+    # a document is in the prefix up to its leaf's last hash, or below the range where nothing of it fits
+    full = placed(docs.join(near(bounds), LEVELS))
+    inside = (F.col("left") > 0) & F.when(F.col("last").isNotNull(), F.col("hash") <= F.col("last")).when(F.col("end").isNotNull(), F.col("range") < F.col("end")).otherwise(True)
+    times = F.col("whole") + F.when(inside, 1).otherwise(0)
+    return full.withColumn("times", times).where("times > 0").select(*LEVELS, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), "row")
+
+
+def mixed(df: DataFrame, weights: dict[tuple[str, ...], int], share: float, epochs: int, id_column: str = "doc_id", **more) -> DataFrame:
+    """Ids chosen by :func:`chosen`: id, domain, lang, source, n_tokens, epoch."""
+    return chosen(df, weights, share, epochs, id_column=id_column, **more).select(F.col("row")[id_column].alias(id_column), *LEVELS, "n_tokens", "epoch")
 
 
 def level_sql(name: str, source: str, parent: str, keys: str) -> str:

@@ -325,6 +325,32 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
     return texts.select("tid", "key", "first", "copies", F.col("n").alias("n_shingles")), edges
 
 
+def components_of_texts(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, first, n_shingles, c) of the distinct texts of ``rows`` (id, text): c names a text's component."""
+    groups = grouped(rows, 1)
+    texts, edges = links(groups.table, slices(groups.n_bytes, 1.2), n, percent, slices(groups.n_bytes, 0.5))
+    linked = components(edges).select(F.col("node").alias("tid"), "component")
+    held = written(texts.join(linked, "tid", "left").select("key", "first", "n_shingles", F.coalesce("component", "tid").alias("c")))
+    groups.drop()
+    return held
+
+
+def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of every component.
+
+    It is the one with the smallest id (without any id: one of the smallest
+    text key). Texts without words, null ones too, link with nothing and stay.
+    """
+    body = F.coalesce(docs[text], F.lit(""))
+    held = components_of_texts(docs.select(docs[id_column].cast("long").alias("id"), body.alias("text")), n, percent).where("n_shingles > 0")
+    chosen = held.groupBy("c").agg(F.min(F.struct((F.col("first") == NO_ID).alias("none"), "first", "key")).alias("x"))
+    chosen = chosen.select(F.col("x.key").alias("__key"), F.when(~F.col("x.none"), F.col("x.first")).alias("__first"))
+    wordless = ~body.rlike("[^\\x20\\x09-\\x0D]")
+    worded = docs.where(~wordless).withColumn("__key", key_of(body))
+    kept = worded.join(chosen, (worded["__key"] == chosen["__key"]) & docs[id_column].cast("long").eqNullSafe(chosen["__first"]), "left_semi")
+    return kept.dropDuplicates(["__key", id_column]).drop("__key").unionByName(docs.where(wordless))
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id that links reach).
 
@@ -336,15 +362,9 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_column:
     copies are one text. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(docs[id_column].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    groups = grouped(rows, 1)
-    partitions = slices(groups.n_bytes, 0.5)
-    texts, edges = links(groups.table, slices(groups.n_bytes, 1.2), n, percent, partitions)
-    # the smallest id of a text stands for it from here on
-    linked = components(edges).select(F.col("node").alias("tid"), "component")
-    held = texts.join(linked, "tid", "left").withColumn("c", F.coalesce("component", "tid"))
+    held = components_of_texts(rows, n, percent)
     named = held.groupBy("c").agg(F.min(F.when(F.col("first") != NO_ID, F.col("first"))).alias("component_id"))
-    result = written(held.join(named, "c").select("key", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"))
-    groups.drop()
+    result = held.join(named, "c").select("key", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
     keyed = rows.select("id", key_of(F.col("text")).alias("key"))
     found = keyed.join(result, "key", "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
     return found.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -265,3 +265,25 @@ def personal_data(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     picked = df.select(df[id_column].alias("id"), df[text].alias("text"))
     schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def without_personal_data(df: DataFrame, text: str = "text", length: str | None = "n_chars", precision: float = PRECISION) -> DataFrame:
+    """The rows of ``df``, all columns, with every span of ``text`` replaced by its kind in brackets.
+
+    length: a column that is set to the new number of code points where a text
+    changed, if ``df`` has it. Null texts stay null.
+    """
+    model = judge(precision)
+
+    def run(batches):
+        for batch in pieces(batches, text):
+            at = batch.schema.get_field_index(text)
+            before = batch.column(at).to_pylist()
+            after = [t if not t or not (spans := all_spans(t, base_spans(t), model)) else redacted(t, spans) for t in before]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(after, batch.schema.field(at).type))
+            if (k := batch.schema.get_field_index(length or "")) >= 0:
+                sizes = [n if a is b else len(b) for n, a, b in zip(batch.column(k).to_pylist(), before, after)]
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(sizes, batch.schema.field(k).type))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)

@@ -80,6 +80,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_harmonic_packing": op7_harmonic_packing,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
+        "pipeline": pipeline,
         "op10_token_counts": op10_token_counts,
     }
 

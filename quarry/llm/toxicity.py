@@ -220,3 +220,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     kind = docs.schema[id_column].dataType.simpleString()
     held = (F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")) % 3 == 1).alias("held_out")
     return picked.select("id", held, "text").mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_column)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, longest: int = 16_384, voters: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; nothing moves.
+
+    Fitted and scored as in :func:`toxicity`; null and empty texts stay.
+    """
+    picked = docs.select(docs[id_column].alias("id"), docs[text].alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(picked, labels, sample, longest, 8), voters))
+
+    def run(batches):
+        seen: dict[str, tuple[int, ...]] = {}
+        for batch in pieces(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array([sent.value.score(t or "", seen) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
