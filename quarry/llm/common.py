@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import uuid
 
 import numpy as np
@@ -55,6 +54,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``key``: always the same ones of a table.
+
+    A hash of its own first thins larger tables to about 2n rows, so that what
+    tasks send to where the n are picked does not grow with the table.
+    """
+    total = native_count(df)
+    if total > 4 * n:
+        df = df.where(F.pmod(F.xxhash64(key, F.lit(77)), F.lit(1 << 40)) < int((1 << 40) * 2 * n / total))
+    return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def text_buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,7 +96,3 @@ def pieces(batches, column: str, most: int = 8 << 20):
 
 def native_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]
-
-
-def cpus(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, os.cpu_count() or 1)

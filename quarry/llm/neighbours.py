@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import drawn, written
 
 DIMENSIONS, LEVELS = 6, 8
 GROUPS = 4096
@@ -134,12 +134,12 @@ def distinct_vectors(df: DataFrame, is_query: Column, k: int) -> DataFrame:
                 of = held.setdefault(part.astype("<f8").tobytes(), [[], False])
                 of[0].append(i)
                 of[1] |= q
-            rows = [(p, sorted(ids)[:k], q) for p, (ids, q) in held.items()]
+            rows = [(p, sorted(set(ids))[:k], q) for p, (ids, q) in held.items()]
             a, b, c = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.list_(pa.int64())), pa.array(c, pa.bool_())], ["packed", "ids", "asked"])
 
     packed = usable.select("id", F.col("vector").cast("array<double>"), is_query.alias("asked")).mapInArrow(pack, "packed binary, ids array<long>, asked boolean")
-    merged = packed.groupBy("packed").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k).alias("ids"), F.max("asked").alias("asked"))
+    merged = packed.groupBy("packed").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k).alias("ids"), F.max("asked").alias("asked"))
     return merged.select("packed", F.element_at("ids", 1).alias("vid"), "ids", "asked")
 
 
@@ -268,8 +268,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, curves: int = 4, sampl
     n, asked = vectors.agg(F.count("vid"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = [r[0] for r in vectors.orderBy(F.xxhash64("vid")).select("packed").limit(sample).collect()]
-    order = Curves(np.frombuffer(b"".join(drawn), "<f8").reshape(len(drawn), -1), curves)
+    fitted = [r[0] for r in drawn(vectors.select("vid", "packed"), "vid", sample).select("packed").collect()]
+    order = Curves(np.frombuffer(b"".join(fitted), "<f8").reshape(len(fitted), -1), curves)
     parts = max(1, min(4096, curves * n // (16 * block) + 1))
     first = written(top(windows(vectors, order, curves, many, block, parts), many))
     floors = first.select("qvid", F.when(F.size("near") >= many, -F.element_at("near", many)["far"]).otherwise(float("-inf")).alias("floor"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import pieces
+from quarry.llm.common import drawn, pieces
 
 #: Words that vote whatever the sample says.
 WORDS = ["bastard", "clown", "disgusting", "dumb", "fool", "freak", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -147,8 +147,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, list[int], int, int]], voters:
         votes[k, v[v >= 0]] = 1
     posterior, rates, shared = label_model(votes, marks) if len(rows) else (marks, np.zeros((1, 2)), np.ones(1))
     # a word counts once though its beginnings vote beside it: totals come with the rows
-    x = np.array([dense(int(_tokens(r, table)), r[3], r[2]) for r in rows]).reshape(len(rows), -1)
     width = len(dense(0, 1, [0] * len(PATTERNS)))
+    x = np.array([dense(int(_tokens(r, table)), r[3], r[2]) for r in rows]).reshape(len(rows), width)
     prior = np.zeros(width + len(lexicon))
     prior[[0, 1, 2]] = [-4.0, 1.0, 6.0]
     if 0 < marks.sum() < len(marks):
@@ -171,8 +171,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int,
     picked = (
         labels.select(labels["doc_id"].alias("id"), labels["toxic"].cast("int").alias("mark"))
         .where("id is not null and mark is not null and crc32(encode(cast(id as string), 'UTF-8')) % 3 <> 1")
-        .groupBy("id").agg(F.max("mark").alias("mark")).orderBy(F.xxhash64("id"), "id").limit(sample)
+        .groupBy("id").agg(F.max("mark").alias("mark"))
     )
+    picked = drawn(picked, "id", sample)
     texts = docs.where(F.octet_length("text") <= longest).join(F.broadcast(picked), "id").select("id", "text", "mark").repartition(parts)
 
     def run(batches):
