@@ -158,8 +158,8 @@ class Trie:
         self.kid_at = np.r_[0, np.cumsum(self.kids)[:-1]]
         self.short = np.minimum.reduceat(np.r_[self.size, 1 << 60], np.stack([self.lo, self.hi], 1).ravel())[::2] if len(ranked) else np.zeros(1)
         self.long = np.maximum.reduceat(np.r_[self.size, 0], np.stack([self.lo, self.hi], 1).ravel())[::2] if len(ranked) else np.zeros(1)
-        self.is_leaf = np.r_[False, np.array([len(ks) == 0 for ks in kids])[1:]]
-        self.ends = self.depth == self.size[np.minimum(self.lo, max(len(ranked) - 1, 0))] if len(ranked) else self.is_leaf
+        # a set may end where a longer one goes on
+        self.ends = self.depth == self.size[self.lo] if len(ranked) else np.zeros(1, bool)
 
     def linked(self, probe: np.ndarray, mark: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
         """Places (in order) of wanted sets that link to the probe; mark: a scratch array over ranks, False."""
@@ -189,11 +189,12 @@ class Trie:
             best = over + np.minimum(rest, self.long[node] - self.depth[node])
             alive = best >= needed(n, self.short[node], percent)
             node, over = node[alive], over[alive]
-            leaf = self.is_leaf[node]
-            place = self.lo[node[leaf]]
+            whole = self.ends[node]
+            place = self.lo[node[whole]]
             size = self.size[place]
-            found.append(place[(over[leaf] >= needed(n, size, percent)) & wanted[place]])
-            node, over = node[~leaf], over[~leaf]
+            found.append(place[(over[whole] >= needed(n, size, percent)) & wanted[place]])
+            deeper = self.kids[node] > 0
+            node, over = node[deeper], over[deeper]
         mark[probe] = False
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
