@@ -57,8 +57,8 @@ def variants(runs: DataFrame) -> DataFrame:
 
 def comparison(runs: DataFrame, arm: str, value: str) -> DataFrame:
     """Two arms side by side: sizes, means, difference and Welch's t."""
-    s = runs.groupBy().pivot(arm, ["control", "treatment"]).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    spread = F.sqrt(F.col("control_var") / F.col("control_n") + F.col("treatment_var") / F.col("treatment_n"))
+    s = runs.groupBy().pivot(arm, ["control", "treatment"]).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var")).na.fill(0, ["control_n", "treatment_n"])
+    spread = F.sqrt(F.col("control_var") / F.nullif(F.col("control_n"), F.lit(0)) + F.col("treatment_var") / F.nullif(F.col("treatment_n"), F.lit(0)))
     lift = F.col("treatment_mean") - F.col("control_mean")
     return s.withColumn("difference", lift).withColumn("t", lift / F.nullif(spread, F.lit(0.0)))
 

@@ -119,7 +119,8 @@ class BoolQuery:
 
     def column(self) -> Column:
         no = lambda c: F.coalesce(c.column(), F.lit(False))
-        out = reduce(lambda a, b: a & b, [no(c) for c in self.must] + [~no(c) for c in self.must_not], F.lit(True))
+        # must clauses stand as they are, so that scans take them as filters
+        out = reduce(lambda a, b: a & b, [c.column() for c in self.must] + [~no(c) for c in self.must_not], F.lit(True))
         if self.should:
             out = out & (self.hits() >= self.minimum_should_match)
         return out
