@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import changes, quality, text as tx, vector as vx
 from quarry.operators import analytics, chunking, code, crossref, incremental, keywords, monitoring, search
+from quarry.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +22,16 @@ def session(name: str = "quarry", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that they need no installation of it."""
+    context, home = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_quarry_shipped", False) or not home.is_dir():
+        return
+    folder = Path(os.path.realpath(tempfile.mkdtemp()))
+    with zipfile.ZipFile(folder / "quarry.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(folder / "quarry.zip"))
+    context._quarry_shipped = True
