@@ -16,6 +16,7 @@ from quarry.llm.ngram_join import one_of_each
 from quarry.llm.packing import packed
 from quarry.llm.personal_data import without_personal_data
 from quarry.llm.toxicity import without_toxic
+from quarry.session import ship
 
 #: Languages weigh alike but for English, sources within a language alike.
 WEIGHTS = {("web", "en"): 3}
@@ -29,21 +30,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: three-word shingles, Jaccard 0.9 or more."""
+    ship(spark)
     return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are replaced by their kind; n_chars follows."""
+    ship(spark)
     return without_personal_data(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SHARE of all words, spread over languages and sources by weight."""
+    ship(spark)
     return chosen(docs, WEIGHTS, SHARE, EPOCHS, SEED).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 2048 tokens."""
+    ship(spark)
     return packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), {"<|endoftext|>": 50256})
 
 
