@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from quarry.functions.text import stripped, words
+from quarry.functions.text import bind, stripped, words
 
 CATEGORIES = ["tutorial", "how-to", "reference", "explanation"]
 
@@ -143,24 +143,31 @@ def code_quality(text: Column) -> Column:
 
 
 def clarity(text: Column) -> Column:
-    parts = F.filter(F.split(text, r"\.", -1), lambda s: stripped(s) != "")
-    per = F.aggregate(F.transform(parts, lambda s: F.size(words(s))), F.lit(0), lambda s, x: s + x) / F.size(parts)
-    ws = words(text)
-    long = F.size(F.filter(ws, lambda w: F.octet_length(w) > 12)) / F.size(ws)
+    sizes = F.transform(F.filter(F.split(text, r"\.", -1), lambda s: stripped(s) != ""), lambda s: F.size(words(s)))
+    per = bind(sizes, lambda n: F.when(F.size(n) > 0, F.aggregate(n, F.lit(0), lambda s, x: s + x) / F.size(n)))
+    long = bind(words(text), lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: F.octet_length(w) > 12)) / F.size(ws)))
+    return bind(F.struct(per.alias("per"), long.alias("long")), lambda x: clarity_of(text, x["per"], x["long"]))
+
+
+def clarity_of(text: Column, per: Column, long: Column) -> Column:
     flow = F.when(any_of(F.lower(text), TRANSITIONS), 1.0).otherwise(0.6)
     return averaged(
         [
-            (F.size(parts) > 0, case([(per < 10, 0.7), (per > 35, 0.5), ((per >= 15) & (per <= 25), 1.0)], 0.8)),
-            (F.size(ws) > 0, case([(long > 0.15, 0.6), (long < 0.05, 0.9)], 1.0)), (F.lit(True), flow),
+            (per.isNotNull(), case([(per < 10, 0.7), (per > 35, 0.5), ((per >= 15) & (per <= 25), 1.0)], 0.8)),
+            (long.isNotNull(), case([(long > 0.15, 0.6), (long < 0.05, 0.9)], 1.0)), (F.lit(True), flow),
         ],
         0.5,
     )
 
 
-def confidence(text: Column, kind: str) -> dict[str, Column]:
-    """Five scores of an answer and their weighted sum."""
-    parts = {"length": length_score(text, kind), "structure": answer_structure(text), "completeness": completeness(text, kind), "code": code_quality(text), "clarity": clarity(text)}
-    return parts | {"overall": reduce(lambda a, b: a + b, [parts[k] * w for k, w in WEIGHTS.items()])}
+def confidence_parts(text: Column, kind: str) -> dict[str, Column]:
+    """The five scores of an answer."""
+    return {"length": length_score(text, kind), "structure": answer_structure(text), "completeness": completeness(text, kind), "code": code_quality(text), "clarity": clarity(text)}
+
+
+def overall(scored) -> Column:
+    """Weighted sum of a table's five score columns."""
+    return reduce(lambda a, b: a + b, [scored[k] * w for k, w in WEIGHTS.items()])
 
 
 def level(score: Column, steps: list[tuple[float, str]], lowest: str) -> Column:
@@ -187,9 +194,8 @@ def looks_cut_off(text: Column) -> Column:
 
 def repeats_lines(text: Column) -> Column:
     """Of five lines or more, three in a row are equal."""
-    ls = lines(text)
-    same = F.exists(F.transform(ls, lambda x, i: (i >= 2) & (F.get(ls, i - 1) == x) & (F.get(ls, i - 2) == x)), lambda b: b)
-    return (F.size(ls) >= 5) & same
+    three = lambda ls: F.exists(F.transform(ls, lambda x, i: (i >= 2) & (F.get(ls, i - 1) == x) & (F.get(ls, i - 2) == x)), lambda b: b)
+    return bind(lines(text), lambda ls: (F.size(ls) >= 5) & three(ls))
 
 
 def answer_issues(text: Column, shortest: int = 100) -> Column:

@@ -14,6 +14,11 @@ HIDDEN = "\ue000\ue001\ue002"
 BOUNDARY = r"(?U)(?<=[.!?])(?=[^\S\r\n]*(?:[\r\n]|\p{IsUppercase}))"
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambdas it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def stripped(text: Column) -> Column:
     """Without Unicode blanks at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.text import hash_embedding, sentences, words
+from quarry.functions.text import bind, hash_embedding, sentences, words
 from quarry.functions.vector import cosine, mean, nearest_rank
 
 
@@ -59,8 +59,8 @@ def adjacent(rows: DataFrame, group: str, order: str, vector: str = "embedding")
 def boundaries(similarities: Column, config: ChunkerConfig) -> Column:
     """Where chunks may begin: 0, and i + 1 where similarity i lies below the threshold."""
     limit = F.least(nearest_rank(similarities, config.boundary_percentile), F.lit(config.similarity_threshold))
-    cuts = F.filter(F.transform(similarities, lambda s, i: F.when(s < limit, i + 1)), lambda x: x.isNotNull())
-    return F.concat(F.array(F.lit(0)), cuts)
+    below = lambda t: F.filter(F.transform(similarities, lambda s, i: F.when(s < t, i + 1)), lambda x: x.isNotNull())
+    return F.concat(F.array(F.lit(0)), bind(limit, below))
 
 
 SPAN = "array<struct<first:int,last:int,core:int>>"
@@ -114,8 +114,8 @@ def chunked(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key:
     each = adjacent(sentences_, key, "number")
     listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding", "similarity"))).alias("s"))
     sims = F.slice(F.transform("s", lambda x: x["similarity"]), 2, F.greatest(F.size("s") - 1, F.lit(0)))
-    cuts = boundaries(sims, config)
-    made = listed.withColumn("sims", sims).withColumn("spans", spans(F.when(F.size(sims) > 0, cuts).otherwise(F.array(F.lit(0))), F.size("s"), config))
+    made = listed.withColumn("sims", sims).withColumn("cuts", F.when(F.size("sims") > 0, boundaries(F.col("sims"), config)).otherwise(F.array(F.lit(0))))
+    made = made.withColumn("spans", bind(F.col("cuts"), lambda c: spans(c, F.size("s"), config)))
     part = lambda c, a, b: F.slice(c, a + 1, b - a + 1)
     chunk = made.withColumn("total_chunks", F.size("spans")).select(key, "s", "sims", "total_chunks", F.posexplode("spans").alias("chunk_index", "x"))
     text = F.concat_ws(" ", F.transform(part(F.col("s"), F.col("x.first"), F.col("x.last")), lambda y: y["sentence"]))

@@ -426,8 +426,10 @@ def content_category(spark, sf):
 def answer_confidence(spark, sf):
     """Five scores of documents taken as answers of type reference, with issues and warnings."""
     t = F.col("text")
-    scores = quality.confidence(t, "reference")
-    return read(spark, sf, "documents").select("doc_id", *[r6(c).alias(n) for n, c in scores.items()], quality.confidence_level(scores["overall"]).alias("level"), quality.answer_issues(t).alias("issues"), quality.answer_warnings(t).alias("warnings"))
+    parts = quality.confidence_parts(t, "reference")
+    scored = read(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()], quality.answer_issues(t).alias("issues"), quality.answer_warnings(t).alias("warnings"))
+    scored = scored.withColumn("overall", quality.overall(scored))
+    return rounded(scored).withColumn("level", quality.confidence_level(F.col("overall")))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents)
