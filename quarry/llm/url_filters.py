@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.common import written
+
 #: Words that speak for a block before anything is counted.
 PRIOR = ["adult", "bet", "buy", "casino", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "porn", "seo", "sex", "spam", "viagra", "win", "xxx"]
 LONGEST = 24
@@ -45,11 +47,24 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def unigrams(html: Column, df: DataFrame, words: int) -> dict[str, int]:
-    """Counts of the most frequent words of all pages, without their markup."""
+    """Counts of the most frequent words of all pages, at most ``words`` of them, without their markup.
+
+    Counts decide as a whole: of equally frequent words all or none are in.
+    """
     plain = F.translate(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), string.ascii_uppercase, string.ascii_lowercase)
     each = df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
-    counted = each.where(F.length("word") <= LONGEST).groupBy("word").count()
-    return {r[0]: r[1] for r in counted.orderBy(F.desc("count"), "word").limit(words).collect()}
+    counted = written(each.where(F.length("word") <= LONGEST).groupBy("word").count())
+    # the least count at which no more than ``words`` remain, to a twelfth of a doubling
+    steps = counted.groupBy(F.floor(F.log2("count") * 12).cast("int").alias("step")).agg(F.count("word").alias("n"))
+    least, held = None, 0
+    for step, n in sorted(steps.collect(), reverse=True):
+        held += n
+        if held > words:
+            break
+        least = step
+    if least is None:
+        return {}
+    return {r[0]: r[1] for r in counted.where(F.floor(F.log2("count") * 12) >= least).collect()}
 
 
 class Segmenter:
