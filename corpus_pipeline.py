@@ -29,9 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: three-word shingles, Jaccard 0.9 or more."""
+    """One document of each group stays: five-word shingles, Jaccard 0.8 or more."""
     ship(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, n=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
