@@ -7,8 +7,9 @@ URLs that no rule reaches. Its classes come from the rules: a URL that a rule
 decides is a labelled row, without the part of it that the rule itself names.
 A short prior list gives words that stand for unwanted hosts anywhere.
 
-All counts cover all rows. What the workers get is bounded: ``words`` unigrams
-and 2^``bits`` pairs of class counts, whatever the input.
+All counts cover all rows. What the workers get are the unigrams that stand
+somewhere in a name of the URLs, since no other word can be part of a split, and
+2^``bits`` pairs of class counts.
 """
 
 from __future__ import annotations
@@ -46,34 +47,47 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def unigrams(html: Column, df: DataFrame, words: int) -> dict[str, int]:
-    """Counts of the most frequent words of all pages, at most ``words`` of them, without their markup.
+def stretches(names: str) -> set[str]:
+    """The runs of letters in which words of a host or path may stand."""
+    return set(re.findall(r"[a-z]+", names.lower()))
 
-    Counts decide as a whole: of equally frequent words all or none are in.
-    """
+
+def unigrams(html: Column, df: DataFrame, parts: DataFrame) -> tuple[dict[str, int], int]:
+    """Counts of all words of the pages, without their markup, that stand in a name of ``parts``
+    (host, path), and the total over all words.
+    """
     plain = F.translate(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), string.ascii_uppercase, string.ascii_lowercase)
     each = df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
-    counted = written(each.where(F.length("word") <= LONGEST).groupBy("word").count())
-    # the least count at which no more than ``words`` remain, to a twelfth of a doubling
-    steps = counted.groupBy(F.floor(F.log2("count") * 12).cast("int").alias("step")).agg(F.count("word").alias("n"))
-    least, held = None, 0
-    for step, n in sorted(steps.collect(), reverse=True):
-        held += n
-        if held > words:
-            break
-        least = step
-    if least is None:
-        return {}
-    return {r[0]: r[1] for r in counted.where(F.floor(F.log2("count") * 12) >= least).collect()}
+    counted = written(each.groupBy("word").count())
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    sizes = sorted(r[0] for r in counted.select(F.length("word").alias("size")).distinct().collect())
+
+    def runs(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*(stretches(x) for c in batch.columns for x in c.to_pylist()))), pa.string())], ["run"])
+
+    def inner(batches):
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                for at in range(0, len(run), 4096):  # a run may be of any length
+                    found = {run[k : k + n] for k in range(at, min(at + 4096, len(run))) for n in sizes if k + n <= len(run)}
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    names = parts.select("host", "path").mapInArrow(runs, "run string").distinct().mapInArrow(inner, "word string").distinct()
+    return {r[0]: r[1] for r in counted.join(names, "word", "left_semi").collect()}, total
 
 
 class Segmenter:
-    """Most likely split of a name into words; an unknown stretch costs more the longer it is."""
+    """Most likely split of a name into words; an unknown stretch costs more the longer it is.
+
+    total: of the counts of all words, where ``counts`` has only some.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(10.0 * total)
+        self.long = sorted({len(w) for w in counts if len(w) > LONGEST})
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def split(self, name: str) -> tuple[str, ...]:
@@ -88,6 +102,12 @@ class Segmenter:
                     c = self.unknown + 3.0 * (end - start - 1)
                 if best[start] + c < least:
                     least, at = best[start] + c, start
+            for size in self.long:
+                if size > end:
+                    break
+                c = cost.get(name[end - size : end])
+                if c is not None and best[end - size] + c < least:
+                    least, at = best[end - size] + c, end - size
             best.append(least)
             back.append(at)
         out, end = [], len(name)
@@ -119,13 +139,14 @@ def bucket(token: str, bits: int) -> int:
 
 
 def url_filter(
-    pages: DataFrame, rules: list[tuple[str, str]], words: int = 50_000, bits: int = 16, prior: float = 20.0, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
+    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 16, prior: float = 20.0, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's log odds for a block (null under a rule).
 
     rules: (``host/path``, ``block`` or ``allow``). The model blocks where its odds
     are above ``margin``, so a URL of which it knows no word (an empty one too) is
-    allowed. A host and path that many rows repeat (but for numbers) trains once.
+    allowed. Every row under a rule trains; those of one host and path (but for
+    numbers) are split once, with their count.
     Null URLs are empty, null html has no words, null ids stay, repeated rows
     count each, and an empty table gives no rows. Other columns are not read.
     """
@@ -134,17 +155,18 @@ def url_filter(
     parts = pages.select(pages[id_column].alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("rule", rule).withColumn("says", verdict)
-    model = spark.sparkContext.broadcast(unigrams(pages[html], pages, words))
+    model = spark.sparkContext.broadcast(unigrams(pages[html], pages, parts))
 
     def count(batches):
-        segmenter, found = Segmenter(model.value), Counter()
+        segmenter, found = Segmenter(*model.value), Counter()
         for batch in batches:
-            for host, path, rule, says in zip(*(c.to_pylist() for c in batch.columns)):
-                found.update((bucket(t, bits), says == "block") for t in tokens(segmenter, host, path, rule))
+            for host, path, rule, says, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for t in tokens(segmenter, host, path, rule):
+                    found[bucket(t, bits), says == "block"] += n
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()))], ["bucket", "block", "n"])
 
-    labelled = parts.where("says is not null").select("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").distinct().mapInArrow(count, "bucket long, block boolean, n long")
+    labelled = parts.where("says is not null").groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").count().mapInArrow(count, "bucket long, block boolean, n long")
     counts = {(r[0], r[1]): r[2] for r in labelled.groupBy("bucket", "block").agg(F.sum("n")).collect()}
     sums = {c: sum(n for (_, k), n in counts.items() if k is c) + (1 << bits) for c in (True, False)}
     odds = {b: math.log((counts.get((b, True), 0) + 1) / sums[True]) - math.log((counts.get((b, False), 0) + 1) / sums[False]) for b in {k[0] for k in counts}}
@@ -154,7 +176,7 @@ def url_filter(
     weights = spark.sparkContext.broadcast(odds)
 
     def judge(batches):
-        segmenter, known = Segmenter(model.value), weights.value
+        segmenter, known = Segmenter(*model.value), weights.value
         for batch in batches:
             scores: list[float | None] = []
             says = batch.column(4).to_pylist()

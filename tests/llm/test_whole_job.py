@@ -1,8 +1,12 @@
 """Operators that have to work on all of their input, against brute force."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
+from quarry.llm import url_filters
 from quarry.llm.components import Sets
 
 
@@ -33,3 +37,38 @@ def test_near_duplicates_are_five_words_at_four_fifths(spark):
     assert want != one_per_group(texts, 3, 90)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_every_row_under_a_rule_trains(spark):
+    """Weights of a host with many numbered pages, by a count over the rows themselves."""
+    urls = [f"http://bad{k}.net/p/{k}" for k in range(3)] + [f"http://good.org/p/{k}" for k in range(40)] + ["http://x.com/p/7", "http://good.com/q"]
+    pages = spark.createDataFrame([(k, u, "<p>good bad</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    rules = [("net/", "block"), ("org/", "allow")]
+    made = {r["page_id"]: r for r in url_filters.url_filter(pages, rules).collect()}
+    segmenter = url_filters.Segmenter({"good": len(urls), "bad": len(urls)})
+    counts = {True: Counter(), False: Counter()}
+    for u in urls[:43]:
+        host, path = u[7:].split("/", 1)
+        counts[".net" in host].update(url_filters.tokens(segmenter, host, "/" + re.sub("[0-9]+", "0", path), "net/" if ".net" in host else "org/"))
+    sums = {c: sum(x.values()) + (1 << 16) for c, x in counts.items()}
+    for k in (43, 44):
+        host, path = urls[k][7:].split("/", 1)
+        want = sum(math.log((counts[True][t] + 1) / sums[True]) - math.log((counts[False][t] + 1) / sums[False]) for t in url_filters.tokens(segmenter, host, "/" + path, None) if counts[True][t] + counts[False][t])
+        assert abs(made[k]["log_odds"] - want) < 1e-9
+
+
+def test_unigrams_keep_every_word_that_a_name_holds(spark):
+    """More words than a broadcast table once held, equally rare ones, and one of over 24 letters."""
+    long = "pneumonoultramicroscopicsilico"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spell = lambda k: "".join(letters[k // 26**i % 26] for i in range(4))
+    fill = [spell(k) for k in range(60_000)]
+    html = ["<p>" + " ".join(fill[k : k + 6000]) + "</p>" for k in range(0, 60_000, 6000)] + [f"<b>zebraZ</b> quokka {long}"]
+    urls = ["http://www.quokka.net/a"] * 10 + [f"http://{long}quokka.net/Zebraz"]
+    pages = spark.createDataFrame(list(zip(range(11), urls, html)), "page_id long, url string, html string")
+    host, path = url_filters.url_parts(pages["url"])
+    counts, total = url_filters.unigrams(pages["html"], pages, pages.select(host.alias("host"), path.alias("path")))
+    names = [r for u in set(urls) for r in url_filters.stretches(u.split("://")[1])]
+    words = Counter(fill + ["zebraz", "quokka", long])
+    assert total == 60_003 and counts == {w: n for w, n in words.items() if any(w in x for x in names)}
+    assert url_filters.Segmenter(counts, total).split(f"{long}quokka") == url_filters.Segmenter(words).split(f"{long}quokka") == (long, "quokka")
