@@ -20,6 +20,7 @@ pair of different texts goes unconnected and no quadratic number is written.
 from __future__ import annotations
 
 import string
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -31,6 +32,19 @@ from quarry.llm.components import Sets, components
 from quarry.llm.exchange import NO_ID, Group, answered, grouped, key_of, opened, send, slices, totals
 
 BLOCK = 1024  #: sets on either side of a cell
+BATCH = 12 << 20  #: bytes of groups that a worker takes at once
+
+
+@contextmanager
+def small_batches(spark):
+    """Workers get a few groups at a time, as both they and Spark hold a batch as a whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 @cache
@@ -62,7 +76,11 @@ def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
     up[0] = 1
     np.multiply.accumulate(up, out=up)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)[raw] * up[: len(raw)], out=sums[1:])
+    values = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+    for at in range(0, len(raw), 1 << 18):  # in place, piece by piece
+        sums[at + 1 : at + 1 + (1 << 18)] = values[raw[at : at + (1 << 18)]]
+    sums[1:] *= up[: len(raw)]
+    np.cumsum(sums, out=sums)
     up.fill(pow(base, -1, 1 << 64))
     up[0] = 1
     np.multiply.accumulate(up, out=up)
@@ -74,6 +92,7 @@ def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
     stop[-1:] = True
     last = np.flatnonzero(word & (stop | ~np.r_[word[1:], False])) + 1
     words = mix((sums[last] - sums[first]) * up[first] + (last - first).astype(np.uint64))
+    del raw, up, sums, word, edge, stop
     text = np.searchsorted(g.ends, first, "right")
     count = np.bincount(text, minlength=len(g.ends))
     parts_t, parts_h = [], []
@@ -237,7 +256,8 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
         unique, number = np.unique(shingles(g, n)[1], return_counts=True)
         return unique, number
 
-    counted = written(answered(send(groups, counts, buckets)))
+    with small_batches(groups.sparkSession):
+        counted = written(answered(send(groups, counts, buckets)))
 
     def candidates(batches):
         for batch in batches:
@@ -266,7 +286,8 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
                     ["tid", "key", "first", "copies", "n", "prefix", "tokens", "classes"],
                 )
 
-    texts = written(groups.join(counted, "grp", "left").mapInArrow(candidates, "tid long, key binary, first long, copies long, n int, prefix int, tokens binary, classes binary"))
+    with small_batches(groups.sparkSession):
+        texts = written(groups.join(counted, "grp", "left").mapInArrow(candidates, "tid long, key binary, first long, copies long, n int, prefix int, tokens binary, classes binary"))
     moving = texts.where("tokens is not null")
 
     def postings(batches):
