@@ -28,11 +28,12 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a folder below the
-    warehouse takes its place.
+    Only a local session may name none: there the warehouse, on the one machine, takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -51,6 +52,15 @@ def written(df: DataFrame, tidy: bool = True) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the folders of tables that :func:`written` gave and nothing reads any more."""
+    for df in tables:
+        spark = session_of(df)
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, upon which Spark removes the shuffles nothing refers to."""
     gc.collect()
@@ -97,5 +107,15 @@ def pieces(batches, column: str, most: int = 8 << 20):
             yield batch.slice(a, b - a)
 
 
+def stretches(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers the stretches between neighbouring ``edges``: equal numbers for equal bytes, and the bytes of each number.
+
+    Arrow's dictionary compares the bytes themselves, so that no hash decides.
+    """
+    offsets = pa.py_buffer(np.ascontiguousarray(edges, np.int64))
+    column = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return column.indices.to_numpy(), column.dictionary.to_pylist()
+
+
 def native_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]

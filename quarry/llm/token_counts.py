@@ -14,7 +14,7 @@ Two deterministic transducers stand for a byte-level BPE tokenizer:
   which is negative when a byte makes earlier tokens merge. States and
   transitions are determinised on demand and kept in a bounded table.
 
-Equal pre-tokens of a batch run through the merger once.
+Equal pre-tokens of a batch (equal byte by byte) run through the merger once.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
-from quarry.llm.common import pieces, text_buffers
+from quarry.llm.common import pieces, stretches, text_buffers
 
 #: Symbols of the splitter.
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK_LAST, SPACE_LAST, BLANK_RUN = range(8)
@@ -243,30 +243,6 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def mixed(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-@functools.cache
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_keys(raw: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit fingerprint of each word; at: n + 1 byte offsets."""
-    base = 0x9E3779B97F4A7C15 | 1
-    size = 1 << max(10, int(len(raw)).bit_length())
-    up = powers(size, base)
-    down = powers(size, pow(base, -1, 1 << 64))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(mixed(seed)[raw] * up[: len(raw)], out=sums[1:])
-    key = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]]
-    key ^= key >> np.uint64(29)
-    return key * np.uint64(0xBF58476D1CE4E5B9) + np.diff(at).astype(np.uint64)
-
-
 def counted(raw: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
     """Tokens of each text; texts are given as UTF-8 bytes laid end to end with n + 1 offsets."""
     model = merger(path)
@@ -293,17 +269,12 @@ def counted(raw: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
     points = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), np.uint32)
     place = np.flatnonzero(lead)
     at = place[begins(points, first[:-1][place])]
+    number, words = stretches(raw, np.r_[at, len(raw)])
     if drop is not None:
-        at, ends = at[~drop[at]], np.r_[at[1:], len(raw)][~drop[at]]
-    else:
-        ends = np.r_[at[1:], len(raw)]
-    edge = np.stack([at, ends], 1).ravel()
-    keys, check = word_keys(raw, edge, 11)[::2], word_keys(raw, edge, 12)[::2]
-    _, lead_at, back = np.unique(keys, return_index=True, return_inverse=True)
-    count = model.count
-    tokens = np.fromiter((count(whole[a:b]) for a, b in zip(at[lead_at].tolist(), ends[lead_at].tolist())), np.int64, len(lead_at))[back]
-    for k in np.flatnonzero(check != check[lead_at][back]):  # two words with one fingerprint
-        tokens[k] = count(whole[at[k] : ends[k]])
+        at, number = at[~drop[at]], number[~drop[at]]
+    used = np.zeros(len(words), bool)
+    used[number] = True
+    tokens = np.fromiter((model.count(w) if u else 0 for w, u in zip(words, used.tolist())), np.int64, len(words))[number]
     return n + np.bincount(np.searchsorted(offsets, at, "right") - 1, tokens, texts).astype(np.int64)
 
 
