@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import dropped, written
 
 EDGE = "u long, v long"
 
@@ -47,12 +47,26 @@ def forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def with_least(edges: DataFrame, pieces: int) -> DataFrame:
+    """Adds ``m``, the smallest v among a node's edges, to every edge (u, v).
+
+    A node's edges are dealt to ``pieces`` keys by their other end, so that no
+    task holds a hub's edges: minima come up piece by piece, and go back down to
+    the pieces that a node has.
+    """
+    dealt = edges.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces)).cast("int"))
+    partial = dealt.groupBy("u", "piece").agg(F.min("v").alias("low"))
+    least = partial.groupBy("u").agg(F.min("low").alias("m"))
+    return dealt.join(partial.drop("low").join(least, "u"), ["u", "piece"]).drop("piece")
+
+
+def components(edges: DataFrame, piece: int = 250_000) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); a component is named by its smallest node.
 
     Rounds of large-star and small-star, each written to the shared folder, until
     a round changes nothing; stars within tasks first shorten long chains. An
-    empty table gives no rows; loops and repeated edges change nothing.
+    empty table gives no rows; loops and repeated edges change nothing. piece:
+    about how many edges of one node meet in a task (more below 64 times that).
     """
     stars = written(edges.select("u", "v").mapInArrow(forest, EDGE))
     state = None
@@ -60,12 +74,11 @@ def components(edges: DataFrame) -> DataFrame:
         n, mark = stars.agg(F.count("u"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if not n or (n, mark) == state:
             break
-        state = (n, mark)
+        state, pieces = (n, mark), max(64, -(-n // piece))
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        stars = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        large = with_least(both, pieces).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large, pieces).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, stars = stars, written(small.select("e.u", "e.v").where("u <> v").distinct())
+        dropped(before)
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -25,7 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm.common import release, text_buffers
 
-GROUP, BUCKET, SLICE = 4 << 20, 48 << 20, 16 << 20
+#: Bytes of a group, of a bucket of the groups' table, of a bucket of fingerprints; bytes of a task's texts while there are few, and most tasks.
+GROUP, BUCKET, SLICE, PART, PARTS = 4 << 20, 48 << 20, 16 << 20, 16 << 20, 32_768
+BUCKETS = 8192  #: so that a group sends a bounded number of arrays
+MOST = (1 << 20) - 1  #: texts of a group, so that grp << 20 numbers them (32768 tasks, 2^24 groups a task: below 2^59)
 NO_ID = -(1 << 63)
 ANSWERS = "grp long, bucket int, answer binary"
 
@@ -47,7 +50,10 @@ class Groups:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def drop(self) -> None:
+    def __enter__(self) -> Groups:
+        return self
+
+    def __exit__(self, *error) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         release(self.spark)
 
@@ -109,38 +115,41 @@ def grouped(docs: DataFrame, least: int) -> Groups:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(k), pa.string())], fields)
 
     def pack(batches):
-        held: dict[bytes, list] = {}
-        for batch in batches:
-            for key, i, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary())):
-                of = held.setdefault(key, [NO_ID, 0, None])
-                of[0] = i if of[0] == NO_ID else of[0] if i == NO_ID else min(i, of[0])
-                of[1] += n
-                if of[2] is None and text.is_valid:
-                    of[2] = text.as_buffer()
+        """Groups of texts as their rows come, equal keys next to each other; one group is held at a time."""
         number = TaskContext.get().partitionId() << 24
-        part: list[tuple] = []
+        part: list[list] = []
         size = 0
 
         def row():
-            keys, of = zip(*part)
-            ends = np.cumsum([len(o[2]) for o in of]).astype("<i8")
-            values = [number, ends.tobytes(), b"".join(keys), np.array([o[0] for o in of], "<i8").tobytes(), np.array([o[1] for o in of], "<i8").tobytes(), b"".join(o[2] for o in of)]
+            keys, ids, copies, raws = zip(*part)
+            values = [number, np.cumsum([len(r) for r in raws]).astype("<i8").tobytes(), b"".join(keys), np.array(ids, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), b"".join(raws)]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(values)], FIELDS)
 
-        for key in sorted(held):  # the same groups, whatever order the rows came in
-            part.append((key, held[key]))
-            size += len(held[key][2])
-            if size >= GROUP:
-                yield row()
-                part, size, number = [], 0, number + 1
+        for batch in batches:
+            for key, i, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary())):
+                if part and part[-1][0] == key:
+                    of = part[-1]
+                    of[1] = i if of[1] == NO_ID else of[1] if i == NO_ID else min(i, of[1])
+                    of[2] += n
+                    continue
+                if size >= GROUP or len(part) == MOST:
+                    yield row()
+                    part, size, number = [], 0, number + 1
+                part.append([key, i, n, text.as_buffer().to_pybytes()])  # of equal keys a row with the text comes first
+                size += len(part[-1][3])
         if part:
             yield row()
 
     distinct = docs.mapInArrow(once, "key binary, id long, n long, text string")
-    rows = distinct.repartition(max(1, -(-total // GROUP)), "key").mapInArrow(pack, "grp long, ends binary, keys binary, first binary, copies binary, raw binary")
+    dealt = distinct.repartition(max(1, -(-total // max(PART, total // PARTS))), "key")
+    rows = dealt.sortWithinPartitions("key", F.col("text").isNull()).mapInArrow(pack, "grp long, ends binary, keys binary, first binary, copies binary, raw binary")
     name = f"quarry_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").bucketBy(max(1, min(8192, -(-total // BUCKET))), "grp").sortBy("grp").saveAsTable(name)
-    del rows, distinct
+    try:
+        rows.write.option("compression", "zstd").bucketBy(max(1, min(8192, -(-total // BUCKET))), "grp").sortBy("grp").saveAsTable(name)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        raise
+    del rows, dealt, distinct
     release(spark)
     return Groups(spark, name, total)
 
@@ -208,5 +217,5 @@ def send(groups: DataFrame, make: Callable, buckets: int) -> DataFrame:
 
 
 def slices(n_bytes: int, per_byte: float) -> int:
-    """Buckets for about so many bytes of fingerprints per byte of text."""
-    return max(1, int(-(-n_bytes * per_byte // SLICE)))
+    """Buckets for about so many bytes of fingerprints per byte of text; from BUCKETS on they grow instead of their number."""
+    return max(1, min(BUCKETS, int(-(-n_bytes * per_byte // SLICE))))

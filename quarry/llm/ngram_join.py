@@ -25,12 +25,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import written
 from quarry.llm.components import Sets, components
 from quarry.llm.exchange import NO_ID, Group, answered, grouped, key_of, opened, send, slices, totals
 
+LONG = 64  #: bytes of a word that are hashed in steps for all words at once
 BLOCK = 1024  #: sets on either side of a cell
 BATCH = 12 << 20  #: bytes of groups that a worker takes at once
 
@@ -68,22 +70,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(30)
 
 
+def hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each word: eight bytes at a time, each block mixed before the next one; XXH3 for long words.
+
+    Words of one length up to eight bytes never share a hash, since every step is one to one.
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    left = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        spare = np.maximum(8 - (size[left] - k), 0).astype(np.uint64) << np.uint64(3)
+        block = eight[at[left] + k] << spare >> spare
+        h[left] = mix((h[left] ^ block) * np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[at[k] : at[k] + size[k]])
+    return h
+
+
 def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, n-gram) of a group, in order; a text with fewer words is one n-gram."""
+    """Distinct (text number, n-gram) of a group, in order; a text with fewer words is one n-gram.
+
+    An n-gram is 64 bits of its words' hashes, mixed in sequence. Only a collision
+    between two sets that meet can change a verdict: for sets of a thousand
+    n-grams that is a chance of 10^-13 a pair.
+    """
     raw = lowered()[g.raw]
-    base = 0x9E3779B97F4A7C15
-    up = np.full(max(len(raw), 1), base, np.uint64)
-    up[0] = 1
-    np.multiply.accumulate(up, out=up)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    values = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-    for at in range(0, len(raw), 1 << 18):  # in place, piece by piece
-        sums[at + 1 : at + 1 + (1 << 18)] = values[raw[at : at + (1 << 18)]]
-    sums[1:] *= up[: len(raw)]
-    np.cumsum(sums, out=sums)
-    up.fill(pow(base, -1, 1 << 64))
-    up[0] = 1
-    np.multiply.accumulate(up, out=up)
     word = ~blanks()[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[g.starts[g.starts < len(raw)]] = True
@@ -91,8 +107,9 @@ def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
     stop = edge[1:].copy()
     stop[-1:] = True
     last = np.flatnonzero(word & (stop | ~np.r_[word[1:], False])) + 1
-    words = mix((sums[last] - sums[first]) * up[first] + (last - first).astype(np.uint64))
-    del raw, up, sums, word, edge, stop
+    del word, edge, stop
+    words = hashes(raw, first, last - first)
+    del raw
     text = np.searchsorted(g.ends, first, "right")
     count = np.bincount(text, minlength=len(g.ends))
     parts_t, parts_h = [], []
@@ -349,12 +366,10 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
 
 def components_of_texts(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(key, first, n_shingles, c) of the distinct texts of ``rows`` (id, text): c names a text's component."""
-    groups = grouped(rows, 1)
-    texts, edges = links(groups.table, slices(groups.n_bytes, 1.2), n, percent, slices(groups.n_bytes, 0.5))
-    linked = components(edges).select(F.col("node").alias("tid"), "component")
-    held = written(texts.join(linked, "tid", "left").select("key", "first", "n_shingles", F.coalesce("component", "tid").alias("c")))
-    groups.drop()
-    return held
+    with grouped(rows, 1) as groups:
+        texts, edges = links(groups.table, slices(groups.n_bytes, 1.2), n, percent, slices(groups.n_bytes, 0.5))
+        linked = components(edges).select(F.col("node").alias("tid"), "component")
+        return written(texts.join(linked, "tid", "left").select("key", "first", "n_shingles", F.coalesce("component", "tid").alias("c")))
 
 
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,15 +377,18 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, id_column: str =
 
     It is the one with the smallest id (without any id: one of the smallest
     text key). Texts without words, null ones too, link with nothing and stay.
+    Repeated rows and copies under one id leave one row, ties fall to the
+    smaller id, a text of any length is compared as a whole, an empty table
+    gives no rows, and columns of any name ride along.
     """
     body = F.coalesce(docs[text], F.lit(""))
     held = components_of_texts(docs.select(docs[id_column].cast("long").alias("id"), body.alias("text")), n, percent).where("n_shingles > 0")
     chosen = held.groupBy("c").agg(F.min(F.struct((F.col("first") == NO_ID).alias("none"), "first", "key")).alias("x"))
-    chosen = chosen.select(F.col("x.key").alias("__key"), F.when(~F.col("x.none"), F.col("x.first")).alias("__first"))
-    wordless = ~body.rlike("[^\\x20\\x09-\\x0D]")
-    worded = docs.where(~wordless).withColumn("__key", key_of(body))
-    kept = worded.join(chosen, (worded["__key"] == chosen["__key"]) & docs[id_column].cast("long").eqNullSafe(chosen["__first"]), "left_semi")
-    return kept.dropDuplicates(["__key", id_column]).drop("__key").unionByName(docs.where(wordless))
+    chosen = chosen.select(F.col("x.key").alias("key"), F.when(~F.col("x.none"), F.col("x.first")).alias("first"))
+    # the row itself goes into one column, so that no name of docs can clash
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key_of(body).alias("key"), docs[id_column].cast("long").alias("id"), (~body.rlike("[^\\x20\\x09-\\x0D]")).alias("wordless"))
+    kept = whole.where("not wordless").join(chosen.withColumnRenamed("key", "chosen_key"), (F.col("key") == F.col("chosen_key")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*").unionByName(whole.where("wordless").select("row.*"))
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
