@@ -1,16 +1,18 @@
-"""Command line over Parquet stores: load, chunk, search, analyze, validate, version."""
+"""Command line over versioned stores: load, chunk, search, classify, analyze, validate, report, version."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from quarry.functions import quality, text as tx
-from quarry.operators import analytics, chunking, code, incremental, search
+from quarry.operators import analytics, chunking, code, incremental, ingest, intents, search
 from quarry.session import session
 from quarry.sources import files
+from quarry.sources.store import Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +31,14 @@ def parser() -> argparse.ArgumentParser:
     chunk.add_argument("--threshold", type=float)
     chunk.add_argument("--max-sentences", type=int)
     chunk.add_argument("--dry-run", action="store_true")
+    chunk.add_argument("--no-chunking", action="store_true", help="one chunk per document")
+    chunk.add_argument("--all", action="store_true", help="chunk unchanged files again, too")
+    ask = sub.add_parser("classify", help="which kind of document a question asks for")
+    ask.add_argument("query")
+    ask.add_argument("--multi-intent", "-m", action="store_true")
+    ask.add_argument("--threshold", "-t", type=float, default=intents.THRESHOLD)
+    ask.add_argument("--format", "-f", choices=["text", "json"], default="text")
+    ask.add_argument("--verbose", "-v", action="store_true")
     find = sub.add_parser("search", help="nearest chunks of a store")
     find.add_argument("query")
     find.add_argument("--store", required=True)
@@ -43,45 +53,46 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def chunk_table(texts: DataFrame, config: chunking.ChunkerConfig) -> DataFrame:
-    """Rows of a chunk store from (path, text) rows."""
-    docs = texts.select(F.col("path").alias("file_path"), tx.content_hash(F.col("text")).alias("file_hash"), "text")
-    made = chunking.chunk_documents(docs, config, key="file_path")
-    meta = docs.select("file_path", "file_hash", F.regexp_extract("file_path", r"([^/]+)$", 1).alias("source_file"), quality.path_category(F.col("file_path")).alias("category"), tx.heading_keywords(F.col("text")).alias("keywords"))
-    return made.join(meta, "file_path").withColumn("created_at", F.current_timestamp())
+LOADED = "path string, hash string, length long"
 
 
 def run(args: argparse.Namespace, spark) -> str:
     if args.command == "load":
         flags = incremental.LoadFlags(args.resume, args.update, args.cleanup, args.dry_run, args.force)
         current = files.hashed_files(spark, *args.paths)
-        try:
-            store = spark.read.parquet(args.store)
-        except Exception:  # no store yet
-            store = spark.createDataFrame([], "path string, hash string, length long")
-        changes = incremental.compared(current, store)
-        counts = files.rendered(incremental.counted(changes))
-        plan = incremental.planned(changes, flags)
+        store = Store(spark, args.store, LOADED, "path")  # a store that can't be read is an error, and stays as it is
+        changes = incremental.compared(current, store.read())
+        counts = json.loads(files.rendered(incremental.counted(changes)))
         if not args.dry_run:
-            columns = ["path", "hash", "length"]
-            after = incremental.applied(store.select(*columns), plan, current.select(*columns))
-            after.write.mode("overwrite").parquet(args.store + ".next")  # a store can't be read while it is replaced
-            spark.read.parquet(args.store + ".next").write.mode("overwrite").parquet(args.store)
-        return counts
+            plan = incremental.planned(changes, flags)
+            fresh = current.join(plan.where("action in ('add', 'update')").select("path"), "path", "left_semi").select("path", "hash", "length")
+            store.replace(fresh, plan.where("action = 'delete'").select("path"))
+        return json.dumps(counts | {"mode": flags.mode, "dry_run": args.dry_run})
     if args.command == "chunk":
         config = chunking.PRESETS.get(args.strategy, chunking.ChunkerConfig())
         more = {k: v for k, v in (("similarity_threshold", args.threshold), ("max_chunk_sentences", args.max_sentences)) if v is not None}
-        made = chunk_table(files.markdown(spark, *args.paths), chunking.replace(config, **more))
-        summary = files.chunk_summaries(made)
+        config = None if args.no_chunking else chunking.replace(config, **more)
+        docs = files.markdown(spark, *args.paths).withColumnRenamed("path", "file_path")
+        store = ingest.chunk_store(spark, args.store)
+        if args.dry_run:
+            return files.rendered(ingest.judged(docs, store.read(), config, not args.all).select("file_path", "action", "error"), "table")
+        report = ingest.ingest(docs, store, config, not args.all)
         if args.output:
-            files.write_json(summary, args.output)
-        if not args.dry_run:
-            files.write_chunks(made, args.store)
-        return files.rendered(summary, "table")
+            files.write_json(files.chunk_summaries(store.read()), args.output)
+        return files.rendered(report.select("file_path", "action", "chunks_created", "error"), "table") + "\n" + files.rendered(ingest.batch_summary(report), "pretty")
+    if args.command == "classify":
+        search.require(bool(args.query.strip()), "the query is blank")
+        asked = spark.createDataFrame([(args.query,)], "query string")
+        made = intents.classified(asked, "query", threshold=args.threshold, multi=args.multi_intent).first()
+        search.require(made["error"] is None, f"{made['error']}: confidence {made['confidence']:.2f}")
+        found = {"intent": made["intent"], "confidence": made["confidence"], "level": spark.range(1).select(quality.intent_level(F.lit(made["confidence"]))).first()[0]}
+        found |= {"secondary": [f"{x['intent']}:{x['confidence']:.2f}" for x in made["secondary"]]} if args.multi_intent else {}
+        found |= {"reasoning": made["reasoning"]} if args.verbose else {}
+        return json.dumps(found) if args.format == "json" else "\n".join(f"{k}: {v}" for k, v in found.items())
     if args.command == "search":
         search.require(bool(args.query.strip()), "the query is blank")
         q = spark.range(1).select(tx.hash_embedding(F.lit(args.query)).alias("v")).first()["v"]
-        found = search.semantic_search(spark.read.parquet(args.store), q, search.SearchConfig(args.max_results, args.min_similarity, args.category), ties=("file_path", "chunk_index"))
+        found = search.semantic_search(ingest.chunk_store(spark, args.store).read(), q, search.SearchConfig(args.max_results, args.min_similarity, args.category), ties=("file_path", "chunk_index"))
         content = F.col("content") if args.full_content else tx.display(F.col("content"), 200)
         return files.rendered(found.select("file_path", "chunk_index", "category", F.round("similarity", 4).alias("similarity"), content.alias("content")), args.format)
     if args.command == "analyze":

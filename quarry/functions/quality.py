@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.text import bind, stripped, words
 
@@ -113,8 +113,15 @@ def answer_structure(text: Column) -> Column:
     ls = lines(text)
     heads = F.size(F.filter(ls, lambda x: x.startswith("#")))
     fences = F.floor(occurrences(text, "```") / 2)
-    items = F.size(F.filter(ls, lambda x: stripped(x).rlike("^[-*]")))
-    paras = F.size(F.filter(F.split(text, "\n\n", -1), lambda p: stripped(p) != ""))
+    items = F.size(F.filter(ls, lambda x: x.rlike(ITEM)))
+    paras = F.size(F.filter(F.split(text, "\n\n", -1), lambda p: p.rlike(SOLID)))
+    return structure_of(heads, fences, items, paras)
+
+
+ITEM, SOLID = r"(?U)\A\s*[-*]", r"(?U)\S"
+
+
+def structure_of(heads: Column, fences: Column, items: Column, paras: Column) -> Column:
     return averaged(
         [
             (heads > 0, F.when(heads >= 3, 1.0).otherwise(0.5 + heads * 0.25)), (fences > 0, F.when(fences >= 2, 1.0).otherwise(0.7)),
@@ -125,7 +132,10 @@ def answer_structure(text: Column) -> Column:
 
 
 def completeness(text: Column, kind: str) -> Column:
-    t = F.lower(text)
+    return named_share(F.lower(text), kind)
+
+
+def named_share(t: Column, kind: str) -> Column:
     return reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in EXPECTED[kind]]) / F.lit(float(len(EXPECTED[kind])))
 
 
@@ -143,14 +153,14 @@ def code_quality(text: Column) -> Column:
 
 
 def clarity(text: Column) -> Column:
-    sizes = F.transform(F.filter(F.split(text, r"\.", -1), lambda s: stripped(s) != ""), lambda s: F.size(words(s)))
+    sizes = F.transform(F.filter(F.split(text, r"\.", -1), lambda s: s.rlike(SOLID)), lambda s: F.size(words(s)))
     per = bind(sizes, lambda n: F.when(F.size(n) > 0, F.aggregate(n, F.lit(0), lambda s, x: s + x) / F.size(n)))
     long = bind(words(text), lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: F.octet_length(w) > 12)) / F.size(ws)))
     return bind(F.struct(per.alias("per"), long.alias("long")), lambda x: clarity_of(text, x["per"], x["long"]))
 
 
-def clarity_of(text: Column, per: Column, long: Column) -> Column:
-    flow = F.when(any_of(F.lower(text), TRANSITIONS), 1.0).otherwise(0.6)
+def clarity_of(text: Column, per: Column, long: Column, low: Column | None = None) -> Column:
+    flow = F.when(any_of(F.lower(text) if low is None else low, TRANSITIONS), 1.0).otherwise(0.6)
     return averaged(
         [
             (per.isNotNull(), case([(per < 10, 0.7), (per > 35, 0.5), ((per >= 15) & (per <= 25), 1.0)], 0.8)),
@@ -160,6 +170,36 @@ def clarity_of(text: Column, per: Column, long: Column) -> Column:
     )
 
 
+def answer_scores(answers: DataFrame, kind: str, text: str = "text", key: str = "doc_id", shortest: int = 100, longest: int = 50_000) -> DataFrame:
+    """(key, the five scores, issues, warnings, overall, level) of a table of answers.
+
+    Lines, words and the text in lower case are made once per row, then what is
+    counted in them, then the scores: each step refers to columns of the one before.
+    """
+    t = F.col(text)
+    read = answers.select(key, t.alias("t"), lines(t).alias("ls"), words(t).alias("ws"), F.lower(t).alias("low"), F.split(t, r"\.", -1).alias("parts"))
+    t, ls, low = F.col("t"), F.col("ls"), F.col("low")
+    per_sentence = F.transform(F.filter("parts", lambda x: x.rlike(SOLID)), lambda x: F.size(words(x)))
+    last = stripped(F.coalesce(F.get(ls, F.size(ls) - 1), F.lit("")))
+    three = F.exists(F.arrays_zip(F.slice(ls, 1, F.greatest(F.size(ls) - 2, F.lit(0))).alias("a"), F.slice(ls, 2, F.greatest(F.size(ls) - 2, F.lit(0))).alias("b"), F.slice(ls, 3, F.greatest(F.size(ls) - 2, F.lit(0))).alias("c")), lambda x: (x["a"] == x["b"]) & (x["b"] == x["c"]))
+    facts = read.select(
+        key, "t", "low", F.size(F.filter(ls, lambda x: x.startswith("#"))).alias("heads"), F.floor(occurrences(t, "```") / 2).alias("fences"), F.size(F.filter(ls, lambda x: x.rlike(ITEM))).alias("items"),
+        F.size(F.filter(F.split(t, "\n\n", -1), lambda p: p.rlike(SOLID))).alias("paras"), per_sentence.alias("per"), F.size("ws").alias("n"), F.size(F.filter("ws", lambda w: F.octet_length(w) > 12)).alias("long"),
+        last.alias("last"), ((F.size(ls) >= 5) & three).alias("repeats"), code_quality(t).alias("code"),
+    )
+    per = F.when(F.size("per") > 0, F.aggregate("per", F.lit(0), lambda a, x: a + x) / F.size("per"))
+    facts = facts.withColumn("per", per).withColumn("long", F.when(F.col("n") > 0, F.col("long") / F.col("n")))
+    cut_off = cut_off_at(F.col("last"))
+    issues = [(F.octet_length(t) < shortest, "short"), (~t.rlike(SOLID), "blank"), (cut_off, "incomplete")]
+    warnings = [(F.octet_length(t) > longest, "long"), (any_of(t, PLACEHOLDERS), "placeholder"), (any_of(low, UNSURE), "unsure"), (F.col("repeats"), "repetition")]
+    listed = lambda found: F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in found]), lambda x: x.isNotNull())
+    scored = facts.select(
+        key, length_score(t, kind).alias("length"), structure_of(F.col("heads"), F.col("fences"), F.col("items"), F.col("paras")).alias("structure"), named_share(low, kind).alias("completeness"),
+        "code", clarity_of(t, F.col("per"), F.col("long"), low).alias("clarity"), listed(issues).alias("issues"), listed(warnings).alias("warnings"),
+    )
+    return scored.withColumn("overall", overall(scored)).withColumn("level", confidence_level(F.col("overall")))
+
+
 def confidence_parts(text: Column, kind: str) -> dict[str, Column]:
     """The five scores of an answer."""
     return {"length": length_score(text, kind), "structure": answer_structure(text), "completeness": completeness(text, kind), "code": code_quality(text), "clarity": clarity(text)}
@@ -188,7 +228,10 @@ def grade(score: Column) -> Column:
 
 def looks_cut_off(text: Column) -> Column:
     """The last line ends no sentence and no fence, or ends in dots or a joining word."""
-    last = stripped(F.coalesce(F.element_at(F.when(F.size(lines(text)) > 0, lines(text)), -1), F.lit("")))
+    return cut_off_at(bind(lines(text), lambda ls: stripped(F.coalesce(F.get(ls, F.size(ls) - 1), F.lit("")))))
+
+
+def cut_off_at(last: Column) -> Column:
     return (~last.rlike(r"([.!?]|```)$") & (last != "")) | F.lower(last).rlike(r"(\.\.\.|and|but|or|the|a|an)$")
 
 
@@ -224,6 +267,12 @@ def extraction_quality(f1: Column, recall: Column, precision: Column, hit_rate:
     return 0.4 * f1 + 0.2 * recall + 0.2 * precision + 0.2 * (hit_rate + speed) / 2
 
 
+def directory_score(documents: DataFrame) -> DataFrame:
+    """One row over (score, errors, warnings) of documents: their mean score (0 without any) and the totals."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return documents.agg(F.count("*").alias("documents"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("score"), total("errors"), total("warnings"))
+
+
 def readiness(error_rate: Column, hit_rate: Column, ms: Column, quality: Column, improvement: Column) -> Column:
     """Checks before a roll-out: struct(name, passed); rates from 0 to 1."""
     checks = {"error_rate": error_rate <= 0.01, "hit_rate": hit_rate >= 0.9, "time": ms <= 2000, "quality": quality >= 0.7, "improvement": improvement >= 0.15}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Abbreviations whose full stops end no sentence, in the order they are looked for.
 ABBREVIATIONS = ["Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Sr.", "Jr.", "vs.", "etc.", "e.g.", "i.e.", "Ph.D.", "M.D.", "U.S.", "U.K.", "Inc.", "Ltd.", "Corp.", "Co."]
+#: Fixed value: spans in which terminators end nothing.
 CODE = r"```[\s\S]*?```|`[^`]+`"
 #: Stand-ins (private use area) for full stop, exclamation and question mark where they end nothing.
 HIDDEN = "\ue000\ue001\ue002"
@@ -81,6 +83,49 @@ def overlapping_chunks(text: Column, size: int, overlap: int = 0) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def context_chunks(text: Column, size: int, overlap: int = 0) -> Column:
+    """Pieces of at most ``size`` characters that end at a paragraph past the middle, else at the last full stop, else anywhere.
+
+    The next piece begins ``overlap`` characters before a piece's end, at least one
+    after its begin; the piece that ends the text is the last. Where a piece ends
+    decides where the next begins, which no built-in function walks, so an Arrow
+    function does, a batch of texts at a time.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and below size")
+
+    def pieces(t: str) -> list[str]:
+        out, start = [], 0
+        while start < len(t):
+            end = min(start + size, len(t))
+            if end < len(t):
+                gap, stop = t.rfind("\n\n", start, end), t.rfind(".", start, end)
+                end = gap if gap - start > size // 2 else stop + 1 if stop >= 0 else end
+            out.append(t[start:end])
+            if end >= len(t):
+                break
+            start = max(end - overlap, start + 1)
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([pieces(t) if t is not None else [] for t in texts])
+
+    return run(text)
+
+
+def context_summary(text: Column, sections: list[str], most: int = 500) -> Column:
+    """Excerpts of named sections under their headings, up to the last full stop within ``most`` characters; without any, the text cut to fit."""
+
+    def part(name: str) -> Column:
+        head = lambda body: F.substring(body, 1, most)
+        cut = lambda body: F.when(F.instr(head(body), ".") > 0, F.substring(body, F.lit(1), F.lit(most) - F.instr(F.reverse(head(body)), ".") + 1)).otherwise(head(body))
+        return bind(section(text, name), lambda body: F.concat(F.lit(f"## {name}\n\n"), F.when(F.length(body) > most, cut(body)).otherwise(body), F.lit("\n\n")))
+
+    made = F.concat_ws("", *map(part, sections))
+    return F.when(made != "", made).otherwise(truncated_to(text))
+
+
 def section(text: Column, name: str) -> Column:
     """Body of the first heading of levels 1 to 3 with that name, to the next heading."""
     body = F.regexp_extract(text, rf"(?s)(?:^|\n)#{{1,3}} \Q{name}\E[^\n]*\n(.*?)(?=\n#|\z)", 1)
@@ -139,6 +184,11 @@ def heading_keywords(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(words(F.lower(title)), lambda w: F.octet_length(w) > 3), 1, most)
 
 
+def first_heading(text: Column) -> Column:
+    """Title of the first heading of level 1, else null."""
+    return F.nullif(stripped(F.regexp_extract(text, r"(?m)^# +(.*)$", 1)), F.lit(""))
+
+
 def table_of_contents(text: Column) -> Column:
     """Links to headings of levels 2 to 4 outside fences, indented by level."""
     lines = F.split(text, "\n", -1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -35,25 +38,29 @@ def mean(vectors: Column) -> Column:
 
 def packed(vector: Column) -> Column:
     """Little-endian single precision bytes, for stores that keep vectors so."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("binary")
-    def pack(v):
-        import numpy as np
-
-        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def pack(v: pa.Array) -> pa.Array:
+        v = v.cast(pa.large_list(pa.float32()))
+        ends = np.asarray(v.offsets, np.int64) * 4
+        valid = pa.array(np.asarray(v.is_valid()))
+        raw = np.ascontiguousarray(v.values.fill_null(float("nan")).to_numpy(zero_copy_only=False), "<f4")
+        whole = pa.Array.from_buffers(pa.large_binary(), len(v), [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(raw)])
+        return pc.if_else(valid, whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
     return pack(vector)
 
 
 def unpacked(data: Column) -> Column:
     """The reverse; a length that isn't a multiple of four is an error."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<float>")
-    def unpack(v):
-        import numpy as np
 
-        return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+    @F.arrow_udf("array<float>")
+    def unpack(v: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.binary_length(v), 0), np.int64)
+        if (size % 4).any():
+            raise ValueError("bytes that are no single precision numbers")
+        raw = b"".join(x.as_buffer().to_pybytes() for x in v if x.is_valid)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size // 4)], pa.int64()), pa.array(np.frombuffer(raw, "<f4"), pa.float32()))
+        return pc.if_else(v.is_valid(), lists, pa.scalar(None, lists.type)).cast(pa.list_(pa.float32()))
 
     return unpack(data)

@@ -39,13 +39,27 @@ PRESETS = {
 }
 
 
-def embedded(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 32, out: str = "embedding") -> DataFrame:
-    """Adds a model's vectors, asked for in batches within each task."""
+def embedded(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 32, out: str = "embedding", size: int | None = None) -> DataFrame:
+    """Adds a model's vectors, asked for in batches within each task.
+
+    Blank texts are an error, and so are vectors of another length than ``size``
+    or, without one, than the first of their task: the first failure ends the job.
+    """
+    if batch < 1:
+        raise ValueError("batch must be 1 at least")
 
     def run(frames):
+        expected = size
         for frame in frames:
             texts = frame[text].tolist()
-            yield frame.assign(**{out: [v for k in range(0, len(texts), batch) for v in model(texts[k : k + batch])]})
+            if any(t is None or not t.strip() for t in texts):
+                raise ValueError("a blank text has no embedding")
+            vectors = [v for k in range(0, len(texts), batch) for v in model(texts[k : k + batch])]
+            for v in vectors:
+                expected = len(v) if expected is None else expected
+                if len(v) != expected:
+                    raise ValueError(f"a vector has {len(v)} components, {expected} expected")
+            yield frame.assign(**{out: vectors})
 
     return rows.mapInPandas(run, rows.withColumn(out, F.array().cast("array<float>")).schema)
 
@@ -111,9 +125,14 @@ def chunked(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key:
     A document's sentences meet in one row: documents, not the collection, must
     fit a task.
     """
-    each = adjacent(sentences_, key, "number")
-    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding", "similarity"))).alias("s"))
-    sims = F.slice(F.transform("s", lambda x: x["similarity"]), 2, F.greatest(F.size("s") - 1, F.lit(0)))
+    listed = sentences_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding"))).alias("s"))
+    return chunked_lists(listed, config, key)
+
+
+def chunked_lists(listed: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id") -> DataFrame:
+    """Chunks of (key, s) rows, s the struct(number, sentence, embedding) of a document's sentences in order; nothing is exchanged."""
+    pair = lambda i: cosine(F.get("s", i)["embedding"], F.get("s", i - 1)["embedding"])
+    sims = F.when(F.size("s") > 1, F.transform(F.sequence(F.lit(1), F.size("s") - 1), pair)).otherwise(F.array().cast("array<double>"))
     made = listed.withColumn("sims", sims).withColumn("cuts", F.when(F.size("sims") > 0, boundaries(F.col("sims"), config)).otherwise(F.array(F.lit(0))))
     made = made.withColumn("spans", bind(F.col("cuts"), lambda c: spans(c, F.size("s"), config)))
     part = lambda c, a, b: F.slice(c, a + 1, b - a + 1)
@@ -129,8 +148,19 @@ def chunked(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key:
     return chunk.withColumn("word_count", F.size(words(F.col("content")))).withColumn("char_count", F.length("content"))
 
 
+def sentence_count(start: Column, end: Column) -> Column:
+    return end - start + 1
+
+
 def chunk_documents(docs: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id", text: str = "text", model: Callable | None = None, size: int = 384) -> DataFrame:
-    """Sentences, embeddings (a model's, or the hash stand-in) and chunks of documents."""
-    rows = docs.select(key, F.posexplode(sentences(F.col(text), config.min_sentence_length)).alias("number", "sentence"))
-    rows = rows.withColumn("embedding", hash_embedding(F.col("sentence"), size)) if model is None else embedded(rows, "sentence", model)
-    return chunked(rows, config, key)
+    """Sentences, embeddings (a model's, or the hash stand-in) and chunks of documents.
+
+    Without a model a document is worked on in its row; with one, sentences are
+    rows of their own, so that a long document is embedded by many tasks.
+    """
+    found = sentences(F.col(text), config.min_sentence_length)
+    if model is None:
+        item = lambda x, i: F.struct(i.alias("number"), x.alias("sentence"), hash_embedding(x, size).alias("embedding"))
+        return chunked_lists(docs.select(key, F.transform(found, item).alias("s")).where(F.size("s") > 0), config, key)
+    rows = docs.select(key, F.posexplode(found).alias("number", "sentence"))
+    return chunked(embedded(rows, "sentence", model), config, key)

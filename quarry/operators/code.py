@@ -31,14 +31,16 @@ def split_top(text: str) -> list[str]:
     return [p for p in [*out, part.strip()] if p]
 
 
-def balanced(lines: list[str], at: int, most: int = 60) -> str:
-    """Lines from ``at`` on, until as many parentheses close as open."""
-    out = ""
-    for line in lines[at : at + most]:
-        out += (" " if out else "") + line.strip()
-        if "(" in out and out.count("(") <= out.count(")"):
-            break
-    return out
+def balanced(lines: list[str], at: int) -> str:
+    """Lines from ``at`` on, until as many parentheses close as open; the first line alone if they never do."""
+    out, depth, seen = [], 0, False
+    for k in range(at, len(lines)):
+        out.append(lines[k].strip())
+        seen = seen or "(" in lines[k]
+        depth += lines[k].count("(") - lines[k].count(")")
+        if seen and depth <= 0 or not seen and lines[k].rstrip().endswith((";", "{", "}")):
+            return " ".join(out)
+    return lines[at].strip()
 
 
 def inside(signature: str) -> tuple[str, str]:
@@ -105,6 +107,15 @@ def go(lines: list[str]) -> Iterator[Item]:
             yield m[2], m[1], "public" if m[1][0].isupper() else "private", [], None, above(lines, k, "//", ""), [x for x in body_lines(lines, k) if x and not x.startswith("//")], k + 1
 
 
+def docstring(lines: list[str], at: int) -> list[str]:
+    """Lines from ``at`` to the one that closes the string that opens there; none if none does."""
+    opening = re.match(r'\s*[rRuU]?("""|\'\'\')', lines[at]) if at < len(lines) else None
+    if not opening:
+        return []
+    end = at if opening[1] in lines[at][opening.end() :] else next((k for k in range(at + 1, len(lines)) if opening[1] in lines[k]), len(lines) - 1)
+    return lines[at : end + 1]
+
+
 def python(lines: list[str]) -> Iterator[Item]:
     for k, line in enumerate(lines):
         if m := re.match(r"^\s*(?:async\s+)?(def|class)\s+(\w+)", line):
@@ -114,7 +125,7 @@ def python(lines: list[str]) -> Iterator[Item]:
             at = k
             while at + 1 < len(lines) and not lines[at].rstrip().endswith(":"):
                 at += 1
-            note = re.match(r'\s*[rRuU]?("""|\'\'\')(.*?)(?:\1|\Z)', "\n".join(lines[at + 1 : at + 40]), re.S)
+            note = re.match(r'\s*[rRuU]?("""|\'\'\')(.*?)(?:\1|\Z)', "\n".join(docstring(lines, at + 1)), re.S)
             kind = "function" if m[1] == "def" else "class"
             yield kind, m[2], "private" if m[2].startswith("_") else "public", split_top(args), given[1] if given else None, note[2].strip() if note else None, [], k + 1
         elif m := re.match(r"^\s*(?:import\s+(.+)|from\s+(\S+)\s+import\b)", line):
@@ -176,6 +187,22 @@ def public_functions(items: DataFrame) -> DataFrame:
     return items.where("kind = 'function' and visibility = 'public'")
 
 
+def documentation_coverage(items: DataFrame, configs: DataFrame) -> DataFrame:
+    """One row: documented items over modules, functions, types and configuration files."""
+    n = items.where("kind <> 'import'").agg(F.count("*").alias("items"), F.coalesce(F.sum(F.col("documentation").isNotNull().cast("long")), F.lit(0)).alias("documented"))
+    made = n.join(configs.agg(F.count("*").alias("configs")))
+    all_ = F.col("items") + F.col("configs")
+    return made.select("items", "configs", "documented", F.when(all_ > 0, F.col("documented") / all_).otherwise(0.0).alias("coverage"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """Parse results of several runs as one, each item of a file once."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["path", "kind", "name", "line"])
+
+
 def coverage(items: DataFrame, *by: str) -> DataFrame:
     """Share of items with documentation, and of functions that are public."""
     documented = F.avg(F.col("documentation").isNotNull().cast("double"))

@@ -1,7 +1,6 @@
 """Incremental loads: what changed between two states of a file set, and how a table follows.
 
-A store is a Parquet folder; a change of it is computed as a whole and
-committed by swapping a pointer file's content, so that readers see one state.
+These are the computations; :mod:`quarry.sources.store` keeps tables and commits changes of them.
 """
 
 from __future__ import annotations
@@ -25,6 +24,11 @@ class LoadFlags:
         if self.force and (self.resume or self.update):
             raise ValueError("force goes with neither resume nor update")
 
+    @property
+    def mode(self) -> str:
+        """What a load does with files it knows; resuming skips unchanged ones, as any load but a forced one does."""
+        return "force" if self.force else "resume" if self.resume else "update" if self.update else "full"
+
 
 def compared(current: DataFrame, existing: DataFrame, key: str = "path", mark: str = "hash") -> DataFrame:
     """(key, action, current and existing mark) of every path in either state."""

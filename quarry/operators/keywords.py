@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions.text import content_hash, tokens
 
@@ -13,6 +15,7 @@ STOP_WORDS = [
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
     "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "our", "you", "your", "he", "she", "him", "her", "his",
 ]
+#: Fixed value: what makes a word technical, beside its length.
 TECHNICAL = r"[_.-]|(rs|toml|yaml|json)$|^(cargo|rust|async)"
 DESCRIPTIVE_MOST, TECHNICAL_MOST, ENRICHED_MOST = 8, 10, 15
 
@@ -75,21 +78,63 @@ def parsed_answer(answer: Column) -> Column:
     return F.when((F.size(d) > 0) | (F.size(t) > 0), found)
 
 
-def asked(docs: DataFrame, text: str, model: Callable[[list[str]], list[str]], most: int = 8000, tries: int = 3) -> DataFrame:
-    """Adds ``answer``: what a text model says to the first ``most`` characters; null after ``tries`` failures."""
+def asked(docs: DataFrame, text: str, model: Callable[[list[str]], list[str]], most: int = 8000, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """Adds ``answer``: what a text model says to the first ``most`` bytes (no character is cut); null after ``tries`` failures, ``wait`` seconds apart."""
 
     def run(frames):
         for frame in frames:
             answers = None
-            for _ in range(tries):
+            texts = [(t or "").encode()[:most].decode("utf-8", "ignore") for t in frame[text]]
+            for k in range(tries):
+                if k:
+                    time.sleep(wait)
                 try:
-                    answers = model([(t or "")[:most] for t in frame[text]])
+                    answers = model(texts)
                     break
                 except (OSError, RuntimeError):
                     continue
             yield frame.assign(answer=answers if answers is not None else [None] * len(frame))
 
-    return docs.mapInPandas(run, docs.withColumn("answer", F.lit("")).schema)
+    return docs.mapInPandas(run, StructType(list(docs.schema.fields)).add("answer", "string"))
+
+
+def streamed_answer(body: Column) -> Column:
+    """The text of a streamed answer: ``response`` of its JSON lines in order, up to the one that says ``done``."""
+    part = F.transform(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"\S")), lambda x: F.from_json(x, "struct<response:string,done:boolean>"))
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
+    step = lambda a, x: F.when(a["done"], a).otherwise(F.struct(F.concat(a["text"], F.coalesce(x["response"], F.lit(""))).alias("text"), F.coalesce(x["done"], F.lit(False)).alias("done")))
+    return F.aggregate(part, start, step, lambda a: a["text"])
+
+
+def extracted(docs: DataFrame, key: str, text: str, model: Callable[[list[str]], list[str]] | None = None, percent: float = 100.0, fallback: bool = True, least: int = 50, wait: float = 1.0) -> DataFrame:
+    """(key, descriptive, technical, method, confidence, error) of every document: a model's keywords or the frequent words.
+
+    Equal texts are extracted once. Those among ``percent`` of the hashes with
+    ``least`` bytes or more go to the model; where it fails or says nothing
+    usable, frequency takes over or, without fallback, the document has an error.
+    Blank texts are an error of their own.
+    """
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", content_hash(F.col("_text")))
+    once = rows.where(F.col("_text").rlike(r"(?U)\S")).select("_hash", "_text").dropDuplicates(["_hash"])
+    gate = in_rollout(F.col("_hash"), percent) if model is not None else F.lit(False)
+    once = once.withColumn("_gate", gate & (F.octet_length("_text") >= least))
+    counted = keyword_lists(once, "_hash", "_text")
+    if model is not None:
+        said = asked(once.where("_gate"), "_text", model, wait=wait).select("_hash", parsed_answer(F.col("answer")).alias("_said"))
+    else:
+        said = once.where("false").select("_hash", F.lit(None).cast("struct<descriptive:array<string>,technical:array<string>,confidence:double>").alias("_said"))
+    found = once.select("_hash", "_gate").join(said, "_hash", "left").join(counted, "_hash", "left")
+    by_model = F.col("_said").isNotNull()
+    error = F.when(F.col("_gate") & ~by_model & F.lit(not fallback), "the model gave no keywords")
+    none = F.array().cast("array<string>")
+    pick = lambda c: F.when(by_model, F.col(f"_said.{c}")).when(error.isNull(), F.coalesce(c, none))
+    made = found.select(
+        "_hash", pick("descriptive").alias("descriptive"), pick("technical").alias("technical"), F.when(by_model, "model").when(error.isNull(), "frequency").alias("method"),
+        F.when(by_model, F.col("_said.confidence")).when(error.isNull(), F.coalesce("confidence", F.lit(0.6))).alias("confidence"), error.alias("_error"),
+    )
+    joined = rows.join(made, "_hash", "left")
+    blank = F.when(~F.col("_text").rlike(r"(?U)\S"), "empty content")
+    return joined.select(key, "descriptive", "technical", "method", "confidence", F.coalesce(blank, F.col("_error")).alias("error"))
 
 
 def in_rollout(key: Column, percent: float, seed: int = 0) -> Column:

@@ -19,6 +19,24 @@ def extraction(ops: DataFrame) -> DataFrame:
     return made.withColumn("hit_rate", share(F.col("hits"), total)).withColumn("fallback_rate", share(F.col("fallbacks"), total)).withColumn("error_rate", share(total - F.col("succeeded"), total))
 
 
+def snapshot(ops: DataFrame, order: list[str], window: int = 1000) -> DataFrame:
+    """:func:`extraction` with the percentiles of the last ``window`` times and the seconds from the first row to the last."""
+    span = ops.agg((F.max("ts").cast("double") - F.min("ts").cast("double")).alias("uptime_s"))
+    return extraction(ops).join(last_percentiles(ops, order, "ms", window)).join(span)  # one row each
+
+
+def collector(events: DataFrame, flushed: str = "flushed", failed: str = "failed") -> DataFrame:
+    """One row over buffered events: waiting, total, flushed, errors."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    done, bad = F.col(flushed), F.col(failed)
+    return events.agg(n(~done & ~bad).alias("buffer_size"), F.count("*").alias("total_events"), n(done).alias("total_flushed"), n(bad).alias("total_errors"))
+
+
+def connections(table: DataFrame) -> DataFrame:
+    """One row over (connection_id, subscription_id) rows: connections, subscriptions."""
+    return table.agg(F.count_distinct("connection_id").alias("connections"), F.count("subscription_id").alias("subscriptions"))
+
+
 def last_percentiles(ops: DataFrame, order: list[str], value: str = "ms", window: int = 1000) -> DataFrame:
     """p50, p95 and p99 (nearest rank) of the last ``window`` rows."""
     last = ops.orderBy(*[F.desc(c) for c in order]).limit(window)
@@ -40,13 +58,18 @@ def alerts(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("a")).select("a.*")
 
 
-def timings(spans: DataFrame, name: str = "name", ms: str = "ms", order: str = "ts") -> DataFrame:
-    """Report by scope, largest total first: count, total, extremes, last, mean, true percentiles and quick estimates of them."""
+def timings(spans: DataFrame, name: str = "name", ms: str = "ms", order: tuple[str, ...] = ("ts",), by_average: bool = False, above: float | None = None) -> DataFrame:
+    """Report by scope: count, total, extremes, last, mean, true percentiles and quick estimates of them.
+
+    The largest total comes first, or the largest mean; ``above``: scopes whose mean exceeds it.
+    """
     made = spans.groupBy(name).agg(
-        F.count("*").alias("count"), F.sum(ms).alias("total"), F.min(ms).alias("min"), F.max(ms).alias("max"), F.max_by(ms, order).alias("last"), F.avg(ms).alias("avg"),
+        F.count("*").alias("count"), F.sum(ms).alias("total"), F.min(ms).alias("min"), F.max(ms).alias("max"), F.max_by(ms, F.struct(*order)).alias("last"), F.avg(ms).alias("avg"),
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})").alias("p95"),
     )
-    return made.withColumn("p95_estimate", F.col("avg") + 0.7 * (F.col("max") - F.col("avg"))).withColumn("p99_estimate", F.col("avg") + 0.9 * (F.col("max") - F.col("avg"))).orderBy(F.desc("total"), name)
+    made = made if above is None else made.where(F.col("avg") > above)
+    made = made.withColumn("p95_estimate", F.col("avg") + 0.7 * (F.col("max") - F.col("avg"))).withColumn("p99_estimate", F.col("avg") + 0.9 * (F.col("max") - F.col("avg")))
+    return made.orderBy(F.desc("avg" if by_average else "total"), name)
 
 
 def variants(runs: DataFrame) -> DataFrame:
@@ -91,7 +114,7 @@ def histogram(values: DataFrame, value: str, bounds: list[float], name: str) ->
     aggs = [F.sum((F.col(value) <= b).cast("long")).alias(f"b{k}") for k, b in enumerate(bounds)]
     made = values.agg(*aggs, F.count(value).alias("n"), F.sum(value).alias("s"))
     lines = [F.format_string(f'{name}_bucket{{le="{b:g}"}} %d', f"b{k}") for k, b in enumerate(bounds)]
-    lines += [F.format_string(f'{name}_bucket{{le="+Inf"}} %d', "n"), F.format_string(f"{name}_sum %s", F.col("s").cast("string")), F.format_string(f"{name}_count %d", "n")]
+    lines += [F.format_string(f'{name}_bucket{{le="+Inf"}} %d', "n"), F.format_string(f"{name}_sum %.6f", F.coalesce(F.col("s").cast("double"), F.lit(0.0))), F.format_string(f"{name}_count %d", "n")]
     return made.select(F.explode(F.array(*lines)).alias("line"))
 
 

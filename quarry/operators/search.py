@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -50,21 +50,42 @@ def semantic_search(chunks: DataFrame, query: list[float], config: SearchConfig
     return scored.orderBy(F.desc("similarity"), *ties).limit(config.max_results)
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query") -> DataFrame:
-    """The k nearest chunks of every row of ``queries``, which are sent to all chunks if they are few.
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query", block: int = 10_000) -> DataFrame:
+    """The k nearest chunks of every row of ``queries``: all chunks against blocks of about ``block`` queries.
 
-    Each task keeps k rows per query before anything is exchanged (the window's
-    group limit).
+    One block, of a few MB, is sent to all tasks; more blocks are dealt to as many
+    copies of the chunks by a key of their own. Each task keeps k rows per query
+    before anything is exchanged (the window's group limit).
     """
     require(k >= 1, "k must be 1 at least")
     asked = queries.select(F.col(query_id), F.col(query_vector))
-    near = asked.limit(10_001).count() <= 10_000  # 10 000 vectors are a few MB
-    pairs = chunks.crossJoin(F.broadcast(asked)) if near else chunks.crossJoin(asked)
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
+    dealt = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
+    pairs = dealt.join(F.broadcast(asked) if blocks == 1 else asked, "_block").drop("_block")
     scored = pairs.withColumn("similarity", cosine(F.col(vector), F.col(query_vector))).where(F.col("similarity").isNotNull())
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), chunk_id)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity", "rank")
 
 
+@dataclass(frozen=True)
+class SavedSearch:
+    """A search that a user keeps; creating or updating one checks its names and the request itself."""
+
+    user_id: str
+    name: str
+    request: "Request"
+    description: str | None = None
+
+    def __post_init__(self):
+        require(bool(self.name.strip()), "a saved search needs a name")
+        require(bool(self.user_id.strip()), "a saved search needs a user")
+
+    def updated(self, **changes) -> "SavedSearch":
+        return replace(self, **{k: v for k, v in changes.items() if v is not None})
+
+
 # -- clauses -----------------------------------------------------------------
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import changes, quality, text as tx, vector as vx
-from quarry.operators import analytics, chunking, code, crossref, incremental, keywords, monitoring, search
+from quarry.operators import analytics, chunking, code, crossref, incremental, ingest, intents, keywords, monitoring, prompts, search
 from quarry.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,21 +178,21 @@ def semantic_topk(spark, sf):
     return search.semantic_search(v, q, search.SearchConfig(), ties=("vec_id",)).select("vec_id", r6(F.col("similarity")).alias("similarity"))
 
 
-@query(V + """, p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS s FROM v q, v c WHERE q.vec_id < 20)
+@query(V + """, p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS s FROM v q, v c WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
 def batch_topk(spark, sf):
     v = read(spark, sf, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.batch_search(v, asked, 5, "vec_id").withColumn("similarity", r6(F.col("similarity")))
 
 
-@query(V + """, p AS (SELECT q.vec_id AS q, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS r FROM v q, v c WHERE q.vec_id < 20 AND c.vec_id <> q.vec_id),
+@query(V + """, p AS (SELECT q.vec_id AS q, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS r FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 e AS (SELECT q, count(*) FILTER (cl = ql) AS f, min(r) FILTER (cl = ql) AS first FROM p WHERE r <= 10 GROUP BY q),
-k AS (SELECT a.vec_id AS q, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20 GROUP BY 1)
+k AS (SELECT a.vec_id AS q, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1)
 SELECT round(avg(f / 10.0), 6) AS precision, round(avg(f::DOUBLE / n), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, 0.0::DOUBLE AS zero_result_rate, 10.0::DOUBLE AS avg_results FROM e JOIN k USING (q)""")
 def knn_label_precision(spark, sf):
     v = read(spark, sf, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("q_label"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("q_label"))
     near = search.batch_search(v, asked.drop("q_label"), 11, "vec_id").where("vec_id <> query_id")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 10").select(F.col("query_id").alias("query"), F.col("vec_id").alias("doc"), "rank")
     relevant = asked.join(v, F.col("q_label") == F.col("label")).where("query_id <> vec_id").select(F.col("query_id").alias("query"), F.col("vec_id").alias("doc"))
@@ -225,7 +226,7 @@ def centroid(spark, sf):
 def semantic_chunks(spark, sf):
     """Chunks of all documents, with the hash stand-in for a model."""
     made = chunking.chunk_documents(read(spark, sf, "documents"), chunking.ChunkerConfig(), size=64)
-    return made.select("doc_id", "chunk_index", "total_chunks", "start_sentence", "end_sentence", "word_count", "char_count", r6(F.col("avg_similarity")).alias("avg_similarity"))
+    return made.select("doc_id", "chunk_index", "total_chunks", "start_sentence", "end_sentence", "content", "embedding", "word_count", "char_count", r6(F.col("avg_similarity")).alias("avg_similarity"))
 
 
 @query("""SELECT doc_id, CASE WHEN p LIKE '%tutorial%' THEN 'tutorial' WHEN p LIKE '%howto%' OR p LIKE '%how-to%' OR p LIKE '%how\\_to%' ESCAPE '\\' THEN 'how-to'
@@ -422,14 +423,35 @@ def content_category(spark, sf):
     return read(spark, sf, "documents").select("doc_id", quality.document_category(F.lit("x.md"), F.col("text")).alias("category"))
 
 
-@query()
+ANSWER_SQL = f"""
+WITH a AS (SELECT doc_id, text AS t, lower(text) AS low, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) END AS ls,
+  list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, t, low, ls, len(list_filter(ls, lambda x: starts_with(x, '#'))) AS heads, (length(t) - length(replace(t, '```', ''))) // 3 // 2 AS fences,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[-*]'))) AS items, len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S'))) AS paras,
+  list_filter(string_split(t, '.'), lambda x: regexp_matches(x, '\\S')) AS sents, len(ws) AS n, len(list_filter(ws, lambda w: strlen(w) > 12)) AS long_n,
+  coalesce(regexp_replace(ls[len(ls)], '^\\s+|\\s+$', '', 'g'), '') AS last FROM a),
+g AS (SELECT *, list_avg(list_transform(sents, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')))) AS per, CASE WHEN n > 0 THEN long_n / n::DOUBLE END AS longs FROM f),
+s AS (SELECT doc_id, t, low, ls, last, strlen(t) AS bytes,
+  CASE WHEN strlen(t) < 800 THEN strlen(t) / 800.0::DOUBLE WHEN strlen(t) > 8000 THEN greatest(1.0 - 0.5 * (strlen(t) - 8000) / 8000.0::DOUBLE, 0.3) ELSE 1.0 END::DOUBLE AS length,
+  CASE WHEN (heads > 0)::INT + (fences > 0)::INT + (items > 0)::INT + (paras > 0)::INT = 0 THEN 0.3 ELSE (CASE WHEN heads >= 3 THEN 1.0 WHEN heads > 0 THEN 0.5 + heads * 0.25 ELSE 0 END + CASE WHEN fences >= 2 THEN 1.0 WHEN fences > 0 THEN 0.7 ELSE 0 END
+    + CASE WHEN items >= 5 THEN 1.0 WHEN items > 0 THEN 0.7 ELSE 0 END + CASE WHEN paras >= 3 THEN 1.0 WHEN paras > 0 THEN 0.5 ELSE 0 END)::DOUBLE / ((heads > 0)::INT + (fences > 0)::INT + (items > 0)::INT + (paras > 0)::INT) END::DOUBLE AS structure,
+  ({" + ".join(f"contains(low, '{w}')::INT" for w in quality.EXPECTED["reference"])}) / {len(quality.EXPECTED["reference"])}.0::DOUBLE AS completeness, 0.7::DOUBLE AS code,
+  (CASE WHEN per IS NULL THEN 0 WHEN per < 10 THEN 0.7 WHEN per > 35 THEN 0.5 WHEN per BETWEEN 15 AND 25 THEN 1.0 ELSE 0.8 END + CASE WHEN longs IS NULL THEN 0 WHEN longs > 0.15 THEN 0.6 WHEN longs < 0.05 THEN 0.9 ELSE 1.0 END
+    + CASE WHEN {" OR ".join(f"contains(low, '{w}')" for w in quality.TRANSITIONS)} THEN 1.0 ELSE 0.6 END)::DOUBLE / (1 + (per IS NOT NULL)::INT + (longs IS NOT NULL)::INT) AS clarity FROM g),
+o AS (SELECT *, length * 0.15::DOUBLE + structure * 0.25::DOUBLE + completeness * 0.3::DOUBLE + code * 0.2::DOUBLE + clarity * 0.1::DOUBLE AS overall FROM s)
+SELECT doc_id, round(length, 6) AS length, round(structure, 6) AS structure, round(completeness, 6) AS completeness, round(code, 6) AS code, round(clarity, 6) AS clarity,
+  list_filter([CASE WHEN bytes < 100 THEN 'short' END, CASE WHEN NOT regexp_matches(t, '\\S') THEN 'blank' END,
+    CASE WHEN (last <> '' AND NOT regexp_matches(last, '([.!?]|```)$')) OR regexp_matches(lower(last), '(\\.\\.\\.|and|but|or|the|a|an)$') THEN 'incomplete' END], lambda x: x IS NOT NULL) AS issues,
+  list_filter([CASE WHEN bytes > 50000 THEN 'long' END, CASE WHEN {" OR ".join(f"contains(t, '{w}')" for w in quality.PLACEHOLDERS)} THEN 'placeholder' END,
+    CASE WHEN {" OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in quality.UNSURE)} THEN 'unsure' END,
+    CASE WHEN len(ls) >= 5 AND len(list_filter(range(3, len(ls) + 1), lambda i: ls[i] = ls[i - 1] AND ls[i] = ls[i - 2])) > 0 THEN 'repetition' END], lambda x: x IS NOT NULL) AS warnings,
+  round(overall, 6) AS overall, CASE WHEN overall >= 0.8 THEN 'high' WHEN overall >= 0.6 THEN 'medium' WHEN overall >= 0.4 THEN 'low' ELSE 'very_low' END AS level FROM o"""
+
+
+@query(ANSWER_SQL)
 def answer_confidence(spark, sf):
-    """Five scores of documents taken as answers of type reference, with issues and warnings."""
-    t = F.col("text")
-    parts = quality.confidence_parts(t, "reference")
-    scored = read(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()], quality.answer_issues(t).alias("issues"), quality.answer_warnings(t).alias("warnings"))
-    scored = scored.withColumn("overall", quality.overall(scored))
-    return rounded(scored).withColumn("level", quality.confidence_level(F.col("overall")))
+    """Five scores of documents taken as answers of type reference, with issues and warnings (no text has a fence: code is constant)."""
+    return rounded(quality.answer_scores(read(spark, sf, "documents"), "reference"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents)
@@ -451,21 +473,131 @@ def normal_queries(spark, sf):
     return read(spark, sf, "benchmark").select(tx.normal_query(F.col("text")).alias("key")).distinct()
 
 
+# -- intents, prompts, stores --------------------------------------------------
+
+NAMES = ["Tutorial", "how-to", "API", "concepts", "guide", "nonsense", "", "tutorials", "reference"]
+NAMES_SQL = "(['Tutorial', 'how-to', 'API', 'concepts', 'guide', 'nonsense', '', 'tutorials', 'reference'])[{} % 9 + 1]"
+
+
+def intent_sql(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN lower({name}) IN ({', '.join(repr(n) for n in names)}) THEN '{i}'" for i, names in intents.ALIASES.items()) + " END"
+
+
+#: Answers in the form that a model is asked for, some with faults; ``\w+`` ends a name at a hyphen.
+@query(f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'a how to of sorts' ELSE 'Intent: ' || {NAMES_SQL.format('doc_id')} || chr(10) || 'Confidence: ' || CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE (doc_id % 13 / 10.0)::DECIMAL(3, 1)::VARCHAR END
+  || chr(10) || 'Reasoning: it is ' || lang || chr(10) || 'Secondary: ' || {NAMES_SQL.format('(doc_id + 3)')} || ':0.8, explanation:' || (doc_id % 10 / 10.0)::DECIMAL(3, 1) || ', x' END AS t FROM documents),
+p AS (SELECT doc_id, t, regexp_extract(t, '(?i)Intent:\\s*(\\w+)', 1) AS said, regexp_extract(t, '(?i)Confidence:\\s*([0-9.]+)', 1) AS conf, regexp_extract(t, '(?i)Reasoning:\\s*(.+?)(?:\\n|$)', 1) AS why,
+  regexp_extract(t, '(?i)Secondary:\\s*(.+?)(?:\\n|$)', 1) AS sec FROM a),
+q AS (SELECT *, CASE WHEN said <> '' THEN {intent_sql('said')} WHEN contains(lower(t), 'tutorial') THEN 'tutorial' WHEN contains(lower(t), 'howto') OR contains(lower(t), 'how-to') OR contains(lower(t), 'how to') THEN 'howto'
+  WHEN contains(lower(t), 'reference') THEN 'reference' WHEN contains(lower(t), 'explanation') THEN 'explanation' END AS intent, least(greatest(coalesce(TRY_CAST(conf AS DOUBLE), 0.7), 0), 1)::DOUBLE AS confidence FROM p)
+SELECT doc_id, intent, confidence, CASE WHEN why <> '' THEN trim(why) ELSE trim(t) END AS reasoning,
+  coalesce(array_to_string(list_filter(list_transform(string_split(sec, ','), lambda x: CASE WHEN {intent_sql("trim(string_split(trim(x), ':')[1])")} IS NOT NULL AND TRY_CAST(trim(string_split(trim(x), ':')[2]) AS DOUBLE) >= 0.6 THEN {intent_sql("trim(string_split(trim(x), ':')[1])")} END), lambda x: x IS NOT NULL), ','), '') AS secondary,
+  CASE WHEN said <> '' AND intent IS NULL THEN 'invalid_intent' WHEN intent IS NULL THEN 'parse_error' WHEN confidence < 0.6 THEN 'low_confidence' END AS error FROM q""")
+def intent_answers(spark, sf):
+    d, at = read(spark, sf, "documents"), lambda k: F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(F.col("doc_id") + k, F.lit(9)) + 1).cast("int"))
+    tenth = lambda n: (F.col("doc_id") % n / 10).cast("decimal(3,1)").cast("string")
+    confidence = F.when(F.col("doc_id") % 7 == 0, "none").otherwise(tenth(13))
+    answer = F.concat(F.lit("Intent: "), at(0), F.lit("\nConfidence: "), confidence, F.lit("\nReasoning: it is "), F.col("lang"), F.lit("\nSecondary: "), at(3), F.lit(":0.8, explanation:"), tenth(10), F.lit(", x"))
+    parsed = d.select("doc_id", intents.parsed(F.when(F.col("doc_id") % 10 == 9, "a how to of sorts").otherwise(answer), multi=True).alias("p"))
+    return parsed.select("doc_id", "p.intent", "p.confidence", "p.reasoning", F.array_join(F.transform("p.secondary", lambda x: x["intent"]), ",").alias("secondary"), "p.error")
+
+
+SIGN_COUNTS = ", ".join("(" + " + ".join(f"contains(low, '{w}')::INT" for w in signs) + f") AS {i}" for i, signs in intents.SIGNS.items())
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, trim(text, ' ' || chr(9) || chr(10)) = '' AS blank, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS low0 FROM conversations),
+h AS (SELECT conv_id, turn, blank, {SIGN_COUNTS} FROM (SELECT *, lower(text) AS low FROM c)),
+m AS (SELECT *, tutorial + howto + reference + explanation AS total, greatest(tutorial, howto, reference, explanation) AS most FROM h)
+SELECT conv_id, turn, CASE WHEN blank THEN NULL WHEN total = 0 THEN 'explanation' WHEN tutorial = most THEN 'tutorial' WHEN howto = most THEN 'howto' WHEN reference = most THEN 'reference' ELSE 'explanation' END AS intent,
+  CASE WHEN blank THEN 'empty_query' WHEN total = 0 OR round(0.5 + 0.4 * most / total, 2) < 0.6 THEN 'low_confidence' END AS error FROM m""")
+def intent_rules(spark, sf):
+    """Every turn as a question, judged by rules."""
+    return intents.classified(read(spark, sf, "conversations"), "text").select("conv_id", "turn", "intent", "error")
+
+
+TOKENS_SQL = "ceil(strlen(text) / 4.0::DOUBLE * 1.3::DOUBLE)::BIGINT"
+
+
+@query(f"""SELECT conv_id, 600::BIGINT AS total, 512::BIGINT AS available, sum({TOKENS_SQL})::BIGINT AS used, greatest(512 - sum({TOKENS_SQL}), 0)::BIGINT AS remaining, sum({TOKENS_SQL}) <= 512 AS within_limit, array_to_string(list({TOKENS_SQL} ORDER BY turn), ',') AS parts FROM conversations GROUP BY 1""")
+def prompt_budgets(spark, sf):
+    made = prompts.budgets(read(spark, sf, "conversations"), "conv_id", "turn", most=600, reserved=88)
+    return made.withColumn("parts", F.array_join(F.transform("parts", lambda x: x["tokens"].cast("string")), ","))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, {TOKENS_SQL} AS tokens, sum({TOKENS_SQL}) OVER (PARTITION BY conv_id) <= 512 AS whole FROM conversations),
+r AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY CASE WHEN NOT whole THEN turn END DESC NULLS LAST, turn ROWS UNBOUNDED PRECEDING))::BIGINT AS spent, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN NOT whole THEN turn END DESC NULLS LAST, turn) - 1 AS place FROM t),
+k AS (SELECT *, spent > 512 AS cut, floor((512 - spent + tokens) * 4 / 1.3::DOUBLE)::INT AS chars FROM r WHERE spent <= 512 OR (spent - tokens <= 512 AND 512 - spent + tokens > 100)),
+h AS (SELECT *, left(text, chars) AS head FROM k), z AS (SELECT *, strpos(reverse(head), '.') AS dot, strpos(reverse(head), ' ') AS gap FROM h)
+SELECT conv_id, turn, place::INT AS place, tokens, least(spent, 512)::BIGINT AS spent, cut, md5(CASE WHEN NOT cut THEN text WHEN dot > 0 AND length(head) - dot + 1 > chars // 2 THEN left(head, length(head) - dot + 1) WHEN gap > 0 THEN left(head, length(head) - gap) ELSE head END) AS digest FROM z""")
+def prompt_packing(spark, sf):
+    """Turns of a conversation that fit 512 tokens, the latest first, the first that doesn't cut to fit."""
+    fit = prompts.fitted(read(spark, sf, "conversations"), "conv_id", "turn", "turn", most=600, reserved=88)
+    return fit.withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "digest").withColumn("spent", F.col("spent").cast("long"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS n, 0 AS start, CASE WHEN length(text) <= 1000 THEN length(text) ELSE {cut} END AS stop FROM (SELECT doc_id, text, 0 AS s FROM documents WHERE length(text) > 0)
+  UNION ALL SELECT doc_id, text, n + 1, s, CASE WHEN s + 1000 >= length(text) THEN length(text) ELSE {cut} END FROM (SELECT doc_id, text, n, greatest(stop - 50, start + 1) AS s FROM c WHERE stop < length(text)))
+SELECT doc_id, n, length(substr(text, start + 1, stop - start)) AS chars, md5(substr(text, start + 1, stop - start)) AS digest FROM c""".format(
+    cut="""CASE WHEN strpos(reverse(substr(text, s + 1, 1000)), chr(10) || chr(10)) BETWEEN 1 AND 498 THEN s + 1000 - strpos(reverse(substr(text, s + 1, 1000)), chr(10) || chr(10)) - 1
+    WHEN strpos(reverse(substr(text, s + 1, 1000)), '.') > 0 THEN s + 1000 - strpos(reverse(substr(text, s + 1, 1000)), '.') + 1 ELSE s + 1000 END"""
+))
+def context_chunks(spark, sf):
+    each = read(spark, sf, "documents").select("doc_id", F.posexplode(tx.context_chunks(F.col("text"), 1000, 50)).alias("n", "piece"))
+    return each.select("doc_id", "n", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
+
+
+@query(STATES + """ SELECT file_path, content, chunk_index, total_chunks, hash FROM (SELECT x.path AS file_path, md5(CASE WHEN action = 'update' OR action = 'add' AND doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content,
+  0 AS chunk_index, 1 AS total_chunks, CASE WHEN action IN ('add', 'update') THEN c.h ELSE e.h END AS hash FROM x LEFT JOIN c USING (path) LEFT JOIN e USING (path) JOIN documents ON x.path = 'doc/' || doc_id WHERE doc_id % 13 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')""")
+def chunk_store(spark, sf):
+    """A chunk store after a first ingest, a second one that skips, updates and adds, and a deletion."""
+    d = read(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), "doc_id", "text")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    store = ingest.chunk_store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
+    ingest.ingest(d.where("doc_id % 11 <> 0").select("file_path", "text"), store, None)
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    ingest.ingest(d.where("doc_id % 7 <> 0").select("file_path", changed.alias("text")), store, None)
+    store.replace(spark.createDataFrame([], ingest.CHUNKS), d.where("doc_id % 13 = 0").select("file_path"))
+    return store.read().select("file_path", F.md5(F.col("content").cast("binary")).alias("content"), "chunk_index", "total_chunks", F.col("file_hash").alias("hash"))
+
+
+@query(f"""WITH {LINT_SQL}, d AS (SELECT *, {READ_SQL} AS r, {STRUCT_SQL} AS s FROM {DOCS_N})
+SELECT count(*) AS documents, round(avg(greatest((r + s) / 2 - 0.3 * errors - 0.1 * warnings, 0)::DOUBLE), 6) AS score, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM d JOIN x USING (doc_id)""")
+def directory_score(spark, sf):
+    t = F.col("text")
+    scored = lint_table(spark, sf).withColumn("score", quality.document_score(quality.readability(t), quality.structure(t), F.col("errors"), F.col("warnings")))
+    return rounded(quality.directory_score(scored))
+
+
+@query("""SELECT count(*) FILTER (event_type = 'view') AS buffer_size, count(*) AS total_events, count(*) FILTER (event_type IN ('click', 'purchase', 'signup')) AS total_flushed, count(*) FILTER (event_type = 'error') AS total_errors FROM events""")
+def collector_stats(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_type").isin("click", "purchase", "signup").alias("flushed"), (F.col("event_type") == "error").alias("failed"))
+    return monitoring.collector(e)
+
+
+@query("""SELECT count(DISTINCT user_id) AS connections, count(CASE WHEN event_type <> 'view' THEN event_id END) AS subscriptions FROM events""")
+def connection_stats(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("connection_id"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("subscription_id"))
+    return monitoring.connections(e)
+
+
 # -- cross-references, indexes -----------------------------------------------
 
 
-@query(f"""WITH d AS (SELECT 'doc ' || doc_id AS title, {CATEGORY_SQL.format('doc_id')} AS category FROM documents WHERE lang = 'es'),
-r(a, b, relationship) AS (VALUES {', '.join(str(x) for x in crossref.RULES)})
-SELECT f.title AS from_title, t.title AS to_title, relationship FROM d f JOIN r ON f.category = a JOIN d t ON t.category = b WHERE f.title <> t.title""")
+@query(f"""WITH d AS (SELECT 'doc ' || doc_id AS title, {CATEGORY_SQL.format('doc_id')} AS category FROM documents),
+r(a, b, relationship) AS (VALUES {', '.join(str(x) for x in crossref.RULES)}),
+n AS (SELECT category, count(*) AS n FROM d GROUP BY 1), m AS (SELECT title, category, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT f.title AS from_title, a AS from_category, b AS to_category, relationship, CASE b WHEN 'tutorial' THEN '../tutorials/' WHEN 'how-to' THEN '../how_to/' ELSE '../' || b || '/' END AS base, f.n AS rows, n.n - coalesce(m.n, 0) AS targets
+FROM m f JOIN r ON f.category = a JOIN n ON n.category = b LEFT JOIN m ON m.title = f.title AND m.category = b WHERE n.n - coalesce(m.n, 0) > 0""")
 def crossref_links(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'es'").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), CATEGORY(F.col("doc_id")).alias("category"), F.lit("x").alias("slug"))
-    return crossref.cross_references(d).select("from_title", "to_title", "relationship")
+    """Links of all documents as groups: each to all documents of a category but those of its own title."""
+    d = read(spark, sf, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), CATEGORY(F.col("doc_id")).alias("category"))
+    return crossref.link_groups(d)
 
 
-@query(f"SELECT category, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS titles FROM (SELECT doc_id, {CATEGORY_SQL.format('doc_id')} AS category FROM documents) GROUP BY 1")
+@query(f"""SELECT array_position(['tutorial', 'how-to', 'reference', 'explanation'], category) AS place, category, title FROM (SELECT doc_id AS title, {CATEGORY_SQL.format('doc_id')} AS category FROM documents)""")
 def main_index(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("title"), CATEGORY(F.col("doc_id")).alias("category"))
-    return crossref.index(d).select("category", F.array_join(F.transform("titles", lambda t: t.cast("string")), ",").alias("titles"))
+    return crossref.index_rows(d).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")
@@ -495,10 +627,10 @@ def latency_percentiles(spark, sf):
     return monitoring.last_percentiles(operations(spark, sf), ["ts", "event_id"])
 
 
-@query("""SELECT event_type AS name, count(*) AS count, round(sum(value), 6) AS total, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, quantile_disc(value, 0.95) AS p95,
+@query("""SELECT event_type AS name, count(*) AS count, round(sum(value), 6) AS total, min(value) AS min, max(value) AS max, last(value ORDER BY ts, event_id) AS last, round(avg(value), 6) AS avg, quantile_disc(value, 0.95) AS p95,
  round(avg(value) + 0.7 * (max(value) - avg(value)), 6) AS p95_estimate, round(avg(value) + 0.9 * (max(value) - avg(value)), 6) AS p99_estimate FROM events GROUP BY 1""")
 def timing_report(spark, sf):
-    return rounded(monitoring.timings(operations(spark, sf)).drop("last"))
+    return rounded(monitoring.timings(operations(spark, sf), order=("ts", "event_id")))
 
 
 @query("""WITH s AS (SELECT avg((event_type = 'error')::INT) AS e, avg(value) AS t, avg((user_id % 4 <> 0)::INT) AS h, count(*) AS n FROM events)
@@ -515,11 +647,14 @@ def prompt_variants(spark, sf):
     return rounded(monitoring.variants(e))
 
 
-@query("""SELECT count(*) FILTER (a = 'control') AS control_n, count(*) FILTER (a = 'treatment') AS treatment_n, round(avg(value) FILTER (a = 'treatment') - avg(value) FILTER (a = 'control'), 6) AS difference
-FROM (SELECT value, CASE WHEN user_id % 100 < 30 THEN 'treatment' ELSE 'control' END AS a FROM events)""")
+@query("""WITH s AS (SELECT count(*) FILTER (a = 'control') AS control_n, avg(value) FILTER (a = 'control') AS control_mean, var_samp(value) FILTER (a = 'control') AS control_var,
+ count(*) FILTER (a = 'treatment') AS treatment_n, avg(value) FILTER (a = 'treatment') AS treatment_mean, var_samp(value) FILTER (a = 'treatment') AS treatment_var
+FROM (SELECT value, CASE WHEN user_id % 100 < 30 THEN 'treatment' ELSE 'control' END AS a FROM events))
+SELECT control_n, round(control_mean, 6) AS control_mean, round(control_var, 6) AS control_var, treatment_n, round(treatment_mean, 6) AS treatment_mean, round(treatment_var, 6) AS treatment_var,
+ round(treatment_mean - control_mean, 6) AS difference, round((treatment_mean - control_mean) / sqrt(control_var / control_n + treatment_var / treatment_n), 6) AS t FROM s""")
 def ab_comparison(spark, sf):
     e = read(spark, sf, "events").select("value", F.when(F.col("user_id") % 100 < 30, "treatment").otherwise("control").alias("arm"))
-    return monitoring.comparison(e, "arm", "value").select("control_n", "treatment_n", r6(F.col("difference")).alias("difference"))
+    return rounded(monitoring.comparison(e, "arm", "value"))
 
 
 @query()
@@ -528,15 +663,15 @@ def ab_assignment(spark, sf):
 
 
 @query("""SELECT line FROM (SELECT unnest(list_concat(list_transform([10, 50, 100, 250], lambda b: 'ms_bucket{le="' || b || '"} ' || len(list_filter(v, lambda x: x <= b))),
- ['ms_bucket{le="+Inf"} ' || len(v), 'ms_count ' || len(v)])) AS line FROM (SELECT list(value) AS v FROM events))""")
+ ['ms_bucket{le="+Inf"} ' || len(v), 'ms_sum ' || printf('%.6f', s), 'ms_count ' || len(v)])) AS line FROM (SELECT list(value) AS v, sum(value) AS s FROM events))""")
 def exposition(spark, sf):
-    return monitoring.histogram(read(spark, sf, "events"), "value", [10, 50, 100, 250], "ms").where("line not like 'ms_sum%'")
+    return monitoring.histogram(read(spark, sf, "events"), "value", [10, 50, 100, 250], "ms")
 
 
-@query("""SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 50""")
+@query("""SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey""")
 def job_queue(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("completed").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("queued_at"))
-    return monitoring.queue(o).select("job_id").limit(50)
+    return monitoring.queue(o).select("job_id")
 
 
 # -- changes and code --------------------------------------------------------

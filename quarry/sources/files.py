@@ -18,11 +18,20 @@ def hashed_files(spark: SparkSession, *roots: str, skip_ignored: bool = False) -
 
 
 def markdown(spark: SparkSession, *roots: str) -> DataFrame:
-    """(path, text) of ``*.md`` and ``*.markdown`` below roots; roots that are files count whatever their name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    asked = F.col("path").isin([r if ":" in r else f"file:{r}" for r in roots])
-    texts = files.where(asked | F.lower("path").rlike(r"\.(md|markdown)$"))
-    return texts.select("path", F.decode("content", "UTF-8").alias("text"))
+    """(path, text) of ``*.md`` and ``*.markdown`` below roots; roots that are files count whatever their name.
+
+    Only names that count are opened. Without any root there are no rows; a root
+    that doesn't exist is an error.
+    """
+    jvm, out = spark._jvm, None
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        read = spark.read.format("binaryFile")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+            read = read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}")
+        found = read.load(root).select("path", F.decode("content", "UTF-8").alias("text"))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "path string, text string") if out is None else out.distinct()
 
 
 def texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -37,6 +46,18 @@ def found(files: DataFrame, globs: list[str], path: str = "path") -> DataFrame:
     return files.withColumn("glob", first).where("glob is not null")
 
 
+#: Name endings of a language's sources.
+SOURCE_GLOBS = {
+    "rust": ["*.rs"], "go": ["*.go"], "python": ["*.py"], "javascript": ["*.js"], "typescript": ["*.ts", "*.tsx"], "java": ["*.java"], "csharp": ["*.cs"], "cpp": ["*.cpp", "*.cc", "*.cxx"], "c": ["*.c"],
+}
+
+
+def source_files(files: DataFrame, language: str, path: str = "path") -> DataFrame:
+    """Files of a language by name; all files for a language without known endings."""
+    globs = SOURCE_GLOBS.get(language)
+    return files if globs is None else found(files, globs, path).drop("glob")
+
+
 def config_files(files: DataFrame, path: str = "path") -> DataFrame:
     return found(files, CONFIG_GLOBS, path)
 
@@ -54,12 +75,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Appends chunks laid out for the usual reads: by category, then by file within sorted files."""
-    laid = chunks.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(buckets))).repartition("category", "bucket").sortWithinPartitions("file_path", "chunk_index")
-    laid.drop("bucket").write.mode("append").partitionBy("category").option("parquet.bloom.filter.enabled#file_path", "true").parquet(path)
-
-
 def push_events(stream: DataFrame, value: str = "value") -> DataFrame:
     """Pushes among webhook payloads: repository, branch, before, after. Merges and tags give nothing."""
     schema = "type string, repository string, ref string, before string, after string"
@@ -68,10 +83,14 @@ def push_events(stream: DataFrame, value: str = "value") -> DataFrame:
 
 
 def rendered(rows: DataFrame, form: str = "json", most: int = 1000) -> str:
-    """The first ``most`` rows as text: json, pretty, compact, yaml or table; for a terminal."""
+    """Rows as text for a terminal: json, pretty, compact, yaml or table; of more than ``most`` the first, which is said on stderr."""
     import json
+    import sys
 
-    held = [r.asDict(recursive=True) for r in rows.limit(most).collect()]
+    held = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
+    more, held = len(held) > most, held[:most]
+    if more:
+        print(f"only the first {most} rows are shown", file=sys.stderr)
     if form == "pretty":
         return json.dumps(held, indent=2, default=str, ensure_ascii=False)
     if form == "yaml":

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import analytics, chunking, code, crossref, incremental, keywords, monitoring, search
+from quarry.operators import analytics, chunking, code, crossref, incremental, intents, keywords, monitoring, prompts, search
 from quarry.sources import files
 
 T0 = datetime(2024, 1, 1)
@@ -193,3 +193,98 @@ def test_files(spark, tmp_path):
         files.hashed_files(spark, str(tmp_path / "none")).count()
     pushes = spark.createDataFrame([('{"type": "push", "repository": "r", "ref": "refs/heads/main", "before": "1", "after": "2"}',), ('{"type": "tag"}',)], "value string")
     assert [tuple(r) for r in files.push_events(pushes).collect()] == [("r", "main", "1", "2")]
+
+
+def test_intents(spark):
+    answers = {
+        "Intent: tutorial\nConfidence: 0.85\nReasoning: Step-by-step guide": ("tutorial", 0.85, "Step-by-step guide", None), "Intent: HowTo\nConfidence: 0.9\nReasoning: Task-oriented": ("howto", 0.9, "Task-oriented", None),
+        "This query is clearly a tutorial about learning": ("tutorial", 0.7, "This query is clearly a tutorial about learning", None), "Intent: poem\nConfidence: 0.9": (None, 0.9, "Intent: poem\nConfidence: 0.9", "invalid_intent"),
+        "no idea": (None, 0.7, "no idea", "parse_error"), "Intent: api\nConfidence: 7\nReasoning: x": ("reference", 1.0, "x", None), "Intent: concept\nConfidence: 0.5\nReasoning: y": ("explanation", 0.5, "y", "low_confidence"),
+    }
+    rows = spark.createDataFrame([(a,) for a in answers], "a string").select("a", intents.parsed(F.col("a")).alias("p")).collect()
+    assert {r["a"]: (r["p"]["intent"], r["p"]["confidence"], r["p"]["reasoning"], r["p"]["error"]) for r in rows} == answers
+    two = "Intent: tutorial\nConfidence: 0.9\nReasoning: z\nSecondary: howto:0.7, reference:0.3, nonsense:0.9, guide:1:2"
+    multi = spark.createDataFrame([(two,)], "a string").select(intents.parsed(F.col("a"), multi=True).alias("p")).first()["p"]
+    assert [(x["intent"], x["confidence"]) for x in multi["secondary"]] == [("howto", 0.7)]
+    asked = []
+    questions = spark.createDataFrame([(1, "How to install?"), (2, " how TO  install? "), (3, " "), (4, None), (5, "fails")], "id int, text string")
+
+    def model(texts):
+        return ["Intent: howto\nConfidence: 0.9\nReasoning: r" if "install" in t else "?" for t in texts]
+
+    made = {r["id"]: (r["intent"], r["error"]) for r in intents.classified(questions, model=model).collect()}
+    assert made == {1: ("howto", None), 2: ("howto", None), 3: (None, "empty_query"), 4: (None, "empty_query"), 5: (None, "parse_error")} and not asked
+    assert sorted(r["id"] for r in intents.sure(intents.classified(questions, model=model)).collect()) == [1, 2]
+
+
+def test_prompts(spark):
+    parts = spark.createDataFrame([("p", "a", 1, 0, "x" * 400, True), ("p", "b", 9, 1, "One two. " * 200, True), ("p", "c", 5, 2, "y" * 100, False), ("q", "a", 1, 0, "short", True), ("q", "b", 2, 1, "also short", True)], "prompt string, name string, priority int, k int, text string, may boolean")
+    b = {r["prompt"]: r for r in prompts.budgets(parts, "prompt", "name", most=700, reserved=100).collect()}
+    assert (b["p"]["used"], b["p"]["remaining"], b["p"]["within_limit"], b["q"]["within_limit"]) == (130 + 585 + 33, 0, False, True)
+    fit = prompts.fitted(parts, "prompt", "priority", "k", may_cut="may", most=700, reserved=100).orderBy("prompt", "place").collect()
+    assert [(r["prompt"], r["k"], r["cut"]) for r in fit] == [("p", 1, False), ("q", 0, False), ("q", 1, False)]  # c fits no more than 15 tokens and may not be cut
+    fit = prompts.fitted(parts, "prompt", "priority", "k", most=400, reserved=100).where("prompt = 'p'").collect()
+    assert [(r["k"], r["cut"]) for r in fit] == [(1, True)] and fit[0]["text"].endswith("two.") and 0 < len(fit[0]["text"]) <= 300 * 4 / 1.3
+    whole = prompts.assembled(prompts.fitted(parts.where("prompt = 'q'"), "prompt", "priority", "k"), "prompt").collect()
+    assert [tuple(r) for r in whole] == [("q", "short\n\nalso short")]
+
+
+def test_extraction_driver(spark):
+    long = "the parser reads config.yaml and the parser writes tokens to the parser output again"
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "tiny parser"), (4, "  "), (5, "fail " + long)], "id int, text string")
+
+    def model(texts):
+        if any(t.startswith("fail") for t in texts):
+            raise RuntimeError("down")
+        return ['{"descriptive": ["Alpha"], "technical": [], "confidence": 0.9}' for _ in texts]
+
+    by = lambda rows: {r["id"]: (r["method"], r["error"]) for r in rows.collect()}
+    spread = docs.where("id <> 5")
+    assert by(keywords.extracted(spread, "id", "text", model, wait=0)) == {1: ("model", None), 2: ("model", None), 3: ("frequency", None), 4: (None, "empty content")}
+    assert by(keywords.extracted(docs.where("id = 5"), "id", "text", model, wait=0)) == {5: ("frequency", None)}
+    assert by(keywords.extracted(docs.where("id = 5"), "id", "text", model, fallback=False, wait=0)) == {5: (None, "the model gave no keywords")}
+    assert by(keywords.extracted(spread, "id", "text", model, percent=0, wait=0))[1] == ("frequency", None)
+    body = '{"response": "a", "done": false}\n{"response": "b"}\n\n{"response": "c", "done": true}\n{"response": "x"}'
+    assert spark.createDataFrame([(body,)], "b string").select(keywords.streamed_answer(F.col("b")).alias("x")).first()["x"] == "abc"
+
+
+def test_embedding_checks(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bb")], "id int, text string").coalesce(1)
+    assert chunking.embedded(rows, "text", lambda ts: [[1.0, 2.0] for _ in ts]).count() == 2
+    with pytest.raises(Exception, match="components"):
+        chunking.embedded(rows, "text", lambda ts: [[1.0] * len(t) for t in ts]).collect()
+    with pytest.raises(Exception, match="blank"):
+        chunking.embedded(spark.createDataFrame([(1, " ")], "id int, text string"), "text", lambda ts: [[1.0] for _ in ts]).collect()
+
+
+def test_batch_search_in_blocks(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)], "id int, embedding array<double>")
+    asked = rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    one, many = (sorted(map(tuple, search.batch_search(rows, asked, 3, "id", block=b).collect())) for b in (100, 3))
+    assert one == many and len(one) == 60
+
+
+def test_links_as_groups_are_all_links(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(f"t{rng.randrange(25)}", rng.choice(["tutorial", "how-to", "reference", "explanation", "none"]), f"s{k}") for k in range(60)], "title string, category string, slug string")
+    pairs = crossref.cross_references(docs).groupBy("from_title", "from_category", "to_category", "relationship").count()
+    groups = crossref.link_groups(docs).selectExpr("from_title", "from_category", "to_category", "relationship", "rows * targets as count")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, groups.collect()))
+
+
+def test_saved_searches_and_long_code(spark):
+    kept = search.SavedSearch("u", "mine", search.Request("red"))
+    assert kept.updated(name="yours").name == "yours"
+    for bad in (lambda: kept.updated(name=" "), lambda: search.SavedSearch("", "x", search.Request("red")), lambda: search.SavedSearch("u", "x", search.Request())):
+        with pytest.raises(search.QueryError):
+            bad()
+    args = ",\n".join(f"    a{k}: int" for k in range(200))
+    note = "\n".join(f"    line {k}" for k in range(100))
+    made = code.structure(spark.createDataFrame([("a.py", f'def f(\n{args}\n) -> int:\n    """{note}"""\n    pass\n')], "path string, text string")).first()
+    assert len(made["params"]) == 200 and made["returns"] == "int" and made["documentation"].endswith("line 99")
+    items = code.structure(spark.createDataFrame([("a.py", "def f():\n    pass\n")], "path string, text string"))
+    assert code.merged(items, items).count() == 1
+    assert code.documentation_coverage(items, spark.createDataFrame([("x.toml",)], "path string")).first()["coverage"] == 0.0
+    sources = spark.createDataFrame([("a.ts",), ("b.tsx",), ("c.rs",)], "path string")
+    assert files.source_files(sources, "typescript").count() == 2 and files.source_files(sources, "zig").count() == 3
