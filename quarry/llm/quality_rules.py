@@ -1,11 +1,14 @@
 """Cross-document line frequency as a quality rule, with per-document base counts.
 
-A line that more than ``limit`` different texts of one host hold is furniture
-of that host and goes; a document that keeps too little of itself goes with it.
-All of it is Catalyst expressions: lines leave their document as hashes only,
-counts are combined before they are exchanged, and the join that brings
-verdicts back is an ordinary shuffled one, which adaptive execution splits at
-hot lines or turns into a broadcast where the frequent lines are few.
+A line that more than ``limit`` documents of one host hold is furniture of that
+host and goes; a document that keeps too little of itself goes with it. All of
+it is Catalyst expressions. Each text is read once: its counts and its lines, as
+128 bits of hash and a word count each, go into a table in the shared folder,
+from which documents are counted by host and line and the lost words by row.
+Counts are combined before they are exchanged, keys that are grouped by hold a
+document or a row, and the join that brings verdicts back is an ordinary one,
+which adaptive execution splits at hot lines or turns into a broadcast where the
+frequent lines are few.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import BLANKS, WORD
+from quarry.llm.common import BLANKS, WORD, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -67,29 +70,32 @@ def base_counts(df: DataFrame) -> DataFrame:
 def line_quality(df: DataFrame, limit: int = 10, keep_share: float = 0.5, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per row of ``df``: id, counts, the words on frequent lines, base_failed and kept.
 
-    limit: a line goes when more different texts of its host hold it (copies of
-    one text count once); keep_share: a document is depleted when fewer of its
-    words are left. Null texts have no words (base_failed), null hosts are one
-    host, null ids stay and never mix texts, repeated rows get equal verdicts,
-    an empty table gives no rows. Columns other than the three are not read.
+    limit: a line goes when more documents of its host hold it, copies of one
+    text among them; keep_share: a document is depleted when fewer of its words
+    are left. A document is an id, so rows that repeat one count once, and a row
+    without id is a document of its own. Null texts have no words (base_failed),
+    null hosts are one host, repeated rows get equal verdicts, an empty table
+    gives no rows. A text of any length is one row's arrays: memory is a small
+    multiple of the longest text. Columns other than the three are not read.
     """
     docs = df.select(df[id_column].alias("id"), df[host].alias("host"), F.coalesce(df[text], F.lit("")).alias("text"))
-    docs = docs.withColumn("body", F.xxhash64("text"))
-    line = F.explode(
-        F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words_of(x)).alias("n"), k.alias("k")))
-    )
-    lines = docs.select("host", "body", line.alias("l")).select("host", "body", "l.*").where("n > 0")
+
+    def mark(x: Column) -> Column:
+        return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"))
+
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(mark(normal_line(x)).alias("line"), F.size(words_of(x)).alias("n")))
+    # the row's number is kept in the table, so that it is one whatever runs again
+    held = written(base_counts(docs.withColumn("found", F.filter(lines, lambda x: x["n"] > 0))).drop("text").withColumn("row", F.monotonically_increasing_id()))
+    each = held.select("row", "host", "id", F.explode("found").alias("x")).select("row", "host", "id", "x.line", "x.n")
+    own = F.when(F.col("id").isNull(), F.col("row")).alias("own")
     frequent = (
-        lines.groupBy("host", "line", "body").agg(F.lit(1).alias("one"))
-        .groupBy("host", "line").agg(F.count("one").alias("texts")).where(F.col("texts") > limit)
+        each.groupBy("host", "line", "id", own).agg(F.lit(1).alias("one"))
+        .groupBy("host", "line").agg(F.count("one").alias("documents")).where(F.col("documents") > limit)
         .select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     )
-    on_frequent = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
-    # copies of a text within a host lose the same lines
-    lost = on_frequent.groupBy("host", "body", "k").agg(F.max("n").alias("n")).groupBy("host", "body").agg(F.sum("n").alias("n_line_words"))
-    lost = lost.select(F.col("host").alias("l_host"), F.col("body").alias("l_body"), "n_line_words")
-    counted = base_counts(docs).drop("text")
-    judged = counted.join(lost, F.col("host").eqNullSafe(F.col("l_host")) & (F.col("body") == F.col("l_body")), "left")
+    on_frequent = each.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
+    lost = on_frequent.groupBy("row").agg(F.sum("n").alias("n_line_words"))
+    judged = held.drop("found").join(lost, "row", "left")
     removed = F.coalesce("n_line_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
@@ -105,12 +111,13 @@ g AS (SELECT rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
       FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS p
         FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, t) AS c FROM g) WHERE c > 1) GROUP BY rn),
-s AS (SELECT rn, source, text, unnest(string_split(text, chr(10))) AS l FROM d),
-l AS (SELECT rn, source, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+s AS (SELECT rn, doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d),
+l AS (SELECT rn, doc_id, source, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
         trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS q FROM s),
-f AS (SELECT source, q FROM l WHERE n > 0 GROUP BY source, q HAVING count(DISTINCT text) > 10),
-u AS (SELECT rn, count(*) - count(DISTINCT l) AS dup,
-        sum(CASE WHEN (source, q) IN (SELECT source, q FROM f) THEN n ELSE 0 END) AS gone FROM l WHERE n > 0 GROUP BY rn),
+f AS (SELECT source, q FROM l WHERE n > 0 GROUP BY source, q HAVING count(DISTINCT coalesce('#' || doc_id, 'row ' || rn)) > 10),
+u AS (SELECT rn, count(*) - count(DISTINCT l.l) AS dup,
+        sum(CASE WHEN f.q IS NOT NULL THEN n ELSE 0 END) AS gone
+        FROM l LEFT JOIN f ON l.q = f.q AND l.source IS NOT DISTINCT FROM f.source WHERE n > 0 GROUP BY rn),
 x AS (SELECT d.*, len(w) AS n_words, coalesce(r.n, 0) AS rep, coalesce(u.dup, 0) AS dup, coalesce(u.gone, 0) AS gone
       FROM d LEFT JOIN r USING (rn) LEFT JOIN u USING (rn)),
 y AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS failed FROM x)
