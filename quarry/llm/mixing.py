@@ -32,17 +32,22 @@ def shared(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Adds ``budget`` to rows of (parent..., capacity, weight, above): water-filling among siblings.
 
     In the order of capacity per weight, a child is full if the budget left by the
-    full ones before it would give it more than its capacity.
+    full ones before it would give it more than its capacity. Siblings of equal
+    capacity and weight are one step of that order, so a window holds as many
+    rows as a parent has different capacities: with t tokens below it these are
+    at most the root of 2t for each weight, however many siblings there are.
     """
-    order = [F.col("capacity") / F.col("weight"), *[F.col(c) for c in nodes.columns if c in LEVELS]]
+    order = [F.col("capacity") / F.col("weight"), F.col("weight")]
+    steps = nodes.groupBy(*parent, "capacity", "weight", "above").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     on = Window.partitionBy(*parent).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("above") - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / F.sum("weight").over(on)
-    filled = nodes.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("capacity"))
-    # after the first child that is not full none is, and these levels only fall: the first one holds for all
+    level = (F.col("above") - F.coalesce(F.sum(F.col("capacity") * F.col("n")).over(before), F.lit(0))) / F.sum(F.col("weight") * F.col("n")).over(on)
+    steps = steps.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("capacity"))
+    # after the first step that is not full none is, and these levels only fall: the first one holds for all
     open_level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parent))
-    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.col("weight") * open_level))
-    return filled.withColumn("budget", budget.cast("long")).drop("level", "full")
+    amount = F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.col("weight") * open_level)).cast("long")
+    steps = steps.select(*parent, "capacity", "weight", amount.alias("budget"))
+    return nodes.join(steps, [*parent, "capacity", "weight"])
 
 
 def hash_of(seed: int, epoch: Column, key: Column) -> Column:
@@ -51,28 +56,33 @@ def hash_of(seed: int, epoch: Column, key: Column) -> Column:
 
 def chosen(
     df: DataFrame, weights: dict[tuple[str, ...], int], share: float, epochs: int, seed: int = 1, tokens: Column | None = None, domain: Column | None = None,
-    id_column: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
+    id_column: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None,
 ) -> DataFrame:
-    """The rows chosen, one per document and epoch: domain, lang, source, n_tokens, epoch, and ``row`` with all columns of ``df``.
-
-    weights: whole numbers by path, (domain,), (domain, lang) or (domain, lang,
-    source); a path without one weighs 1. share: the budget as a part of all
-    tokens; epochs: how often a document may be taken at most. tokens: a native
-    count (default: words); domain: default ``web``. Null langs, sources or
-    domains are the node ``?``; null and empty texts have no tokens and are never
-    chosen; a null id is the key ``?``. Repeated rows are documents of their own
-    with equal hashes, ordered among themselves by nothing: they stand or fall
-    together, as a prefix ends before the first key that doesn't fit. An empty
-    table gives no rows. Other columns ride along unread.
+    """The rows chosen, one per document and epoch: domain, lang, source, n_tokens, epoch, and ``row`` with the columns ``carry`` (default: all) of ``df``.
+
+    weights: whole numbers of 1 or more by path, (domain,), (domain, lang) or
+    (domain, lang, source); a path without one weighs 1. share: the budget as a
+    part of all tokens; epochs: how often a document may be taken at most.
+    tokens: a native count (default: words); domain: default ``web``. Null langs,
+    sources or domains are the node ``?``; null and empty texts have no tokens
+    and are never chosen. A row is a document: rows that repeat an id have equal
+    hashes and are ordered by their place in the table, rows without id are
+    hashed by that place. A text of any length is one document that fits a
+    budget or doesn't. An empty table gives no rows. Other columns ride along
+    unread, whatever their names.
     """
+    if any(w < 1 for w in weights.values()):
+        raise ValueError("weights must be 1 at least")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     body = F.coalesce(df[text], F.lit(""))
     docs = df.select(
-        F.struct(*[df[c] for c in df.columns]).alias("row"), name(df[id_column]).alias("key"), name(domain if domain is not None else F.lit("web")).alias("domain"),
+        F.struct(*[df[f"`{c}`"] for c in (df.columns if carry is None else carry)]).alias("row"), df[id_column].cast("string").alias("key"), name(domain if domain is not None else F.lit("web")).alias("domain"),
         name(df[lang]).alias("lang"), name(df[source]).alias("source"), (tokens if tokens is not None else F.size(words_of(body))).cast("long").alias("n_tokens"),
     ).where("n_tokens > 0")
-    # each document's place in the tree, without its text: what budgets and prefix sums read
-    slim = written(docs.select("key", *LEVELS, "n_tokens"))
+    # words are counted and rows numbered once: what comes after reads this table, budgets and prefix sums a few columns of it
+    number = F.monotonically_increasing_id()
+    docs = written(docs.withColumn("number", number).withColumn("key", F.coalesce("key", F.concat(F.lit("?"), F.col("number").cast("string")))))
+    slim = docs.select("key", "number", *LEVELS, "n_tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("held")).withColumn("capacity", F.col("held") * epochs)
     plan = None
     for depth in (1, 2, 3):
@@ -83,7 +93,8 @@ def chosen(
                 weight = F.when(F.array(*at) == F.array(*map(F.lit, path)), F.lit(w)).otherwise(weight)
         nodes = leaves.groupBy(*at).agg(F.sum("capacity").alias("capacity"), F.sum("held").alias("held")).withColumn("weight", weight)
         if plan is None:
-            nodes = nodes.withColumn("above", F.floor(F.sum("held").over(Window.partitionBy()) * F.lit(float(share))))
+            total = leaves.agg(F.floor(F.sum("held") * F.lit(float(share)))).first()[0]
+            nodes = nodes.withColumn("above", F.lit(total).cast("long"))
         else:
             nodes = nodes.join(plan.select(*at[:-1], F.col("budget").alias("above")), at[:-1])
         plan = shared(nodes, at[:-1])
@@ -97,19 +108,19 @@ def chosen(
     run = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = begun.groupBy(*LEVELS, "range", "left").agg(F.sum("n_tokens").alias("n")).withColumn("so_far", F.coalesce(F.sum("n").over(run), F.lit(0)))
     ends = written(ranges.where("so_far <= left and so_far + n > left").select(*LEVELS, F.col("range").alias("end"), "so_far"))
-    upto = F.col("so_far") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("hash"))
-    edge = begun.join(near(ends), LEVELS).where("range = end").withColumn("upto", upto).where("upto <= left").groupBy(*LEVELS).agg(F.max("hash").alias("last"))
+    upto = F.col("so_far") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("hash", "number").rowsBetween(Window.unboundedPreceding, 0))
+    edge = begun.join(near(ends), LEVELS).where("range = end").withColumn("upto", upto).where("upto <= left").groupBy(*LEVELS).agg(F.max(F.struct("hash", "number")).alias("last"))
     bounds = written(leaf.join(ends, LEVELS, "left").join(edge, LEVELS, "left").drop("so_far"))
-    # a document is in the prefix up to its leaf's last hash, or below the range where nothing of it fits
+    # a document is in the prefix up to its leaf's last one, or below the range where nothing of it fits
     full = placed(docs.join(near(bounds), LEVELS))
-    inside = (F.col("left") > 0) & F.when(F.col("last").isNotNull(), F.col("hash") <= F.col("last")).when(F.col("end").isNotNull(), F.col("range") < F.col("end")).otherwise(True)
+    inside = (F.col("left") > 0) & F.when(F.col("last").isNotNull(), F.struct("hash", "number") <= F.col("last")).when(F.col("end").isNotNull(), F.col("range") < F.col("end")).otherwise(True)
     times = F.col("whole") + F.when(inside, 1).otherwise(0)
     return full.withColumn("times", times).where("times > 0").select(*LEVELS, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), "row")
 
 
 def mixed(df: DataFrame, weights: dict[tuple[str, ...], int], share: float, epochs: int, id_column: str = "doc_id", **more) -> DataFrame:
     """Ids chosen by :func:`chosen`: id, domain, lang, source, n_tokens, epoch."""
-    return chosen(df, weights, share, epochs, id_column=id_column, **more).select(F.col("row")[id_column].alias(id_column), *LEVELS, "n_tokens", "epoch")
+    return chosen(df, weights, share, epochs, id_column=id_column, carry=[id_column], **more).select(F.col("row")[id_column].alias(id_column), *LEVELS, "n_tokens", "epoch")
 
 
 def level_sql(name: str, source: str, parent: str, keys: str) -> str:
