@@ -1,19 +1,22 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters are the words of a fixed list, words and word beginnings mined from a
-bounded sample of labelled rows, a few patterns, and the rows' own marks. The
-label model (expectation maximisation over one hidden class per row) estimates
-each voter's rate in either class; what voters share beyond the class is
+Voters are the words of a fixed list, words and word beginnings mined from one
+half of a bounded sample of labelled rows, a few patterns, and the rows' own
+marks, which are one voter like any other. The label model (expectation
+maximisation over one hidden class per row) estimates on the other half how
+often each votes in either class; what voters share beyond the class is
 estimated too, and correlated voters weigh less. A logistic classifier over
-counts of lexicon hits, patterns and the voters themselves is then trained on
-the posterior labels, and scores every whole text.
+counts of lexicon hits, patterns and the lexicon's voters is then trained on the
+posterior labels of all sampled rows, and scores every whole text.
 
-The sample is the only thing gathered: at most ``sample`` rows, as packed
-feature counts. The lexicon sent to workers has at most ``voters`` entries.
+The sample, at most ``sample`` rows, is the only part of the corpus that the fit
+reads. Counts of its words stay in Spark; the driver gets the words that pass as
+voters, and each row's votes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -21,9 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import drawn, pieces
+from quarry.llm.common import drawn, dropped, pieces, written
 
 #: Words that vote whatever the sample says.
 WORDS = ["bastard", "clown", "disgusting", "dumb", "fool", "freak", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -31,6 +34,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PATTERNS = [re.compile(p) for p in (r"!!", r"\b[A-Z]{4,}\b", r"\*\*\*|%%%|\$\$\$", r"(?i)\byou\b", r"\?\?|\?!")]
 BITS = 20
 LEADS = (4, 5, 6, 7)
+GAIN = 15.0  #: a likelihood ratio that chance reaches for about one word in 10^4
 
 
 def names(word: str) -> tuple[str, ...]:
@@ -84,9 +88,9 @@ def dense(total: int, words: int, patterns: list[int]) -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 per row, rates (voter, class), and weights under correlation.
+    """Posterior of class 1 per row, rates (voter, class; the mark last), and weights under correlation.
 
-    votes: rows x voters, 1 or 0 (abstains); marks: the rows' own labels, a voter whose
+    votes: rows x voters, 1 or 0 (silent); marks: the rows' own labels, a voter whose
     rates are learnt too and that starts the iteration.
     """
     posterior = np.clip(marks * 0.9 + 0.05, 0.05, 0.95)
@@ -95,21 +99,24 @@ def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = 30) -> tuple
     for step in range(rounds):
         q = np.stack([1 - posterior, posterior])
         rates = np.clip((q @ every + 0.5) / (q.sum(1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
-        rates[:, -1] = np.clip(rates[:, -1], [0.005, 0.9], [0.05, 0.99])  # marks err in some rows of either class
         base = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
         if step == 3:
             # what two voters share within a class: residual correlation
             left = sum(((every - rates[c]) * q[c][:, None]).T @ (every - rates[c]) for c in (0, 1))
             deviation = np.sqrt(np.diag(left).clip(1e-9))
             tied = np.abs(left / np.outer(deviation, deviation)) - np.eye(len(left))
-            tied[-1] = tied[:, -1] = 0
             shared = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(1))
-        say = every * np.log(rates[1] / rates[0])  # a voter that abstains says nothing, a mark says either
-        say[:, -1] += (1 - every[:, -1]) * np.log((1 - rates[1, -1]) / (1 - rates[0, -1]))
-        posterior = 1 / (1 + np.exp(-np.clip(say @ shared + np.log(base / (1 - base)), -30, 30)))
+        posterior = posteriors(votes, marks, rates, shared, base)
     return posterior, rates.T, shared
 
 
+def posteriors(votes: np.ndarray, marks: np.ndarray, rates: np.ndarray, shared: np.ndarray, base: float) -> np.ndarray:
+    """Of class 1, by row; rates: class x voter, the mark last. Votes and silence both speak, at each voter's rates."""
+    every = np.column_stack([votes, marks]).astype(np.float64)
+    say = every * np.log(rates[1] / rates[0]) + (1 - every) * np.log((1 - rates[1]) / (1 - rates[0]))
+    return 1 / (1 + np.exp(-np.clip(say @ shared + np.log(base / (1 - base)), -30, 30)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Newton steps for soft labels y with a ridge penalty per column."""
     w = np.zeros(x.shape[1])
@@ -123,93 +130,113 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, rounds: int = 15
     return w
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, list[int], int, int]], voters: int) -> Model:
-    """rows: feature codes, their counts, pattern counts, words, mark."""
-    marks = np.array([r[4] for r in rows], np.float64)
-    spoken = {code(w): None for w in WORDS}
-    sizes = np.zeros((2, 1 << BITS))
-    for r in rows:
-        sizes[r[4], np.unique(r[0])] += 1
-    good, bad = (marks == 0).sum(), (marks == 1).sum()
-    n0, n1 = sizes
-    base = bad / max(good + bad, 1)
-    part = n1 / np.maximum(n1 + n0, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.where(n1 > 0, n1 * np.log(part / base), 0) + np.where(n0 > 0, n0 * np.log((1 - part) / (1 - base)), 0))
-    mined = np.flatnonzero((part >= 0.8) & (gain > 20))  # five rows, all of the tenth that is marked: chance finds about one such word in 10^5
-    mined = mined[np.lexsort((mined, -gain[mined]))]
-    lexicon = {int(c): k for k, c in enumerate(dict.fromkeys([*spoken, *mined.tolist()][:voters]))}
-    votes = np.zeros((len(rows), len(lexicon)))
-    table = np.full(1 << BITS, -1)
-    table[list(lexicon)] = list(lexicon.values())
+@dataclass
+class Row:
+    """A sampled row: numbers of the lexicon's voters, tokens with a vote, pattern counts, tokens, mark, and whether it mined."""
+
+    voters: list[int]
+    total: int
+    patterns: list[int]
+    words: int
+    mark: int
+    mined: bool
+
+
+def fit(rows: list[Row], lexicon: dict[int, int]) -> Model:
+    marks = np.array([r.mark for r in rows], np.float64)
+    mined = np.array([r.mined for r in rows], bool)
+    votes = np.zeros((len(rows), len(lexicon) + len(PATTERNS)))
     for k, r in enumerate(rows):
-        v = table[r[0]]
-        votes[k, v[v >= 0]] = 1
-    posterior, rates, shared = label_model(votes, marks) if len(rows) else (marks, np.zeros((1, 2)), np.ones(1))
-    # a word counts once though its beginnings vote beside it: totals come with the rows
+        votes[k, r.voters] = 1
+        votes[k, len(lexicon) :] = np.array(r.patterns) > 0
     width = len(dense(0, 1, [0] * len(PATTERNS)))
-    x = np.array([dense(int(_tokens(r, table)), r[3], r[2]) for r in rows]).reshape(len(rows), width)
-    prior = np.zeros(width + len(lexicon))
-    prior[[0, 1, 2]] = [-4.0, 1.0, 6.0]
-    if 0 < marks.sum() < len(marks):
-        prior = logistic(np.hstack([x, votes]), posterior, np.r_[0.1, np.full(width - 1, 0.3), np.full(len(lexicon), 3.0)])
-    return Model(lexicon, prior, rates, shared)
-
-
-def _tokens(row, table: np.ndarray) -> int:
-    """Tokens with a vote: codes of one word stand together, the word's own first (marked by the sign of its count)."""
-    voted = table[row[0]] >= 0
-    head = np.flatnonzero(row[1] > 0)
-    if not len(head):
-        return 0
-    any_vote = np.maximum.reduceat(voted, head)
-    return int((row[1][head] * any_vote).sum())
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int, parts: int) -> list[tuple]:
-    """Features of at most ``sample`` labelled rows outside the held-out third, chosen by a hash of their id."""
+    weights = np.zeros(width + len(lexicon))
+    weights[[0, 1, 2]] = [-4.0, 1.0, 6.0]  # without labels: two words of the list
+    rates, shared = np.full((votes.shape[1] + 1, 2), 0.5), np.ones(votes.shape[1] + 1)
+    judged = ~mined if 0 < marks[~mined].sum() < (~mined).sum() else np.ones(len(rows), bool)
+    if 0 < marks[judged].sum() < judged.sum():
+        found, rates, shared = label_model(votes[judged], marks[judged])
+        posterior = posteriors(votes, marks, rates.T, shared, float(np.clip(found.mean(), 1e-3, 1 - 1e-3)))
+        x = np.array([dense(r.total, r.words, r.patterns) for r in rows])
+        weights = logistic(np.hstack([x, votes[:, : len(lexicon)]]), posterior, np.r_[0.1, np.full(width - 1, 0.3), np.full(len(lexicon), 3.0)])
+    return Model(lexicon, weights, rates, shared)
+
+
+def mining(row_id: Column) -> Column:
+    """Which half of the sample a row is in: those that mine voters don't judge them."""
+    return F.pmod(F.xxhash64(row_id.cast("string"), F.lit("half")), F.lit(2)) == 0
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(text, mark, mined) of at most ``sample`` labelled rows outside the held-out third, chosen by a hash of their id."""
     picked = (
         labels.select(labels["doc_id"].alias("id"), labels["toxic"].cast("int").alias("mark"))
         .where("id is not null and mark is not null and crc32(encode(cast(id as string), 'UTF-8')) % 3 <> 1")
         .groupBy("id").agg(F.max("mark").alias("mark"))
     )
-    picked = drawn(picked, "id", sample)
-    texts = docs.where(F.octet_length("text") <= longest).join(F.broadcast(picked), "id").select("id", "text", "mark").repartition(parts)
+    picked = drawn(picked, "id", sample)  # of bounded size, hence sent to every worker
+    rows = docs.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("mark").alias("mark"))
+    return written(rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "mark", mining(F.col("id")).alias("mined")).repartition(8, "id"))
+
+
+def mined_voters(rows: DataFrame) -> list[int]:
+    """Codes that speak for class 1 among the mining rows: in four of five rows or more that hold them, and not by chance."""
+
+    def run(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.update((c, mark) for c in {code(x) for w in set(TOKEN.findall(text.lower())) for x in names(w)})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["code", "mark", "n"])
+
+    n, bad = rows.where("mined").agg(F.count("mark"), F.coalesce(F.sum("mark"), F.lit(0))).first()
+    if not 0 < bad < n:
+        return []
+    each = rows.where("mined").select("text", "mark").mapInArrow(run, "code long, mark int, n long")
+    held = each.groupBy("code").agg(F.sum(F.col("n") * F.col("mark")).alias("bad"), F.sum("n").alias("all")).where("bad >= 3 and bad >= 0.8 * all").collect()
+    base, out = bad / n, []
+    for c, b, every in held:
+        good = every - b
+        gain = 2 * (b * math.log(b / every / base) + (good * math.log(good / every / (1 - base)) if good else 0))
+        if gain > GAIN:
+            out.append((-gain, c))
+    return [c for _, c in sorted(out)]
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
+    """The model of a table (id, text)."""
+    rows = sampled(docs, labels, sample)
+    lexicon = {c: k for k, c in enumerate(dict.fromkeys([*map(code, WORDS), *mined_voters(rows)]))}
+    model = Model(lexicon, np.zeros(0), np.zeros(0), np.zeros(0))
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, mark, mined in zip(*(c.to_pylist() for c in batch.columns)):
                 words, patterns = read(text)
-                codes, counts = [], []
-                for word, n in words.items():
-                    for k, name in enumerate(names(word)):
-                        codes.append(code(name))
-                        counts.append(min(n, 30_000) if k == 0 else 0)
-                out.append((i, np.array(codes, "<u4").tobytes(), np.array(counts, "<u2").tobytes(), patterns, sum(words.values()), mark))
+                total, each = model.hits(words, {})
+                out.append((sorted(each), min(total, 1 << 30), patterns, sum(words.values()), mark, mined))
             if out:
-                a, b, c, d, e, f = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.array(d, pa.list_(pa.int32())), pa.array(e, pa.int32()), pa.array(f, pa.int32())], ["id", "codes", "counts", "patterns", "words", "mark"])
+                kinds = [pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["voters", "total", "patterns", "words", "mark", "mined"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"id {kind}, codes binary, counts binary, patterns array<int>, words int, mark int").collect()
-    found.sort(key=lambda r: (r[0], r[1]))
-    return [(np.frombuffer(r[1], "<u4"), np.frombuffer(r[2], "<u2"), list(r[3]), r[4], r[5]) for r in found]
+    found = rows.select("text", "mark", "mined").mapInArrow(run, "voters array<int>, total int, patterns array<int>, words int, mark int, mined boolean").collect()
+    dropped(rows)
+    return fit([Row(*r) for r in sorted(map(tuple, found))], lexicon)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, longest: int = 16_384, voters: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1) and predicted (score >= threshold).
 
     The fit reads labelled rows whose crc32(id as text) mod 3 is not 1: ``sample``
-    of them at most, of texts up to ``longest`` bytes. Scores see the text alone, all of
-    it; null and empty texts get the score of a text without words. Null ids have a
+    of them at most, chosen by a hash of the id. Scores see the text alone, all of it; null and empty texts get the score of a text without words. Null ids have a
     null held_out. Repeated rows score alike, an empty table gives no rows, and
     without usable labels the fixed words decide. Other columns are not read.
     """
     spark = docs.sparkSession
     picked = docs.select(docs[id_column].alias("id"), docs[text].alias("text"))
-    model = fit(training_rows(picked, labels, sample, longest, 8), voters)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(trained(picked, labels, sample))
 
     def run(batches):
         seen: dict[str, tuple[int, ...]] = {}
@@ -223,13 +250,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     return picked.select("id", held, "text").mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_column)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, longest: int = 16_384, voters: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 6000, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``; nothing moves.
 
-    Fitted and scored as in :func:`toxicity`; null and empty texts stay.
+    Fitted and scored as in :func:`toxicity`, on the whole of every text, however
+    long. Null and empty texts stay, repeated rows stay or go together, rows
+    without id are judged like others, an empty table gives no rows, and columns
+    of any name ride along.
     """
     picked = docs.select(docs[id_column].alias("id"), docs[text].alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(picked, labels, sample, longest, 8), voters))
+    sent = docs.sparkSession.sparkContext.broadcast(trained(picked, labels, sample))
 
     def run(batches):
         seen: dict[str, tuple[int, ...]] = {}
