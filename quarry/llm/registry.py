@@ -52,7 +52,7 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.personal_data import personal_data
 
-    return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+    return personal_data(table(spark, sf_dir, "documents"), redact=False)
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
