@@ -5,11 +5,14 @@ words splits every host label along its most likely path (Viterbi), and a
 multinomial naive Bayes model over those words and the path's words judges the
 URLs that no rule reaches. Its classes come from the rules: a URL that a rule
 decides is a labelled row, without the part of it that the rule itself names.
-A short prior list gives words that stand for unwanted hosts anywhere.
+Words of a short prior list, which stand for unwanted hosts anywhere, are
+pseudo-counts of the block class. Classes weigh by their rows, and a token that
+training never saw speaks at its smoothed rate like any other.
 
 All counts cover all rows. What the workers get are the unigrams that stand
 somewhere in a name of the URLs, since no other word can be part of a split, and
-2^``bits`` pairs of class counts.
+at most 2^``bits`` pairs of class counts: tokens are counted by hash, which
+bounds that table, and tokens of one hash count as one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import written
 
-#: Words that speak for a block before anything is counted.
+#: Words that count for a block before anything is counted.
 PRIOR = ["adult", "bet", "buy", "casino", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "porn", "seo", "sex", "spam", "viagra", "win", "xxx"]
 LONGEST = 24
 
@@ -48,16 +51,16 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def stretches(names: str) -> set[str]:
-    """The runs of letters in which words of a host or path may stand."""
-    return set(re.findall(r"[a-z]+", names.lower()))
+    """The runs of letters, of any script, in which words of a host or path may stand."""
+    return set(re.findall(r"[^\W\d_]+", names.lower()))
 
 
 def unigrams(html: Column, df: DataFrame, parts: DataFrame) -> tuple[dict[str, int], int]:
     """Counts of all words of the pages, without their markup, that stand in a name of ``parts``
     (host, path), and the total over all words.
     """
-    plain = F.translate(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), string.ascii_uppercase, string.ascii_lowercase)
-    each = df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
+    plain = F.lower(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
+    each = df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = written(each.groupBy("word").count())
     total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     sizes = sorted(r[0] for r in counted.select(F.length("word").alias("size")).distinct().collect())
@@ -70,8 +73,10 @@ def unigrams(html: Column, df: DataFrame, parts: DataFrame) -> tuple[dict[str, i
         for batch in batches:
             for run in batch.column(0).to_pylist():
                 for at in range(0, len(run), 4096):  # a run may be of any length
-                    found = {run[k : k + n] for k in range(at, min(at + 4096, len(run))) for n in sizes if k + n <= len(run)}
-                    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+                    for n in sizes:
+                        found = {run[k : k + n] for k in range(at, min(at + 4096, len(run) - n + 1))}
+                        if found:
+                            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     names = parts.select("host", "path").mapInArrow(runs, "run string").distinct().mapInArrow(inner, "word string").distinct()
     return {r[0]: r[1] for r in counted.join(names, "word", "left_semi").collect()}, total
@@ -138,17 +143,41 @@ def bucket(token: str, bits: int) -> int:
     return xxhash.xxh64_intdigest(token) & ((1 << bits) - 1)
 
 
+UNSEEN, ROWS = -1, -2
+
+
+class Bayes:
+    """Multinomial naive Bayes over counts by (bucket, block) with Laplace smoothing, class priors and pseudo-counts for PRIOR."""
+
+    def __init__(self, counts: dict[tuple[int, bool], int], bits: int, prior: float):
+        counts = {k: float(n) for k, n in counts.items()}
+        rows = {c: counts.pop((ROWS, c), 0.0) + 1 for c in (True, False)}
+        for b in {bucket("h:" + w, bits) for w in PRIOR}:
+            counts[b, True] = counts.get((b, True), 0.0) + prior
+        known = {k for k, _ in counts}
+        sums = {c: sum(n for (_, k), n in counts.items() if k is c) + len(known) + 1 for c in (True, False)}
+        ratio = lambda b: math.log((counts.get((b, True), 0.0) + 1) / sums[True]) - math.log((counts.get((b, False), 0.0) + 1) / sums[False])
+        self.bits, self.start, self.unseen = bits, math.log(rows[True] / rows[False]), ratio(UNSEEN)
+        self.odds = {b: ratio(b) for b in known}
+
+    def score(self, found: list[str]) -> float:
+        """Log odds for a block."""
+        return self.start + sum(self.odds.get(bucket(t, self.bits), self.unseen) for t in found)
+
+
 def url_filter(
-    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 16, prior: float = 20.0, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
+    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 20, prior: float = 20.0, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's log odds for a block (null under a rule).
 
     rules: (``host/path``, ``block`` or ``allow``). The model blocks where its odds
-    are above ``margin``, so a URL of which it knows no word (an empty one too) is
-    allowed. Every row under a rule trains; those of one host and path (but for
-    numbers) are split once, with their count.
+    are above ``margin``; of an empty URL it knows the classes' sizes only. Every
+    row under a rule trains; those of one host and path (but for numbers) are
+    split once, with their count.
     Null URLs are empty, null html has no words, null ids stay, repeated rows
-    count each, and an empty table gives no rows. Other columns are not read.
+    count each, and an empty table gives no rows. A page of any length is one
+    row's list of words; a host or path of any length is split in steps of the
+    longest word. Columns other than the three are not read.
     """
     spark = pages.sparkSession
     host, path = url_parts(pages[url])
@@ -161,6 +190,7 @@ def url_filter(
         segmenter, found = Segmenter(*model.value), Counter()
         for batch in batches:
             for host, path, rule, says, n in zip(*(c.to_pylist() for c in batch.columns)):
+                found[ROWS, says == "block"] += n
                 for t in tokens(segmenter, host, path, rule):
                     found[bucket(t, bits), says == "block"] += n
         if found:
@@ -168,20 +198,15 @@ def url_filter(
 
     labelled = parts.where("says is not null").groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").count().mapInArrow(count, "bucket long, block boolean, n long")
     counts = {(r[0], r[1]): r[2] for r in labelled.groupBy("bucket", "block").agg(F.sum("n")).collect()}
-    sums = {c: sum(n for (_, k), n in counts.items() if k is c) + (1 << bits) for c in (True, False)}
-    odds = {b: math.log((counts.get((b, True), 0) + 1) / sums[True]) - math.log((counts.get((b, False), 0) + 1) / sums[False]) for b in {k[0] for k in counts}}
-    for word in PRIOR:
-        b = bucket("h:" + word, bits)
-        odds[b] = odds.get(b, 0.0) + math.log(prior)
-    weights = spark.sparkContext.broadcast(odds)
+    bayes = spark.sparkContext.broadcast(Bayes(counts, bits, prior))
 
     def judge(batches):
-        segmenter, known = Segmenter(*model.value), weights.value
+        segmenter, known = Segmenter(*model.value), bayes.value
         for batch in batches:
             scores: list[float | None] = []
             says = batch.column(4).to_pylist()
             for host, path, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), says):
-                scores.append(None if given else sum(known.get(bucket(t, bits), 0.0) for t in tokens(segmenter, host, path, None)))
+                scores.append(None if given else known.score(tokens(segmenter, host, path, None)))
             verdicts = [given or ("block" if s > math.log(margin) else "allow") for given, s in zip(says, scores)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["id", "host", "path", "rule", "verdict", "log_odds"])
 
