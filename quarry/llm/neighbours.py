@@ -7,10 +7,12 @@ neighbouring key blocks scores every query against the vectors around it; the
 windows of all curves merge and the reranked best give each query a threshold.
 
 Where vectors have no structure, no window holds all neighbours. So the vectors
-along the first curve also form groups with a centre and a radius, and a
-query block meets every group whose bound reaches the thresholds of its
-queries: on clustered vectors few, on structureless ones all. This makes the
-result exact at any data, and windows only decide how much is read.
+along the first curve also form groups, each within a radius of a centre, and a
+query goes to the groups whose bound reaches its threshold: on clustered vectors
+few, on structureless ones all. Bounds are looked at before anything moves; then
+blocks of vectors and of queries meet in cells of bounded size, however large
+the table. This makes the result exact at any data, and windows only decide how
+much is read.
 
 Equal vectors are one row throughout (with their smallest ids), so that a
 vector that fills a third of the table costs no more than another.
@@ -20,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm.common import drawn, written
 
-DIMENSIONS, LEVELS = 6, 8
-GROUPS = 4096
+DIMENSIONS, LEVELS, PIECES = 6, 8, 16
+GROUPS = 4096  #: most groups, whose bounds every worker is sent
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -95,21 +97,23 @@ def best(rows: np.ndarray, vids: np.ndarray, scores: np.ndarray, k: int) -> np.n
 
 
 def compared(q: np.ndarray, x: np.ndarray, vids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best in x for every query, as far as they reach ``floor``."""
-    out = []
-    norm, longest = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1).max()) if len(x) else 0.0
-    xf = x.astype(np.float32)
-    for at in range(0, len(q), 1024):
-        s = q[at : at + 1024].astype(np.float32) @ xf.T
-        least = floor[at : at + 1024]
-        if s.shape[1] > k:
-            least = np.maximum(least, np.partition(s, -k, 1)[:, -k])
-        # single precision only preselects: its error stays below this margin
-        r, c = np.nonzero(s >= (least - 1e-5 * (norm[at : at + 1024] * longest + 1e-30))[:, None])
-        score = exact(q[at + r], x[c])
-        keep = best(r, vids[c], score, k)
-        out.append((at + r[keep], vids[c[keep]], score[keep]))
-    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    """(query row, id, score) of the k best in x for every query, as far as they reach ``floor``; products that are no number take no part."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    with np.errstate(over="ignore", invalid="ignore"):
+        error = 4 * (q.shape[1] + 2) * 2.0**-53 if len(q) else 0.0
+        norm, longest = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1).max()) if len(x) else 0.0
+        for at in range(0, len(q), 1024):
+            s = q[at : at + 1024] @ x.T
+            least = floor[at : at + 1024]
+            if s.shape[1] > k:
+                least = np.maximum(least, np.partition(np.where(np.isnan(s), -np.inf, s), -k, 1)[:, -k])
+            # the order of a matrix product's sums is not ours: it only preselects, with a margin above its error
+            r, c = np.nonzero(~(s < (least - error * norm[at : at + 1024] * longest)[:, None]))
+            score = exact(q[at + r], x[c])
+            r, c, score = (v[~np.isnan(score)] for v in (r, c, score))
+            keep = best(r, vids[c], score, k)
+            out.append((at + r[keep], vids[c[keep]], score[keep]))
+    return tuple(np.concatenate(p) for p in zip(*out))
 
 
 FOUND = "qvid long, cvid long, score double"
@@ -124,6 +128,8 @@ def distinct_vectors(df: DataFrame, is_query: Column, k: int) -> DataFrame:
     usable = df.where(
         "id is not null and vector is not null and size(vector) > 0"
     ).where(~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0))
+    sizes = usable.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    usable = usable.where(F.size("vector") == (sizes["size"] if sizes else 0))
 
     def pack(batches):
         for batch in batches:
@@ -200,53 +206,91 @@ def windows(vectors: DataFrame, curves: Curves, count: int, k: int, block: int,
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    """Each query's k best of (qvid, cvid, score) rows that may repeat; sums up in arrays of at most k per task."""
-    each = found.groupBy("qvid", "cvid").agg(F.max("score").alias("score"))
-    listed = each.groupBy("qvid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "cvid"))).alias("near"))
-    return listed.select("qvid", F.slice("near", 1, k).alias("near"))
+    """(qvid, cvid, score, rank) of each query's k best among rows that may repeat; one exchange, sorted with spilling."""
+    each = found.repartition("qvid").groupBy("qvid", "cvid").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qvid").orderBy(F.desc("score"), "cvid"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def completed(vectors: DataFrame, curves: Curves, floors: DataFrame, n: int, asked: int, k: int, group: int, ask: int) -> DataFrame:
-    """Rows of (qvid, cvid, score) that reach a query's floor, from every group whose bound does."""
-    wide, tall = min(GROUPS, max(1, -(-n // group))), min(GROUPS, max(1, -(-asked // ask)))
-    def keyed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(curves.keys(unpack(batch.column(0)), 0)), *batch.columns], ["key", "packed", "vid", "asked"])
-
-    along = vectors.select("packed", "vid", "asked").mapInArrow(keyed, "key long, packed binary, vid long, asked boolean")
-    # groups are ranges of the key; one bounded set of cuts, so that they differ in size by little
-    cuts = along.agg(F.percentile_approx("key", [k / wide for k in range(1, wide)] or [0.5], 10_000)).first()[0] or []
-    cuts = cuts if wide > 1 else []
+def completed(vectors: DataFrame, curves: Curves, sample: np.ndarray, floors: DataFrame, n: int, asked: int, k: int, group: int, ask: int) -> DataFrame:
+    """Rows of (qvid, cvid, score) that reach a query's floor, from every group whose bound does.
 
-    def grouped(batches):
+    A group is a range of the first curve; its centre comes from the sample, its
+    radius from all its vectors. A group of more than ``group`` vectors meets the
+    queries in several cells.
+    """
+    spark = vectors.sparkSession
+    wide, tall = min(GROUPS, max(1, -(-n // group))), max(1, -(-asked // ask))
+    own = np.sort(curves.keys(sample, 0))
+    cuts = np.unique(own[[len(own) * k // wide for k in range(1, wide)]]) if wide > 1 else np.zeros(0, np.int64)
+    group_of = lambda x: np.searchsorted(cuts, curves.keys(x, 0), "right")
+    centre = np.zeros((len(cuts) + 1, sample.shape[1]))
+    at = group_of(sample)
+    for g in np.unique(at):
+        centre[g] = sample[at == g].mean(0)
+
+    def place(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, batch.column(0).to_numpy(), "right").astype(np.int32)), *batch.columns[1:]], ["g", "packed", "vid", "asked"])
+            x = unpack(batch.column(0))
+            g = group_of(x)
+            with np.errstate(over="ignore", invalid="ignore"):
+                away = np.sqrt(((x - centre[g]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(away), *batch.columns], ["g", "away", "packed", "vid", "asked"])
+
+    placed = written(vectors.select("packed", "vid", "asked").mapInArrow(place, "g int, away double, packed binary, vid long, asked boolean"))
+    bounds = placed.groupBy("g").agg(F.max("away").alias("radius"), F.count("vid").alias("n")).collect()  # GROUPS rows at most
+    radius, held = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
+    for r in bounds:
+        radius[r["g"]], held[r["g"]] = r["radius"], r["n"]
+    pieces = -(-held // group)  # cells' worth of vectors, none in an empty group
+
+    def reached(q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((q * q).sum(1))[:, None]
+            most = q @ centre.T + norm * radius
+            slack = 1e-9 * norm * (np.sqrt((centre * centre).sum(1)) + radius)
+            return np.nonzero(~(most + slack < floor[:, None]) & (pieces > 0))
+
+    def pairs(batches):
+        for batch in batches:
+            i, g = reached(unpack(batch.column(0)), batch.column(2).to_numpy())
+            met = np.unique(np.stack([g, batch.column(3).to_numpy()[i]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, k].astype(np.int32)) for k in (0, 1)], ["g", "h"])
 
-    placed = along.mapInArrow(grouped, "g int, packed binary, vid long, asked boolean")
-    data = placed.select("g", "packed", "vid", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("h"), F.lit(None).cast("double").alias("floor"), F.lit(False).alias("asks"))
-    queries = placed.where("asked").join(floors, placed["vid"] == floors["qvid"]).select("packed", "vid", "floor", F.pmod(F.xxhash64("vid"), F.lit(tall)).cast("int").alias("h"))
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("g"), "packed", "vid", "h", "floor", F.lit(True).alias("asks"))
+    def asks(batches):
+        for batch in batches:
+            i, g = reached(unpack(batch.column(0)), batch.column(2).to_numpy())
+            for a in range(0, len(i), 2048):
+                many = pieces[g[a : a + 2048]]
+                row, to = np.repeat(i[a : a + 2048], many), np.repeat(g[a : a + 2048], many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                t = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(piece.astype(np.int32)), t.column(3), t.column(0), t.column(1), t.column(2), pa.array(np.ones(len(row), bool))], CELL)
+
+    queries = placed.where("asked").join(floors, placed["vid"] == floors["qvid"], "left")
+    queries = queries.select("packed", "vid", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.pmod(F.xxhash64("vid"), F.lit(tall)).cast("int").alias("h"))
+    needed = queries.mapInArrow(pairs, "g int, h int").distinct()
+    split = spark.createDataFrame([(g, int(p)) for g, p in enumerate(pieces)], "g int, pieces int")
+    data = placed.join(F.broadcast(split), "g").withColumn("piece", F.pmod(F.xxhash64("vid", F.lit("piece")), F.col("pieces")).cast("int"))
+    data = data.join(needed, "g").select("g", "piece", "h", "packed", "vid", F.lit(None).cast("double").alias("floor"), F.lit(False).alias("asks"))
 
     def meet(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        q, d = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+        mine = t.column("asks").to_numpy()
+        q, d = t.filter(pa.array(mine)), t.filter(pa.array(~mine))
         out = [found_batch(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if q.num_rows and d.num_rows:
             qx, qv, floor = unpack(q.column("packed").combine_chunks()), q.column("vid").to_numpy(), q.column("floor").to_numpy()
-            for at in range(0, d.num_rows, 65_536):
-                part = d.slice(at, 65_536)
-                x, v = unpack(part.column("packed").combine_chunks()), part.column("vid").to_numpy()
-                centre = x.mean(0)
-                radius = np.sqrt(((x - centre) ** 2).sum(1).max())
-                reach = qx @ centre + np.sqrt((qx * qx).sum(1)) * radius
-                near = np.flatnonzero(reach * (1 + 1e-9) + 1e-9 >= floor)
-                if len(near):
-                    r, c, s = compared(qx[near], x, v, floor[near], k)
-                    out.append(found_batch(qv[near][r], c, s))
+            for at in range(0, d.num_rows, 8192):
+                part = d.slice(at, 8192)
+                r, c, s = compared(qx, unpack(part.column("packed").combine_chunks()), part.column("vid").to_numpy(), floor, k)
+                out.append(found_batch(qv[r], c, s))
         return pa.Table.from_batches(out)
 
-    both = data.select("g", "h", "packed", "vid", "floor", "asks").unionByName(queries)
-    return both.groupBy("g", "h").applyInArrow(meet, FOUND)
+    both = data.unionByName(queries.mapInArrow(asks, "g int, piece int, h int, packed binary, vid long, floor double, asks boolean"))
+    return both.groupBy("g", "piece", "h").applyInArrow(meet, FOUND)
+
+
+CELL = ["g", "piece", "h", "packed", "vid", "floor", "asks"]
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, curves: int = 4, sample: int = 10_000, block: int = 1024, group: int = 8192, ask: int = 2048, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -256,10 +300,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, curves: int = 4, sampl
     equal vectors under other ids are; ties go to smaller ids. Rows with a null
     id, and vectors that are null, empty, all zero or hold null or non-finite
     components take no part; an empty table gives no rows. A repeated id counts
-    once per different vector. All vectors must have one length. Columns other
-    than the two are not read. sample: how many vectors fit the projections'
-    quantiles; group, ask: vectors and queries that meet in one task while the
-    table has no more than GROUPS groups.
+    once per different vector. Vectors of another length than the most frequent
+    one (of equally frequent ones the longest) take no part, nor do pairs whose
+    product overflows to no number. Columns other than the two are not read.
+    sample: how many vectors fit the projections' quantiles and the groups'
+    centres; group, ask: about how many vectors and queries meet in one task.
     """
     spark = df.sparkSession
     rows = df.select(df[id_column].cast("long").alias("id"), df[vector].alias("vector"))
@@ -269,18 +314,22 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, curves: int = 4, sampl
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = [r[0] for r in drawn(vectors.select("vid", "packed"), "vid", sample).select("packed").collect()]
-    order = Curves(np.frombuffer(b"".join(fitted), "<f8").reshape(len(fitted), -1), curves)
+    fitted = np.frombuffer(b"".join(fitted), "<f8").reshape(len(fitted), -1)
+    order = Curves(fitted, curves)
     parts = max(1, min(4096, curves * n // (16 * block) + 1))
     first = written(top(windows(vectors, order, curves, many, block, parts), many))
-    floors = first.select("qvid", F.when(F.size("near") >= many, -F.element_at("near", many)["far"]).otherwise(float("-inf")).alias("floor"))
-    held = first.select("qvid", F.explode("near").alias("x")).select("qvid", "x.cvid", (-F.col("x.far")).alias("score"))
-    rest = completed(vectors, order, floors, n, asked, many, group, ask)
-    final = top(held.unionByName(rest), many).select("qvid", F.explode("near").alias("x")).select("qvid", "x.cvid", "x.far")
-    listed = final.join(vectors.select(F.col("vid").alias("cvid"), "ids"), "cvid")
+    floors = first.where(F.col("rank") == many).select("qvid", F.col("score").alias("floor"))
+    rest = completed(vectors, order, fitted, floors, n, asked, many, group, ask)
+    final = top(first.select("qvid", "cvid", "score").unionByName(rest), many)
+    # ids of vectors that several rows hold; any other vector has its own
+    copies = vectors.where(F.size("ids") > 1).select(F.col("vid").alias("cvid"), "ids")
+    listed = final.join(copies, "cvid", "left").select("qvid", (-F.col("score")).alias("far"), F.coalesce("ids", F.array("cvid")).alias("ids"))
     listed = listed.groupBy("qvid").agg(F.collect_list(F.struct("far", "ids")).alias("found"))
     pairs = F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct(x["far"].alias("far"), i.alias("vec_id")))))
     listed = listed.select("qvid", F.slice(F.sort_array(pairs), 1, many).alias("near"))
-    usable = rows.where(is_query).where(F.size("vector") > 0).select("id", F.transform(F.col("vector").cast("array<double>"), lambda v: v + F.lit(0.0)).alias("v"))
+    # a vector that many queries share goes to its queries piece by piece
+    piece = F.pmod(F.xxhash64("id"), F.lit(PIECES)).cast("int").alias("piece")
+    usable = rows.where(is_query).where(F.size("vector") > 0).select("id", F.transform(F.col("vector").cast("array<double>"), lambda v: v + F.lit(0.0)).alias("v"), piece)
     own = vectors.where("asked").select(F.col("vid").alias("qvid"), "packed")
 
     def unpacked(batches):
@@ -288,7 +337,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, curves: int = 4, sampl
             lists = [np.frombuffer(p, "<f8").tolist() for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.float64()))], ["qvid", "v"])
 
-    queries = usable.distinct().join(own.mapInArrow(unpacked, "qvid long, v array<double>"), "v").select("id", "qvid")
+    dealt = own.mapInArrow(unpacked, "qvid long, v array<double>").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    queries = usable.distinct().join(dealt, ["v", "piece"]).select("id", "qvid")
     result = queries.join(listed, "qvid").select("id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("near"))
     result = result.select(F.col("id").alias("query_id"), F.posexplode("near").alias("at", "x"))
     return result.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
