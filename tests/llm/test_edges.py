@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing, neighbours, ngram_join, packing, personal_data, quality_rules, suffixes, token_counts, toxicity, url_filters
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, hash int, host string, body string, n_tokens int, row string, tokens string"
-EXTRA = ("x", "y", 3, "h", "b", 9, "r", "t")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, hash int, host string, body string, n_tokens int, row string, tokens string, __key string, number int, wordless int, first int, found int, line int"
+EXTRA = ("x", "y", 3, "h", "b", 9, "r", "t", "k", 1, 1, 1, 1, 1)
 LONG = "word " * 60_000
+MANY = " ".join(f"{k:x}" for k in range(60_000))
 COPY = "one two three four five six seven eight nine ten " * 10
 ROWS = [
     (1, None, "en", "a", None), (2, "", None, None, 0), (3, " \t\n", "en", "a", 3), (4, COPY, "en", "a", 1), (5, COPY, "en", None, 1), (5, COPY, "en", None, 1),
-    (None, COPY, "de", "b", 1), (6, LONG, "en", "a", 1), (7, "é日本 😀 mail a.b@c.de", "fr", "c", 1), (8, "idiot scum trash", "en", "a", 1), (None, None, None, None, None), (9, "two words", "en", "a", 1), (10, "Two  WORDS", "en", "a", 1),
+    (None, COPY, "de", "b", 1), (6, LONG, "en", "a", 1), (7, "é日本 😀 mail a.b@c.de", "fr", "c", 1), (8, "idiot scum trash", "en", "a", 1), (None, None, None, None, None), (9, "two words", "en", "a", 1), (10, "Two  WORDS", "en", "a", 1), (11, MANY, "en", "a", 1),
 ]
 LABELS = "doc_id long, quality int, toxic int"
 BPE, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -81,6 +82,7 @@ def test_mixing(spark, docs, nothing):
     assert sorted(str(r["doc_id"]) for r in made) == sorted(str(r[0]) for r in ROWS if (r[1] or "").split())
     assert mixing.mixed(nothing, {}, 0.5, 2).collect() == []
     assert mixing.chosen(docs, {}, 1.0, 1).select("row.*").columns == docs.columns
+    assert mixing.chosen(nothing, {}, 1.0, 1).select("row.*").collect() == []
 
 
 def test_url_filter(spark):
@@ -102,6 +104,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], schema), F.col("id") % 2 == 0).collect() == []
 
 
+def test_pipeline_stages(spark, docs, nothing, tmp_path):
+    """Every stage of the pipeline on rows with nulls, repeats and clashing names, and on none."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(8, 1, 1)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for d in (docs, nothing):
+            made = stage(spark, d, str(tmp_path))
+            assert made.columns == d.columns, name
+            assert made.count() <= d.count()
+    name, stage = corpus_pipeline.STAGES[-1]
+    made = stage(spark, docs, str(tmp_path))
+    assert made.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert stage(spark, nothing, str(tmp_path)).collect() == []
+
+
 def test_stages_keep_columns(spark, docs, nothing):
     labels = spark.createDataFrame([(8, 1, 1)], LABELS)
     for d in (docs, nothing):
@@ -109,7 +127,7 @@ def test_stages_keep_columns(spark, docs, nothing):
             assert made.columns == d.columns
             made.collect()
     kept = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
-    assert sorted(map(str, kept)) == sorted(map(str, [1, 2, 3, 4, 6, 7, 8, 9, None]))
+    assert sorted(map(str, kept)) == sorted(map(str, [1, 2, 3, 4, 6, 7, 8, 9, 11, None]))
     assert 8 not in {r["doc_id"] for r in toxicity.without_toxic(docs, labels).collect()}
     clean = by_id(personal_data.without_personal_data(docs))[7]
     assert clean["text"].endswith("mail [email]") and clean["n_chars"] == len(clean["text"])

@@ -39,6 +39,42 @@ def test_counts_match_the_library():
     assert token_counts.counted(raw, offsets, BPE).tolist() == [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n, a, b):
+    """A word of n letters and its complement, which collide under polynomials modulo 2^64."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return ["".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_structured_words(spark, n):
+    import pyarrow as pa
+
+    texts = thue_morse(n, "t", "h")
+    raw, offsets = common.text_buffers(pa.array(texts))
+    assert token_counts.counted(raw, offsets, BPE).tolist() == [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
+    made = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in made) == [(0, 1, 0), (1, 1, 1)]
+
+
+def test_structured_passages():
+    """Blocks of two letters that agree modulo 2^64 have prints of their own; equal ones anywhere share theirs."""
+    for n in (128, 200):
+        a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(256, "x", "y"))
+        raw = np.concatenate([a[:n], b[:n], np.zeros((1 << 20) - n, np.uint8), a[:n], b[:n]])
+        place = np.array([0, n, (1 << 20) + n, (1 << 20) + 2 * n])
+        got = suffixes.prints(raw, place, n, 0x123456789ABCDE1)
+        assert got[0] == got[2] and got[1] == got[3] and got[0] != got[1]
+        assert int(got[0]) == sum((int(c) + 1) * pow(0x123456789ABCDE1, k, suffixes.PRIME) for k, c in enumerate(a[:n])) % suffixes.PRIME
+
+
+def test_word_hashes_are_one_to_one_for_short_words():
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.integers(97, 100, rng.integers(1, 90)).astype("u1")) for _ in range(50_000)]
+    size = np.array([len(w) for w in words])
+    made = ngram_join.hashes(np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(size)[:-1]], size)
+    assert len(set(words)) == len(set(made.tolist())) == len(set(zip(words, made.tolist())))
+
+
 def test_pieces_hold_the_librarys_ids(spark):
     texts = odd_texts(300, 2) + ["word and more " * 3000]
     made = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, BPE, {"<|endoftext|>": 50256}).collect()
@@ -109,11 +145,11 @@ def near_copies(seed, n=160):
     return out
 
 
-def brute_components(texts, percent=90):
+def brute_components(texts, percent=90, n=3):
     sets = []
     for t in texts:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-        sets.append({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     links = components.Sets()
     for i in range(len(sets)):
         for j in range(i):
@@ -164,15 +200,29 @@ def test_neighbours_are_all_found(spark, clustered):
         assert [r["vec_id"] for r in made if r["query_id"] == q] == order
 
 
+def test_neighbours_of_wide_uneven_and_huge_vectors(spark):
+    rng = np.random.default_rng(4)
+    wide = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((300, 768)).astype("f4").astype("f8"))]
+    df = spark.createDataFrame(wide + [(1000, [1.0, 2.0]), (1020, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    made = neighbours.nearest(df, F.col("id") % 20 == 0, k=3, block=64, group=50, ask=4).orderBy("query_id", "rank").collect()
+    x = np.array([v for _, v in wide])
+    s = neighbours.exact(np.repeat(x, 300, 0), np.tile(x, (300, 1))).reshape(300, 300)
+    want = [(q, k) for q in range(0, 300, 20) for k in sorted((k for k in range(300) if k != q), key=lambda k: (-s[q, k], k))[:3]]
+    assert [(r["query_id"], r["vec_id"]) for r in made] == want
+    huge = [(0, [1e200, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (3, [-1.0, 5.0])]
+    made = neighbours.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in made] == [(2, 2e200), (1, 1e200), (3, -1e200)]
+
+
 def test_windows_alone_find_clustered_neighbours(spark):
     """What the curves give without the completion, where vectors have structure."""
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((40, 16))[rng.integers(0, 40, 2000)] + 0.1 * rng.standard_normal((2000, 16))).astype("f4")
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>")
     vectors = neighbours.distinct_vectors(df, F.col("id") % 20 == 0, 6)
-    found = neighbours.top(neighbours.windows(vectors, neighbours.Curves(x.astype("f8"), 4), 4, 6, 128, 4), 6).collect()
+    found = neighbours.top(neighbours.windows(vectors, neighbours.Curves(x.astype("f8"), 4), 4, 6, 128, 4), 6).groupBy("qvid").agg(F.collect_list("cvid").alias("near")).collect()
     s = x.astype("f8") @ x.T.astype("f8")
-    right = sum(len({n["cvid"] for n in r["near"]} & set(np.argsort(-s[r["qvid"]])[:6])) for r in found)
+    right = sum(len(set(r["near"]) & set(np.argsort(-s[r["qvid"]])[:6])) for r in found)
     assert right / (6 * len(found)) >= 0.9
 
 
@@ -191,6 +241,23 @@ def test_mixing_budgets(spark):
     assert 0.47 * total <= sum(by.values()) <= 0.5 * total and 2.5 <= by["en"] / by["de"] <= 3.5
 
 
+def test_mixing_spreads_rows_without_id_and_repeats(spark):
+    rows = [(None if k < 20 else 7 if k < 30 else k, "w " * 5, "en", "a") for k in range(40)]
+    made = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), {}, 0.5, 1).collect()
+    assert sum(r["n_tokens"] for r in made) == 100  # of 200, though half the rows share no id and a quarter one
+    with pytest.raises(ValueError):
+        mixing.chosen(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), {("web",): 0}, 0.5, 1)
+
+
+def test_lines_count_documents(spark):
+    """Copies are documents of their own; rows that repeat an id are one."""
+    text = "menu of the site\n" + " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text, "copies") for k in range(12)] + [(100, text, "repeats")] * 12 + [(None, text, "none")] * 12 + [(k, "menu of the site\n" + text, "few") for k in range(200, 210)]
+    made = quality_rules.line_quality(spark.createDataFrame([(*r[:2], r[2]) for r in rows], "doc_id long, text string, source string")).collect()
+    lost = collections.Counter((r["doc_id"] is None, (r["doc_id"] or 0) // 100, r["n_line_words"]) for r in made)
+    assert lost == {(False, 0, 64): 12, (False, 1, 0): 12, (True, 0, 64): 12, (False, 2, 0): 10}
+
+
 def test_segmentation_and_rules(spark):
     s = url_filters.Segmenter({"cheap": 50, "pills": 40, "farm": 9, "the": 500, "rapist": 1, "therapist": 30})
     assert s.split("cheappills") == ("cheap", "pills") and s.split("therapist") == ("therapist",) and "".join(s.split("qxzcheap")) == "qxzcheap"
@@ -241,6 +308,11 @@ def test_judge_on_fresh_examples():
     assert spans("on 12-05-2021, version 10.20.300, order 1234567812345678") == []
 
 
+def test_long_secrets_go_whole():
+    text = 'api_key = "' + "ab12" * 75 + '" and more'
+    assert personal_data.all_spans(text, [], personal_data.judge()) == [("secret", 11, 311)]
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
@@ -275,6 +347,16 @@ def test_label_model_trusts_the_right_voters():
     assert ((posterior > 0.5) == y).mean() > 0.9 and rates[0, 1] > 0.5 > rates[4, 1] and shared[4] < 0.7 < shared[0]
 
 
+def test_patterns_are_voters():
+    rng = np.random.default_rng(3)
+    y = rng.random(2000) < 0.2
+    rows = [toxicity.Row([0] if t and rng.random() < 0.8 else [], int(t), [int(t and rng.random() < 0.6 or rng.random() < 0.02), 0, 0, 0, 0], 40, int(t != (rng.random() < 0.03)), bool(rng.random() < 0.5)) for t in y]
+    model = toxicity.fit(rows, {5: 0})
+    assert model.rates.shape == (1 + len(toxicity.PATTERNS) + 1, 2)
+    assert abs(model.rates[1, 1] - 0.6) < 0.08 and model.rates[1, 0] < 0.05 and abs(model.rates[0, 1] - 0.8) < 0.08
+    assert 0.9 < model.rates[-1, 1] < 1 and 0.01 < model.rates[-1, 0] < 0.06  # the mark's own errors
+
+
 def test_sql(spark):
     """Operators that SQL can express, on rows with repeats and ties."""
     import duckdb
@@ -306,7 +388,7 @@ def test_pipeline(spark):
     one = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     ids = sorted(texts)
-    want = {ids[c] for n, c in brute_components([texts[i] for i in ids]) if n}
+    want = {ids[c] for n, c in brute_components([texts[i] for i in ids], 80, 5) if n}
     assert sorted(r["doc_id"] for r in one) == sorted(want | {i for i in ids if not WORD.search(texts[i])})
     made = corpus_pipeline.run(spark, SF)
     assert made.agg(F.sum("length")).first()[0] > 0 and {r[0] for r in made.select("doc_id").distinct().collect()} <= kept

@@ -40,21 +40,24 @@ def test_near_duplicates_are_five_words_at_four_fifths(spark):
 
 
 def test_every_row_under_a_rule_trains(spark):
-    """Weights of a host with many numbered pages, by a count over the rows themselves."""
-    urls = [f"http://bad{k}.net/p/{k}" for k in range(3)] + [f"http://good.org/p/{k}" for k in range(40)] + ["http://x.com/p/7", "http://good.com/q"]
-    pages = spark.createDataFrame([(k, u, "<p>good bad</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    """Log odds against naive Bayes written out over the rows themselves: class priors, counts of all rows, smoothing of all tokens."""
+    urls = [f"http://bad{k}.net/p/{k}" for k in range(3)] + [f"http://good.org/p/{k}" for k in range(40)] + ["http://x.com/p/7", "http://good.com/q", "http://casinogood.com/p/1", None]
+    pages = spark.createDataFrame([(k, u, "<p>good bad casino</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
     rules = [("net/", "block"), ("org/", "allow")]
     made = {r["page_id"]: r for r in url_filters.url_filter(pages, rules).collect()}
-    segmenter = url_filters.Segmenter({"good": len(urls), "bad": len(urls)})
-    counts = {True: Counter(), False: Counter()}
+    segmenter = url_filters.Segmenter({"good": len(urls), "bad": len(urls), "casino": len(urls)})
+    counts = {True: Counter({"h:" + w: 20 for w in url_filters.PRIOR}), False: Counter()}
     for u in urls[:43]:
         host, path = u[7:].split("/", 1)
         counts[".net" in host].update(url_filters.tokens(segmenter, host, "/" + re.sub("[0-9]+", "0", path), "net/" if ".net" in host else "org/"))
-    sums = {c: sum(x.values()) + (1 << 16) for c, x in counts.items()}
-    for k in (43, 44):
-        host, path = urls[k][7:].split("/", 1)
-        want = sum(math.log((counts[True][t] + 1) / sums[True]) - math.log((counts[False][t] + 1) / sums[False]) for t in url_filters.tokens(segmenter, host, "/" + path, None) if counts[True][t] + counts[False][t])
+    vocabulary = len(set(counts[True]) | set(counts[False])) + 1
+    rate = lambda c, t: (counts[c][t] + 1) / (sum(counts[c].values()) + vocabulary)
+    for k in (43, 44, 45, 46):
+        host, path = urls[k][7:].split("/", 1) if urls[k] else ("", None)
+        found = url_filters.tokens(segmenter, host, "/" + path if path else "", None)
+        want = math.log(4 / 41) + sum(math.log(rate(True, t) / rate(False, t)) for t in found)
         assert abs(made[k]["log_odds"] - want) < 1e-9
+        assert made[k]["verdict"] == ("block" if want > math.log(9) else "allow")
 
 
 def test_unigrams_keep_every_word_that_a_name_holds(spark):
