@@ -263,7 +263,45 @@ def spanning(ids: list[int], tokens: list[np.ndarray], classes: list[np.ndarray]
     return out
 
 
-CANDIDATE = "tid long, n int, prefix int, tokens binary, classes binary"
+POSTINGS = 1 << 21  #: prefix n-grams that a task looks at together
+
+
+def run_ends(sizes: list[int], tids: list[int], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Sets of one n-gram, by size: (set, hub) of every run of fitting sizes, and where in the list runs begin and end.
+
+    Two sets that fit lie in one run or between the ends of two, so that runs
+    of several tasks connect through their ends.
+    """
+    pairs, ends, hub = [], [0], 0
+    for k in range(1, len(sizes)):
+        if 100 * sizes[hub] >= percent * sizes[k]:
+            pairs.append((tids[k], tids[hub]))
+        else:
+            if 100 * sizes[k - 1] >= percent * sizes[k]:
+                pairs.append((tids[k], tids[k - 1]))
+            ends += [k - 1] * (k - 1 > hub) + [k]
+            hub = k
+    return pairs, ends + [len(sizes) - 1] * (len(sizes) - 1 > hub)
+
+
+def combined(held: list[tuple], percent: int):
+    """Rows (gram, n, tid, null) that other tasks' sets may join, and (null, null, tid, hub) of joined ones."""
+    gram, n, tid = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((tid, n, gram))
+    gram, n, tid = gram[order], n[order], tid[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    stop = np.r_[first[1:], len(gram)].astype(np.int64)
+    keep = np.zeros(len(gram), bool)
+    keep[first[stop - first == 1]] = True
+    pairs: set[tuple[int, int]] = set()
+    for a, b in zip(first[stop - first > 1].tolist(), stop[stop - first > 1].tolist()):
+        found, ends = run_ends(n[a:b].tolist(), tid[a:b].tolist(), percent)
+        pairs.update(found)
+        keep[np.array(ends) + a] = True
+    names = ["gram", "n", "tid", "hub"]
+    yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(n[keep]), pa.array(tid[keep]), pa.nulls(int(keep.sum()), pa.int64())], names)
+    u, v = zip(*pairs) if pairs else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names)
 
 
 def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int) -> tuple[DataFrame, DataFrame]:
@@ -308,18 +346,22 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
     moving = texts.where("tokens is not null")
 
     def postings(batches):
+        """Prefix n-grams of a task's sets; of one that several of them share only the ends of its runs, and the pairs within."""
+        held: list[tuple] = []
+        count = 0
         for batch in batches:
-            t, s, g = [], [], []
             for tid, n, take, tokens, classes in zip(*(c.to_pylist() for c in batch.columns)):
                 grams = np.frombuffer(tokens, np.int64, take)[np.frombuffer(classes, np.uint8, take) > 0]
-                g.append(grams)
-                t.append(np.full(len(grams), tid))
-                s.append(np.full(len(grams), n, np.int32))
-            if g:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, s, t)], ["gram", "n", "tid"])
+                held.append((grams, np.full(len(grams), n, np.int32), np.full(len(grams), tid)))
+                count += len(grams)
+            if count >= POSTINGS:
+                yield from combined(held, percent)
+                held, count = [], 0
+        if held:
+            yield from combined(held, percent)
 
-    posted = moving.select("tid", "n", "prefix", "tokens", "classes").mapInArrow(postings, "gram long, n int, tid long")
-    posted = posted.repartition(partitions, "gram").sortWithinPartitions("gram", "n", "tid")
+    local = written(moving.select("tid", "n", "prefix", "tokens", "classes").mapInArrow(postings, "gram long, n int, tid long, hub long"))
+    posted = local.where("hub is null").select("gram", "n", "tid").repartition(partitions, "gram").sortWithinPartitions("gram", "n", "tid")
 
     def chained(batches):
         """Neighbours within a run of one n-gram and fitting sizes; a run's first set is the hub."""
@@ -342,7 +384,8 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    cluster = components(posted.mapInArrow(chained, "u long, v long"))
+    near = posted.mapInArrow(chained, "u long, v long").unionByName(local.where("hub is not null").select(F.col("tid").alias("u"), F.col("hub").alias("v")))
+    cluster = components(near)
     sizes = cluster.groupBy("component").agg(F.count("node").alias("m"))
     blocks = F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(0)
     sized = written(cluster.join(sizes.select("component", blocks.cast("int").alias("blocks")), "component").withColumnRenamed("node", "tid"))

@@ -166,6 +166,28 @@ def test_join_against_brute_force(spark, monkeypatch, block):
     assert [(made[i]["n_shingles"], made[i]["component_id"]) for i in range(len(texts))] == brute_components(texts)
 
 
+def test_runs_of_several_tasks_connect_what_one_run_does():
+    rng = random.Random(11)
+    for _ in range(200):
+        sets = [(rng.choice([10, 11, 12, 20, 21, 30, 33, 36, 40, 100]), k) for k in range(rng.randint(1, 14))]
+        parts = collections.defaultdict(list)
+        for x in sets:
+            parts[rng.randrange(3)].append(x)
+        links, ends = components.Sets(), []
+        for part in parts.values():
+            part.sort()
+            pairs, at = ngram_join.run_ends([n for n, _ in part], [t for _, t in part], 90)
+            for u, v in pairs:
+                links.join(u, v)
+            ends += [part[k] for k in at]
+        ends.sort()
+        for u, v in ngram_join.run_ends([n for n, _ in ends], [t for _, t in ends], 90)[0]:
+            links.join(u, v)
+        sets.sort()
+        for k in range(1, len(sets)):
+            assert (100 * sets[k - 1][0] >= 90 * sets[k][0]) <= (links.root(sets[k - 1][1]) == links.root(sets[k][1]))
+
+
 def test_trie_finds_every_link():
     rng = np.random.default_rng(5)
     sets = [np.sort(rng.choice(60, rng.integers(1, 40), replace=False)) for _ in range(80)]
