@@ -69,16 +69,22 @@ def parsed(answer: Column, threshold: float = THRESHOLD, multi: bool = False) ->
     return F.struct(intent.alias("intent"), confidence.alias("confidence"), reasoning.alias("reasoning"), secondary.alias("secondary"), error.alias("error"))
 
 
-def ruled(question: Column) -> Column:
-    """An answer in a model's form, from the signs a question holds: the intent with most, ties in the order of INTENTS."""
-    low = F.lower(question)
-    hits = {i: sum((low.contains(s).cast("int") for s in signs), F.lit(0)) for i, signs in SIGNS.items()}
-    total, most = sum(hits.values(), F.lit(0)), F.greatest(*hits.values())
-    first = F.coalesce(*[F.when(n == most, F.lit(i)) for i, n in hits.items()])
-    share = lambda n: F.format_number(F.lit(0.5) + F.lit(0.4) * n / total, 2)
-    others = F.concat_ws(", ", *[F.when((n > 0) & (first != i), F.concat(F.lit(f"{i}:"), share(n))) for i, n in hits.items()])
-    sure = F.concat(F.lit("Intent: "), first, F.lit("\nConfidence: "), share(most), F.lit("\nReasoning: signs of "), first, F.lit("\nSecondary: "), others)
-    return F.when(total > 0, sure).otherwise(F.lit("Intent: explanation\nConfidence: 0.30\nReasoning: no signs"))
+def ruled(questions: DataFrame, question: str) -> DataFrame:
+    """Adds ``answer`` in a model's form, from the signs a question holds: the intent with most, ties in the order of INTENTS.
+
+    Step by step, so that signs are looked for once per question.
+    """
+    low = F.lower(F.col(question))
+    counted = questions.withColumn("_n", F.array(*[sum((low.contains(x).cast("int") for x in SIGNS[i]), F.lit(0)) for i in INTENTS]))
+    ranked = counted.withColumn("_total", F.aggregate("_n", F.lit(0), lambda a, x: a + x)).withColumn("_first", F.array_position("_n", F.array_max("_n")).cast("int"))
+    shares = F.transform("_n", lambda n: F.when(n > 0, F.format_number(F.lit(0.5) + F.lit(0.4) * n / F.col("_total"), 2)))
+    names = F.array(*map(F.lit, INTENTS))
+    shared = ranked.withColumn("_share", shares)
+    others = F.filter(F.transform("_share", lambda x, k: F.when(k + 1 != F.col("_first"), F.concat(F.get(names, k), F.lit(":"), x))), lambda x: x.isNotNull())
+    first = F.element_at(names, F.col("_first"))
+    sure = F.concat(F.lit("Intent: "), first, F.lit("\nConfidence: "), F.element_at("_share", F.col("_first")), F.lit("\nReasoning: signs of "), first, F.lit("\nSecondary: "), F.array_join(others, ", "))
+    answer = F.when(F.col("_total") > 0, sure).otherwise(F.lit("Intent: explanation\nConfidence: 0.30\nReasoning: no signs"))
+    return shared.withColumn("answer", answer).drop("_n", "_total", "_first", "_share")
 
 
 def classified(questions: DataFrame, text: str = "text", model: Callable[[list[str]], list[str]] | None = None, threshold: float = THRESHOLD, multi: bool = False) -> DataFrame:
@@ -91,7 +97,7 @@ def classified(questions: DataFrame, text: str = "text", model: Callable[[list[s
     key = normal_query(F.coalesce(F.col(text), F.lit("")))
     rows = questions.withColumn("_key", key)
     once = rows.where("_key <> ''").groupBy("_key").agg(F.min(text).alias("_question"))
-    answers = once.withColumn("answer", ruled(F.col("_question"))) if model is None else asked(once, "_question", model)
+    answers = ruled(once, "_question") if model is None else asked(once, "_question", model)
     found = answers.select("_key", parsed(F.col("answer"), threshold, multi).alias("_p"))
     empty = F.when(F.col("_key") == "", "empty_query")
     made = rows.join(found, "_key", "left")
