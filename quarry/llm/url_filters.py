@@ -3,11 +3,13 @@
 Names in hosts are often words run together. A unigram model of the pages' own
 words splits every host label along its most likely path (Viterbi), and a
 multinomial naive Bayes model over those words and the path's words judges the
-URLs that no rule reaches. Its classes come from the rules: a URL that a rule
-decides is a labelled row, without the part of it that the rule itself names.
-Words of a short prior list, which stand for unwanted hosts anywhere, are
-pseudo-counts of the block class. Classes weigh by their rows, and a token that
-training never saw speaks at its smoothed rate like any other.
+URLs that no rule reaches. Every URL trains it. One that a rule decides has the
+rule's class, without the part that the rule itself names; of the others those
+with a word of a short list in their host, which stands for unwanted hosts
+anywhere, are block rows, and the rest are allow rows: what nothing speaks
+against is allowed until its words say otherwise. A URL counts each of its
+tokens once, so that no long one outweighs the rest; classes weigh by their rows,
+and a token that training never saw speaks at its smoothed rate like any other.
 
 All counts cover all rows. What the workers get are the unigrams that stand
 somewhere in a name of the URLs, since no other word can be part of a split, and
@@ -28,8 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import written
 
-#: Words that count for a block before anything is counted.
-PRIOR = ["adult", "bet", "buy", "casino", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "porn", "seo", "sex", "spam", "viagra", "win", "xxx"]
+#: Words in a host that make an undecided URL a block row.
+SEEDS = ["adult", "bet", "buy", "casino", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "porn", "seo", "sex", "spam", "viagra", "win", "xxx"]
+SEEDED = {"h:" + w for w in SEEDS}
 LONGEST = 24
 
 
@@ -147,33 +150,31 @@ UNSEEN, ROWS = -1, -2
 
 
 class Bayes:
-    """Multinomial naive Bayes over counts by (bucket, block) with Laplace smoothing, class priors and pseudo-counts for PRIOR."""
+    """Multinomial naive Bayes over counts by (bucket, block), with Laplace smoothing and class priors."""
 
-    def __init__(self, counts: dict[tuple[int, bool], int], bits: int, prior: float):
-        counts = {k: float(n) for k, n in counts.items()}
-        rows = {c: counts.pop((ROWS, c), 0.0) + 1 for c in (True, False)}
-        for b in {bucket("h:" + w, bits) for w in PRIOR}:
-            counts[b, True] = counts.get((b, True), 0.0) + prior
+    def __init__(self, counts: dict[tuple[int, bool], int], bits: int):
+        rows = {c: counts.get((ROWS, c), 0) + 1 for c in (True, False)}
+        counts = {k: n for k, n in counts.items() if k[0] != ROWS}
         known = {k for k, _ in counts}
         sums = {c: sum(n for (_, k), n in counts.items() if k is c) + len(known) + 1 for c in (True, False)}
-        ratio = lambda b: math.log((counts.get((b, True), 0.0) + 1) / sums[True]) - math.log((counts.get((b, False), 0.0) + 1) / sums[False])
+        ratio = lambda b: math.log((counts.get((b, True), 0) + 1) / sums[True]) - math.log((counts.get((b, False), 0) + 1) / sums[False])
         self.bits, self.start, self.unseen = bits, math.log(rows[True] / rows[False]), ratio(UNSEEN)
         self.odds = {b: ratio(b) for b in known}
 
     def score(self, found: list[str]) -> float:
         """Log odds for a block."""
-        return self.start + sum(self.odds.get(bucket(t, self.bits), self.unseen) for t in found)
+        return self.start + sum(self.odds.get(bucket(t, self.bits), self.unseen) for t in dict.fromkeys(found))
 
 
 def url_filter(
-    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 20, prior: float = 20.0, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
+    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 20, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's log odds for a block (null under a rule).
 
     rules: (``host/path``, ``block`` or ``allow``). The model blocks where its odds
     are above ``margin``; of an empty URL it knows the classes' sizes only. Every
-    row under a rule trains; those of one host and path (but for numbers) are
-    split once, with their count.
+    row trains; those of one host and path (but for numbers) are split once, with
+    their count.
     Null URLs are empty, null html has no words, null ids stay, repeated rows
     count each, and an empty table gives no rows. A page of any length is one
     row's list of words; a host or path of any length is split in steps of the
@@ -190,15 +191,17 @@ def url_filter(
         segmenter, found = Segmenter(*model.value), Counter()
         for batch in batches:
             for host, path, rule, says, n in zip(*(c.to_pylist() for c in batch.columns)):
-                found[ROWS, says == "block"] += n
-                for t in tokens(segmenter, host, path, rule):
-                    found[bucket(t, bits), says == "block"] += n
+                words = set(tokens(segmenter, host, path, rule))
+                block = says == "block" if says else any(t in SEEDED for t in words)
+                found[ROWS, block] += n
+                for t in words:
+                    found[bucket(t, bits), block] += n
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()))], ["bucket", "block", "n"])
 
-    labelled = parts.where("says is not null").groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").count().mapInArrow(count, "bucket long, block boolean, n long")
+    labelled = parts.groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").count().mapInArrow(count, "bucket long, block boolean, n long")
     counts = {(r[0], r[1]): r[2] for r in labelled.groupBy("bucket", "block").agg(F.sum("n")).collect()}
-    bayes = spark.sparkContext.broadcast(Bayes(counts, bits, prior))
+    bayes = spark.sparkContext.broadcast(Bayes(counts, bits))
 
     def judge(batches):
         segmenter, known = Segmenter(*model.value), bayes.value

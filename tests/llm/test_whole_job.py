@@ -39,25 +39,28 @@ def test_near_duplicates_are_five_words_at_four_fifths(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
 
 
-def test_every_row_under_a_rule_trains(spark):
+def test_every_row_trains(spark):
     """Log odds against naive Bayes written out over the rows themselves: class priors, counts of all rows, smoothing of all tokens."""
-    urls = [f"http://bad{k}.net/p/{k}" for k in range(3)] + [f"http://good.org/p/{k}" for k in range(40)] + ["http://x.com/p/7", "http://good.com/q", "http://casinogood.com/p/1", None]
+    urls = [f"http://bad{k}.net/p/{k}" for k in range(3)] + [f"http://good.org/p/{k}" for k in range(40)] + ["http://x.com/p/7", "http://good.com/q", None] + [f"http://casinobad.com/p/{k}" for k in range(9)]
     pages = spark.createDataFrame([(k, u, "<p>good bad casino</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
     rules = [("net/", "block"), ("org/", "allow")]
     made = {r["page_id"]: r for r in url_filters.url_filter(pages, rules).collect()}
     segmenter = url_filters.Segmenter({"good": len(urls), "bad": len(urls), "casino": len(urls)})
-    counts = {True: Counter({"h:" + w: 20 for w in url_filters.PRIOR}), False: Counter()}
-    for u in urls[:43]:
-        host, path = u[7:].split("/", 1)
-        counts[".net" in host].update(url_filters.tokens(segmenter, host, "/" + re.sub("[0-9]+", "0", path), "net/" if ".net" in host else "org/"))
+    parts = [("", "") if u is None else (u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]) for u in urls]
+    counts, rows = {True: Counter(), False: Counter()}, Counter()
+    for host, path in parts:
+        rule = "net/" if ".net" in host else "org/" if ".org" in host else None
+        found = set(url_filters.tokens(segmenter, host, re.sub("[0-9]+", "0", path), rule))
+        block = rule == "net/" if rule else "h:casino" in found
+        counts[block].update(found)
+        rows[block] += 1
     vocabulary = len(set(counts[True]) | set(counts[False])) + 1
     rate = lambda c, t: (counts[c][t] + 1) / (sum(counts[c].values()) + vocabulary)
-    for k in (43, 44, 45, 46):
-        host, path = urls[k][7:].split("/", 1) if urls[k] else ("", None)
-        found = url_filters.tokens(segmenter, host, "/" + path if path else "", None)
-        want = math.log(4 / 41) + sum(math.log(rate(True, t) / rate(False, t)) for t in found)
+    for k in range(43, len(urls)):
+        want = math.log((rows[True] + 1) / (rows[False] + 1)) + sum(math.log(rate(True, t) / rate(False, t)) for t in set(url_filters.tokens(segmenter, *parts[k], None)))
         assert abs(made[k]["log_odds"] - want) < 1e-9
         assert made[k]["verdict"] == ("block" if want > math.log(9) else "allow")
+    assert made[47]["verdict"] == "block" and made[44]["verdict"] == made[45]["verdict"] == "allow"
 
 
 def test_unigrams_keep_every_word_that_a_name_holds(spark):
