@@ -244,8 +244,8 @@ USAGE_SQL = """count(*) AS total_queries, count(DISTINCT session_id) AS unique_s
   coalesce(sum(zero_results::INT), 0)::BIGINT AS zero_result_queries, round(coalesce(avg(result_count), 0), 6) AS avg_results, round(coalesce(avg(execution_time_ms), 0), 6) AS avg_execution_ms"""
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query(EV + f" SELECT {USAGE_SQL} FROM ev WHERE type = 'query'")
@@ -439,19 +439,19 @@ s AS (SELECT doc_id, t, low, ls, last, strlen(t) AS bytes,
   (CASE WHEN per IS NULL THEN 0 WHEN per < 10 THEN 0.7 WHEN per > 35 THEN 0.5 WHEN per BETWEEN 15 AND 25 THEN 1.0 ELSE 0.8 END + CASE WHEN longs IS NULL THEN 0 WHEN longs > 0.15 THEN 0.6 WHEN longs < 0.05 THEN 0.9 ELSE 1.0 END
     + CASE WHEN {" OR ".join(f"contains(low, '{w}')" for w in quality.TRANSITIONS)} THEN 1.0 ELSE 0.6 END)::DOUBLE / (1 + (per IS NOT NULL)::INT + (longs IS NOT NULL)::INT) AS clarity FROM g),
 o AS (SELECT *, length * 0.15::DOUBLE + structure * 0.25::DOUBLE + completeness * 0.3::DOUBLE + code * 0.2::DOUBLE + clarity * 0.1::DOUBLE AS overall FROM s)
-SELECT doc_id, round(length, 6) AS length, round(structure, 6) AS structure, round(completeness, 6) AS completeness, round(code, 6) AS code, round(clarity, 6) AS clarity,
+SELECT doc_id, round(length, 9) AS length, round(structure, 9) AS structure, round(completeness, 9) AS completeness, round(code, 9) AS code, round(clarity, 9) AS clarity,
   list_filter([CASE WHEN bytes < 100 THEN 'short' END, CASE WHEN NOT regexp_matches(t, '\\S') THEN 'blank' END,
     CASE WHEN (last <> '' AND NOT regexp_matches(last, '([.!?]|```)$')) OR regexp_matches(lower(last), '(\\.\\.\\.|and|but|or|the|a|an)$') THEN 'incomplete' END], lambda x: x IS NOT NULL) AS issues,
   list_filter([CASE WHEN bytes > 50000 THEN 'long' END, CASE WHEN {" OR ".join(f"contains(t, '{w}')" for w in quality.PLACEHOLDERS)} THEN 'placeholder' END,
     CASE WHEN {" OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in quality.UNSURE)} THEN 'unsure' END,
     CASE WHEN len(ls) >= 5 AND len(list_filter(range(3, len(ls) + 1), lambda i: ls[i] = ls[i - 1] AND ls[i] = ls[i - 2])) > 0 THEN 'repetition' END], lambda x: x IS NOT NULL) AS warnings,
-  round(overall, 6) AS overall, CASE WHEN overall >= 0.8 THEN 'high' WHEN overall >= 0.6 THEN 'medium' WHEN overall >= 0.4 THEN 'low' ELSE 'very_low' END AS level FROM o"""
+  round(overall, 9) AS overall, CASE WHEN overall >= 0.8 THEN 'high' WHEN overall >= 0.6 THEN 'medium' WHEN overall >= 0.4 THEN 'low' ELSE 'very_low' END AS level FROM o"""
 
 
 @query(ANSWER_SQL)
 def answer_confidence(spark, sf):
     """Five scores of documents taken as answers of type reference, with issues and warnings (no text has a fence: code is constant)."""
-    return rounded(quality.answer_scores(read(spark, sf, "documents"), "reference"))
+    return rounded(quality.answer_scores(read(spark, sf, "documents"), "reference"), 9)
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents)
