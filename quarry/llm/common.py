@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -117,5 +119,22 @@ def stretches(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, list[byte
     return column.indices.to_numpy(), column.dictionary.to_pylist()
 
 
+def trimmed(run):
+    """``run`` of a ``mapInArrow``; its worker gives free memory back to the system at the end of a task.
+
+    Workers stay for later tasks, and an executor's limit holds for idle and busy ones together.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def native_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]

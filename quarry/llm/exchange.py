@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import release, text_buffers
+from quarry.llm.common import release, trimmed
 
 #: Bytes of a group, of a bucket of the groups' table, of a bucket of fingerprints; bytes of a task's texts while there are few, and most tasks.
 GROUP, BUCKET, SLICE, PART, PARTS = 4 << 20, 48 << 20, 16 << 20, 16 << 20, 32_768
@@ -140,9 +140,9 @@ def grouped(docs: DataFrame, least: int) -> Groups:
         if part:
             yield row()
 
-    distinct = docs.mapInArrow(once, "key binary, id long, n long, text string")
+    distinct = docs.mapInArrow(trimmed(once), "key binary, id long, n long, text string")
     dealt = distinct.repartition(max(1, -(-total // max(PART, total // PARTS))), "key")
-    rows = dealt.sortWithinPartitions("key", F.col("text").isNull()).mapInArrow(pack, "grp long, ends binary, keys binary, first binary, copies binary, raw binary")
+    rows = dealt.sortWithinPartitions("key", F.col("text").isNull()).mapInArrow(trimmed(pack), "grp long, ends binary, keys binary, first binary, copies binary, raw binary")
     name = f"quarry_{uuid.uuid4().hex}"
     try:
         rows.write.option("compression", "zstd").bucketBy(max(1, min(8192, -(-total // BUCKET))), "grp").sortBy("grp").saveAsTable(name)
@@ -213,7 +213,7 @@ def send(groups: DataFrame, make: Callable, buckets: int) -> DataFrame:
             for k, g in enumerate(opened(batch)):
                 yield parcels(g.number, *make(g, batch, k), buckets)
 
-    return groups.mapInArrow(run, "bucket int, grp long, prints binary, counts binary")
+    return groups.mapInArrow(trimmed(run), "bucket int, grp long, prints binary, counts binary")
 
 
 def slices(n_bytes: int, per_byte: float) -> int:

@@ -28,13 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import trimmed, written
 from quarry.llm.components import Sets, components
 from quarry.llm.exchange import NO_ID, Group, answered, grouped, key_of, opened, send, slices, totals
 
 LONG = 64  #: bytes of a word that are hashed in steps for all words at once
 BLOCK = 1024  #: sets on either side of a cell
-BATCH = 12 << 20  #: bytes of groups that a worker takes at once
+BATCH = 8 << 20  #: bytes of groups that a worker takes at once
 
 
 @contextmanager
@@ -263,7 +263,7 @@ def spanning(ids: list[int], tokens: list[np.ndarray], classes: list[np.ndarray]
     return out
 
 
-POSTINGS = 1 << 21  #: prefix n-grams that a task looks at together
+POSTINGS = 1 << 18  #: prefix n-grams that a task looks at together
 
 
 def run_ends(sizes: list[int], tids: list[int], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -342,7 +342,7 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
                 )
 
     with small_batches(groups.sparkSession):
-        texts = written(groups.join(counted, "grp", "left").mapInArrow(candidates, "tid long, key binary, first long, copies long, n int, prefix int, tokens binary, classes binary"))
+        texts = written(groups.join(counted, "grp", "left").mapInArrow(trimmed(candidates), "tid long, key binary, first long, copies long, n int, prefix int, tokens binary, classes binary"))
     moving = texts.where("tokens is not null")
 
     def postings(batches):
@@ -360,7 +360,7 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
         if held:
             yield from combined(held, percent)
 
-    local = written(moving.select("tid", "n", "prefix", "tokens", "classes").mapInArrow(postings, "gram long, n int, tid long, hub long"))
+    local = written(moving.select("tid", "n", "prefix", "tokens", "classes").mapInArrow(trimmed(postings), "gram long, n int, tid long, hub long"))
     posted = local.where("hub is null").select("gram", "n", "tid").repartition(partitions, "gram").sortWithinPartitions("gram", "n", "tid")
 
     def chained(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import drawn, dropped, pieces, written
+from quarry.llm.common import drawn, dropped, pieces, trimmed, written
 
 #: Words that vote whatever the sample says.
 WORDS = ["bastard", "clown", "disgusting", "dumb", "fool", "freak", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
@@ -267,4 +267,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([sent.value.score(t or "", seen) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
