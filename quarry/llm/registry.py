@@ -80,6 +80,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.manifest import manifest
+
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    return manifest(docs, F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,11 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_join": op9_ngram_join,
         "pipeline": pipeline,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.llm import mixing, neighbours, quality_rules
+    from quarry.llm import manifest, mixing, neighbours, quality_rules
 
     weight = """CASE WHEN lang IS NULL THEN CASE domain WHEN 'even' THEN 2 ELSE 3 END
         WHEN source IS NULL THEN CASE lang WHEN 'en' THEN 2 ELSE 1 END
@@ -114,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_nearest_neighbours": neighbours.ORACLE,
         "op2_source_mixing": mixing.oracle(domain, weight, 0.8, 2, 1),
         "op3_line_frequency": quality_rules.ORACLE,
+        "op11_merkle_manifest": manifest.ORACLE,
     }
