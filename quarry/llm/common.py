@@ -114,11 +114,15 @@ def stretches(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, list[byte
 
     Arrow's dictionary compares the bytes themselves, so that no hash decides.
     """
-    offsets = pa.py_buffer(np.ascontiguousarray(edges, np.int64))
-    column = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    column = encoded(raw, edges)
     return column.indices.to_numpy(), column.dictionary.to_pylist()
 
 
+def encoded(raw: np.ndarray, edges: np.ndarray) -> pa.DictionaryArray:
+    offsets = pa.py_buffer(np.ascontiguousarray(edges, np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+
+
 def trimmed(run):
     """``run`` of a ``mapInArrow``; its worker gives free memory back to the system at the end of a task.
 

@@ -88,6 +88,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.codebooks import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.discriminant import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,11 +120,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op10_token_counts": op10_token_counts,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_quality_discriminant": op13_quality_discriminant,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.llm import manifest, mixing, neighbours, quality_rules
+    from quarry.llm import codebooks, manifest, mixing, neighbours, quality_rules
 
     weight = """CASE WHEN lang IS NULL THEN CASE domain WHEN 'even' THEN 2 ELSE 3 END
         WHEN source IS NULL THEN CASE lang WHEN 'en' THEN 2 ELSE 1 END
@@ -124,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": mixing.oracle(domain, weight, 0.8, 2, 1),
         "op3_line_frequency": quality_rules.ORACLE,
         "op11_merkle_manifest": manifest.ORACLE,
+        "op12_vector_codes": codebooks.oracle(),
     }
