@@ -278,7 +278,7 @@ def built(rows: DataFrame, n: int, per: int) -> tuple[DataFrame, DataFrame, dict
     ends = edges(sorted_rows)
     apart = all(a["last"] != b["first"] for a, b in zip(ends, ends[1:]))
     places, reach = offsets(ends), 0
-    while ARITY**reach < n / parts:
+    while ARITY**reach * max(len(ends), 1) < n:
         reach += 1
     return sorted_rows, upper(sorted_rows, places, reach, apart), places, parts
 
