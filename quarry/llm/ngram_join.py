@@ -19,13 +19,16 @@ pair of different texts goes unconnected and no quadratic number is written.
 
 from __future__ import annotations
 
+import math
+import secrets
 import string
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import trimmed, written
@@ -70,15 +73,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(30)
 
 
-def hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64 bits of each word: eight bytes at a time, each block mixed before the next one; XXH3 for long words.
+@dataclass(frozen=True)
+class Keys:
+    """Numbers drawn for one job, so that no text can be made to collide with another."""
 
-    Words of one length up to eight bytes never share a hash, since every step is one to one.
+    words: np.ndarray  #: two rows of multipliers
+    places: np.ndarray  #: odd multipliers by place in an n-gram
+    long: bytes
+
+    @staticmethod
+    def drawn(n: int) -> Keys:
+        numbers = lambda *shape: np.frombuffer(secrets.token_bytes(8 * math.prod(shape)), np.uint64).reshape(shape)
+        return Keys(numbers(2, LONG // 4 + 2), numbers(n) | np.uint64(1), secrets.token_bytes(32))
+
+
+def hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray, keys: Keys) -> np.ndarray:
+    """64 bits of each word: the upper halves of two sums of its length and four-byte pieces by the job's multipliers.
+
+    Any two words of up to LONG bytes share a hash with a chance of 2^-64, over
+    the draw of the keys; longer words have a keyed BLAKE2b.
     """
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[: len(raw)] = raw
     eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
-    h = mix(size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    half = np.uint64(32)
+    sums = [k[0] + k[1] * size.astype(np.uint64) for k in keys.words]
     left = np.flatnonzero(size <= LONG)
     for k in range(0, LONG, 8):
         left = left[size[left] > k]
@@ -86,18 +105,22 @@ def hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
             break
         spare = np.maximum(8 - (size[left] - k), 0).astype(np.uint64) << np.uint64(3)
         block = eight[at[left] + k] << spare >> spare
-        h[left] = mix((h[left] ^ block) * np.uint64(0x9E3779B97F4A7C15))
+        low, high = block & np.uint64(0xFFFFFFFF), block >> half
+        for total, key in zip(sums, keys.words):
+            total[left] += low * key[2 + k // 4] + high * key[3 + k // 4]
+    h = sums[0] >> half << half | sums[1] >> half
     for k in np.flatnonzero(size > LONG).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(raw[at[k] : at[k] + size[k]])
+        h[k] = int.from_bytes(blake2b(raw[at[k] : at[k] + size[k]].tobytes(), digest_size=8, key=keys.long).digest(), "little")
     return h
 
 
-def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(g: Group, n: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, n-gram) of a group, in order; a text with fewer words is one n-gram.
 
-    An n-gram is 64 bits of its words' hashes, mixed in sequence. Only a collision
-    between two sets that meet can change a verdict: for sets of a thousand
-    n-grams that is a chance of 10^-13 a pair.
+    An n-gram is 64 bits of its words' hashes, mixed in sequence with the job's
+    multipliers. Only a collision between two sets that meet can change a verdict:
+    for sets of a thousand n-grams that is a chance of 10^-13 a pair, whatever
+    they hold, as nobody knows the keys.
     """
     raw = lowered()[g.raw]
     word = ~blanks()[raw]
@@ -108,7 +131,7 @@ def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
     stop[-1:] = True
     last = np.flatnonzero(word & (stop | ~np.r_[word[1:], False])) + 1
     del word, edge, stop
-    words = hashes(raw, first, last - first)
+    words = hashes(raw, first, last - first, keys)
     del raw
     text = np.searchsorted(g.ends, first, "right")
     count = np.bincount(text, minlength=len(g.ends))
@@ -118,7 +141,7 @@ def shingles(g: Group, n: int) -> tuple[np.ndarray, np.ndarray]:
         at = at[(text[at] == text[at + size - 1]) & ((count[text[at]] == size) if size < n else True)]
         h = np.full(len(at), size, np.uint64)
         for k in range(size):
-            h = mix(h * np.uint64(0xD1342543DE82EF95) + words[at + k])
+            h = mix(h * keys.places[k] + words[at + k])
         parts_t.append(text[at])
         parts_h.append(h)
     t, h = np.concatenate(parts_t), np.concatenate(parts_h)
@@ -249,6 +272,7 @@ def spanning(ids: list[int], tokens: list[np.ndarray], classes: list[np.ndarray]
     sets = Sets()
     owner = inside[trie.order]  # item by place
     label = np.arange(len(ids))
+    members = [[k] for k in range(len(ids))]
     out = []
     for i in range(len(ids)) if stored.all() else np.flatnonzero(~stored).tolist():
         wanted = label[owner] != label[i]
@@ -257,7 +281,10 @@ def spanning(ids: list[int], tokens: list[np.ndarray], classes: list[np.ndarray]
         for place in trie.linked(ranks[i], mark, wanted, percent).tolist():
             j = int(owner[place])
             if label[i] != label[j]:
-                label[label == label[j]] = label[i]
+                a, b = sorted((int(label[i]), int(label[j])), key=lambda x: len(members[x]))  # the smaller side is renamed
+                label[members[a]] = b
+                members[b] += members[a]
+                members[a] = []
                 if sets.join(ids[i], ids[j]):
                     out.append((ids[i], ids[j]))
     return out
@@ -307,8 +334,10 @@ def combined(held: list[tuple], percent: int):
 def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int) -> tuple[DataFrame, DataFrame]:
     """(texts: tid, key, first, copies, n_shingles) and (edges: u, v between tids) of all groups."""
 
+    keys = Keys.drawn(n)
+
     def counts(g: Group, batch, k):
-        unique, number = np.unique(shingles(g, n)[1], return_counts=True)
+        unique, number = np.unique(shingles(g, n, keys)[1], return_counts=True)
         return unique, number
 
     with small_batches(groups.sparkSession):
@@ -317,7 +346,7 @@ def links(groups: DataFrame, buckets: int, n: int, percent: int, partitions: int
     def candidates(batches):
         for batch in batches:
             for k, g in enumerate(opened(batch)):
-                text, gram = shingles(g, n)
+                text, gram = shingles(g, n, keys)
                 unique, back = np.unique(gram, return_inverse=True)
                 total = totals(unique, batch.column("answers")[k].as_py() or [], buckets)
                 kind = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)[back]

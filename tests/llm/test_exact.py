@@ -67,12 +67,61 @@ def test_structured_passages():
         assert int(got[0]) == sum((int(c) + 1) * pow(0x123456789ABCDE1, k, suffixes.PRIME) for k, c in enumerate(a[:n])) % suffixes.PRIME
 
 
-def test_word_hashes_are_one_to_one_for_short_words():
+def test_word_hashes_tell_words_apart():
     rng = np.random.default_rng(0)
     words = [bytes(rng.integers(97, 100, rng.integers(1, 90)).astype("u1")) for _ in range(50_000)]
+    words += [b"a" * n for n in range(1, 200)] + [b"\x00" * n for n in range(1, 70)]
     size = np.array([len(w) for w in words])
-    made = ngram_join.hashes(np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(size)[:-1]], size)
-    assert len(set(words)) == len(set(made.tolist())) == len(set(zip(words, made.tolist())))
+    for _ in range(3):
+        made = ngram_join.hashes(np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(size)[:-1]], size, ngram_join.Keys.drawn(3))
+        assert len(set(words)) == len(set(made.tolist())) == len(set(zip(words, made.tolist())))
+
+
+def test_keyed_hash_by_definition():
+    """Sums of the length and of four-byte pieces, written out with whole numbers."""
+    keys, word, most = ngram_join.Keys.drawn(2), "sächsisch-ab1".encode(), 1 << 64
+    pieces = [len(word), *(int.from_bytes(word[k : k + 4], "little") for k in range(0, len(word), 4))]
+    halves = [(int(k[0]) + sum(int(a) * b for a, b in zip(k[1:], pieces))) % most >> 32 for k in keys.words]
+    made = ngram_join.hashes(np.frombuffer(b"xy" + word + b"z", np.uint8), np.array([2]), np.array([len(word)]), keys)
+    assert int(made[0]) == halves[0] << 32 | halves[1]
+
+
+def unkeyed(blocks):
+    """A hash without a key, one step to one: what an author of texts could solve for."""
+    h = ngram_join.mix(np.full(len(blocks[0]), 8 * len(blocks), np.uint64) * np.uint64(0xD1342543DE82EF95))
+    for b in blocks:
+        h = ngram_join.mix((h ^ b) * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def solved_pair(length, seed):
+    """Two words of printable letters that share the unkeyed hash: random heads, and the last block of one solved for."""
+    rng, n = np.random.default_rng(seed), length // 8 - 1
+    letters = lambda many: rng.integers(97, 123, (many, 8), dtype=np.uint8).view("<u8")[:, 0]
+    while True:
+        one, two = ([letters(1 << 17) for _ in range(n)] for _ in range(2))
+        last = letters(1 << 17)
+        heads = [ngram_join.mix(np.full(1 << 17, length, np.uint64) * np.uint64(0xD1342543DE82EF95)) for _ in range(2)]
+        for k in range(n):
+            heads = [ngram_join.mix((h ^ b[k]) * np.uint64(0x9E3779B97F4A7C15)) for h, b in zip(heads, (one, two))]
+        other = heads[0] ^ last ^ heads[1]
+        fit = np.flatnonzero(np.all((other[:, None].view(np.uint8) > 32) & (other[:, None].view(np.uint8) < 127) & ~((other[:, None].view(np.uint8) > 64) & (other[:, None].view(np.uint8) < 91)), axis=1))
+        if len(fit):
+            k = fit[0]
+            words = [b"".join(int(b[k]).to_bytes(8, "little") for b in [*x, y]).decode() for x, y in ((one, last), (two, other))]
+            assert words[0] != words[1] and unkeyed([np.frombuffer(words[0][i : i + 8].encode(), "<u8") for i in range(0, length, 8)])[0] == unkeyed([np.frombuffer(words[1][i : i + 8].encode(), "<u8") for i in range(0, length, 8)])[0]
+            return words
+
+
+def test_solved_words_link_nothing(spark):
+    """Words made to share a hash without a key: nothing of theirs is linked or dropped, alone or within longer texts."""
+    pairs = [("amzxqzeq!a-'mc$+", "oprhlhvh^u@@@@@["), *(solved_pair(n, s) for n in (16, 24) for s in (1, 2))]
+    texts = [w for p in pairs for w in p]
+    texts += [" ".join([w] * 4 + ["same", "words", "around", w]) for p in pairs for w in p] + ["something else", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
+    assert [made[k] for k in range(len(texts))] == brute_components(texts)
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs).collect()) == list(range(len(texts) - 1))
 
 
 def test_pieces_hold_the_librarys_ids(spark):
