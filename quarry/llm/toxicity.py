@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import drawn, dropped, pieces, trimmed, written
@@ -32,8 +31,7 @@ from quarry.llm.common import drawn, dropped, pieces, trimmed, written
 WORDS = ["bastard", "clown", "disgusting", "dumb", "fool", "freak", "hate", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
 TOKEN = re.compile(r"[^\W\d_]+")
 PATTERNS = [re.compile(p) for p in (r"!!", r"\b[A-Z]{4,}\b", r"\*\*\*|%%%|\$\$\$", r"(?i)\byou\b", r"\?\?|\?!")]
-BITS = 20
-LEADS = (4, 5, 6, 7)
+LEADS = (5, 6, 7)
 GAIN = 15.0  #: a likelihood ratio that chance reaches for about one word in 10^4
 
 
@@ -42,10 +40,6 @@ def names(word: str) -> tuple[str, ...]:
     return (word, *("^" + word[:n] for n in LEADS if len(word) > n))
 
 
-def code(name: str) -> int:
-    return xxhash.xxh64_intdigest(name) & ((1 << BITS) - 1)
-
-
 def read(text: str) -> tuple[Counter, list[int]]:
     """Words of a text with their counts, and how often each pattern occurs."""
     return Counter(TOKEN.findall(text.lower())), [sum(1 for _ in p.finditer(text)) for p in PATTERNS]
@@ -53,7 +47,7 @@ def read(text: str) -> tuple[Counter, list[int]]:
 
 @dataclass
 class Model:
-    lexicon: dict[int, int]  #: voter number by feature code
+    lexicon: dict[str, int]  #: voter number by name
     weights: np.ndarray  #: of dense() and of every voter
     rates: np.ndarray  #: of a vote in class 0 and 1
     shared: np.ndarray  #: weight left to a voter beside correlated ones
@@ -65,7 +59,7 @@ class Model:
             if (found := seen.get(word)) is None:
                 if len(seen) > 200_000:
                     seen.clear()
-                found = tuple(v for v in (self.lexicon.get(code(x)) for x in names(word)) if v is not None)
+                found = tuple(v for v in (self.lexicon.get(x) for x in names(word)) if v is not None)
                 if len(word) < 64:
                     seen[word] = found
             if found:
@@ -142,7 +136,7 @@ class Row:
     mined: bool
 
 
-def fit(rows: list[Row], lexicon: dict[int, int]) -> Model:
+def fit(rows: list[Row], lexicon: dict[str, int]) -> Model:
     marks = np.array([r.mark for r in rows], np.float64)
     mined = np.array([r.mined for r in rows], bool)
     votes = np.zeros((len(rows), len(lexicon) + len(PATTERNS)))
@@ -179,22 +173,22 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return written(rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "mark", mining(F.col("id")).alias("mined")).repartition(8, "id"))
 
 
-def mined_voters(rows: DataFrame) -> list[int]:
-    """Codes that speak for class 1 among the mining rows: in four of five rows or more that hold them, and not by chance."""
+def mined_voters(rows: DataFrame) -> list[str]:
+    """Words and beginnings that speak for class 1 among the mining rows: in four of five rows or more that hold them, and not by chance."""
 
     def run(batches):
         for batch in batches:
             found: Counter = Counter()
             for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((c, mark) for c in {code(x) for w in set(TOKEN.findall(text.lower())) for x in names(w)})
+                found.update((x, mark) for x in {x for w in set(TOKEN.findall(text.lower())) for x in names(w)})
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["code", "mark", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["name", "mark", "n"])
 
     n, bad = rows.where("mined").agg(F.count("mark"), F.coalesce(F.sum("mark"), F.lit(0))).first()
     if not 0 < bad < n:
         return []
-    each = rows.where("mined").select("text", "mark").mapInArrow(run, "code long, mark int, n long")
-    held = each.groupBy("code").agg(F.sum(F.col("n") * F.col("mark")).alias("bad"), F.sum("n").alias("all")).where("bad >= 3 and bad >= 0.8 * all").collect()
+    each = rows.where("mined").select("text", "mark").mapInArrow(run, "name string, mark int, n long")
+    held = each.groupBy("name").agg(F.sum(F.col("n") * F.col("mark")).alias("bad"), F.sum("n").alias("all")).where("bad >= 3 and bad >= 0.8 * all").collect()
     base, out = bad / n, []
     for c, b, every in held:
         good = every - b
@@ -207,7 +201,7 @@ def mined_voters(rows: DataFrame) -> list[int]:
 def trained(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     """The model of a table (id, text)."""
     rows = sampled(docs, labels, sample)
-    lexicon = {c: k for k, c in enumerate(dict.fromkeys([*map(code, WORDS), *mined_voters(rows)]))}
+    lexicon = {c: k for k, c in enumerate(dict.fromkeys([*WORDS, *mined_voters(rows)]))}
     model = Model(lexicon, np.zeros(0), np.zeros(0), np.zeros(0))
 
     def run(batches):
