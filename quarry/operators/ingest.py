@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions import quality, text as tx
 from quarry.operators import chunking, incremental
+from quarry.session import scratch
 from quarry.sources.store import Store
 
 CHUNKS = (
@@ -23,26 +23,29 @@ def chunk_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(file_path, file_hash, source_file, title, category, keywords) of (file_path, text) rows; columns that ``docs`` has win."""
+    """``docs`` (file_path, text) with file_hash, source_file, title, category, keywords and created_at; columns that it has win, but for the hash."""
     path, text = F.col("file_path"), F.col("text")
     own = {
         "file_hash": tx.content_hash(text), "source_file": F.regexp_extract(path, r"([^/]+)$", 1), "title": tx.first_heading(text),
         "category": quality.path_category(path), "keywords": tx.heading_keywords(text),
     }
-    return docs.select("file_path", *[(F.col(c) if c in docs.columns and c != "file_hash" else v).alias(c) for c, v in own.items()])
+    return docs.select("file_path", "text", *[(F.col(c) if c in docs.columns and c != "file_hash" else v).alias(c) for c, v in own.items()], F.current_timestamp().alias("created_at"))
+
+
+CARRIED = ["file_hash", "source_file", "title", "category", "keywords", "created_at"]
 
 
 def chunks_of(docs: DataFrame, config: chunking.ChunkerConfig | None = chunking.ChunkerConfig(), model: Callable | None = None) -> DataFrame:
     """Rows of a chunk store from (file_path, text) rows; without a config one chunk per document, with no embedding."""
+    about = described(docs)
     if config is None:
         one = F.lit(0).cast("int")
-        made = docs.select(
+        return about.select(
             "file_path", one.alias("chunk_index"), F.lit(1).alias("total_chunks"), one.alias("start_sentence"), one.alias("end_sentence"), F.col("text").alias("content"),
-            F.array().cast("array<float>").alias("embedding"), F.lit(0.0).alias("avg_similarity"), F.size(tx.words(F.col("text"))).alias("word_count"), F.length("text").alias("char_count"),
+            F.array().cast("array<float>").alias("embedding"), F.lit(0.0).alias("avg_similarity"), F.size(tx.words(F.col("text"))).alias("word_count"), F.length("text").alias("char_count"), *CARRIED,
         )
-    else:
-        made = chunking.chunk_documents(docs.select("file_path", "text"), config, key="file_path", model=model)
-    return made.join(described(docs), "file_path").withColumn("created_at", F.current_timestamp()).select(*NAMES)
+    made = chunking.chunk_documents(docs.select("file_path", "text"), config, key="file_path", model=model)
+    return made.join(about.drop("text"), "file_path").select(*NAMES)
 
 
 def judged(docs: DataFrame, store: DataFrame, config: chunking.ChunkerConfig | None = chunking.ChunkerConfig(), skip_existing: bool = True) -> DataFrame:
@@ -63,18 +66,34 @@ def judged(docs: DataFrame, store: DataFrame, config: chunking.ChunkerConfig | N
 
 
 def ingest(docs: DataFrame, store: Store, config: chunking.ChunkerConfig | None = chunking.ChunkerConfig(), skip_existing: bool = True, model: Callable | None = None) -> DataFrame:
-    """Ingests (file_path, text, ...) rows in one commit; one row per path: what was done, chunks, sizes, error."""
-    state = judged(docs, store.read(), config, skip_existing)
-    # what the commit will change is judged once, into a folder of the store that a vacuum removes
-    folder = f"{store.path}/_report-{uuid.uuid4().hex}"
-    state.select("file_path", "file_hash", "action", "error", F.length("text").alias("chars"), F.size(tx.words(F.col("text"))).alias("words")).write.parquet(folder)
-    report = store.spark.read.parquet(folder)
+    """Ingests (file_path, text, ...) rows in one commit; one row per path: what was done, chunks, sizes, error.
+
+    The documents are read once, into a folder that is judged, chunked and reported
+    from, so that a file that changes meanwhile is one text throughout. The
+    report lies in the session's scratch folder.
+    """
+    spark, base = store.spark, store.manifest()
+    text = F.coalesce("text", F.lit(""))
+    smallest = docs.groupBy("file_path").agg(F.min(text).alias("text"), *[F.min_by(c, text).alias(c) for c in docs.columns if c not in ("file_path", "text")])
+    taken, made = scratch(spark), scratch(spark)
+    smallest.write.parquet(taken)
+    once = spark.read.schema(smallest.schema).parquet(taken)
+    state = judged(once, store.read(version=base["version"] or None), config, skip_existing)
+    sized = state.select("file_path", "file_hash", "action", "error", F.length("text").alias("chars"), F.size(tx.words(F.col("text"))).alias("words"))
+    sized.write.parquet(f"{made}/judged")
+    report = spark.read.parquet(f"{made}/judged")
     changed = report.where("action in ('add', 'update')").select("file_path")
-    smallest = docs.groupBy("file_path").agg(*[F.min_by(c, F.coalesce("text", F.lit(""))).alias(c) for c in docs.columns if c != "file_path"])
-    store.replace(chunks_of(smallest.join(changed, "file_path", "left_semi"), config, model))
-    made = store.read().join(changed, "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("chunks_created"))
-    done = report.join(made, "file_path", "left")
-    return done.select("file_path", "file_hash", "action", F.coalesce("chunks_created", F.lit(0)).alias("chunks_created"), (F.col("action") == "add").alias("is_new"), "chars", "words", "error")
+    fresh = chunks_of(once.join(changed, "file_path", "left_semi"), config, model)
+    fresh.write.parquet(f"{made}/chunks")
+    fresh = spark.read.schema(fresh.schema).parquet(f"{made}/chunks")
+    store.replace(fresh, base=base, stable=True)
+    counted = fresh.groupBy("file_path").agg(F.count("*").alias("chunks_created"))
+    done = report.join(counted, "file_path", "left")
+    done = done.select("file_path", "file_hash", "action", F.coalesce("chunks_created", F.lit(0)).alias("chunks_created"), (F.col("action") == "add").alias("is_new"), "chars", "words", "error")
+    done.write.parquet(f"{made}/report")
+    for folder in (taken, f"{made}/judged", f"{made}/chunks"):
+        store.discard(folder)
+    return spark.read.schema(done.schema).parquet(f"{made}/report")
 
 
 def batch_summary(report: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import changes, quality, text as tx, vector as vx
 from quarry.operators import analytics, chunking, code, crossref, incremental, ingest, intents, keywords, monitoring, prompts, search
-from quarry.session import ship
+from quarry.session import scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -551,8 +550,7 @@ def context_chunks(spark, sf):
 def chunk_store(spark, sf):
     """A chunk store after a first ingest, a second one that skips, updates and adds, and a deletion."""
     d = read(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), "doc_id", "text")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    store = ingest.chunk_store(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", buckets=8)
+    store = ingest.chunk_store(spark, scratch(spark), buckets=8)
     ingest.ingest(d.where("doc_id % 11 <> 0").select("file_path", "text"), store, None)
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     ingest.ingest(d.where("doc_id % 7 <> 0").select("file_path", changed.alias("text")), store, None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     context.addPyFile(str(folder / "quarry.zip"))
     context._quarry_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

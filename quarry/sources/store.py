@@ -1,21 +1,43 @@
-"""A table keyed by file in versioned folders, whose state a manifest names.
+"""A table keyed by file in versioned folders, whose states are numbered entries of a log.
 
 Rows lie in buckets of their key. A commit writes the touched buckets to a new
-folder and then replaces the manifest, a small JSON file that says in which
-folder each bucket lies, by one rename: readers see the state before or after,
-a commit that fails changes nothing, and untouched buckets are never rewritten.
-One writer at a time.
+folder and then adds the next entry to ``_log``: a small JSON file that says in
+which folder each bucket lies and which buckets it touched. An entry is made only
+if no other has its number, so of several writers one gets it. The others look at
+what came between: if none of it touched their buckets, their commit moves on top
+of it, else it is refused and nothing has changed. Readers see one entry's state,
+the newest or an older one that a vacuum has left.
+
+``manifest.json`` is a copy of the newest entry, written after it. An entry that it
+knows and the log doesn't is a lost one, and an error, as are folders of finished
+commits without any entry.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MANIFEST = "manifest.json"
+MANIFEST, LOG, DONE = "manifest.json", "_log", "_COMMITTED"
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the same buckets since this commit began."""
+
+
+@dataclass(frozen=True)
+class Committed:
+    """What a commit did; without touched buckets it made no version."""
+
+    version: int
+    added: int = 0
+    deleted: int = 0
 
 
 class Store:
@@ -23,26 +45,101 @@ class Store:
         self.spark, self.path, self.schema, self.key, self.order, self.buckets = spark, path.rstrip("/"), schema, key, list(order), buckets
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict:
-        """Bucket count and folders; of a store that doesn't exist yet none. Whatever can't be read is an error."""
-        at = self._path(f"{self.path}/{MANIFEST}")
-        if not self._fs.exists(at):
-            held = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
-            if any(not name.startswith(("_", ".", "v-")) for name in held):  # those a commit may have left that failed
-                raise ValueError(f"{self.path} holds files but no {MANIFEST}: not a store")
-            return {"buckets": self.buckets, "folders": {}}
-        lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(at), "UTF-8")
-        return json.loads(lines)
-
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The store's rows, or those of some buckets; a missing part of it fails the read."""
-        folders = self.manifest()["folders"]
-        paths = [f"{self.path}/{f}/bucket={b}" for b, f in folders.items() if only is None or int(b) in only]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        at = self._path(self.path)
+        self._fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(at.toUri() if at.toUri().getScheme() else at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+        # a local checksum lies in a second file, which no rename moves in the same step
+        self._fs.setVerifyChecksum(False)
+        self._fs.setWriteChecksum(False)
+
+    # -- files ---------------------------------------------------------------
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _load(self, file: str) -> dict:
+        stream = self._fs.open(self._path(file))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _save(self, file: str, state: dict) -> None:
+        out = self._fs.create(self._path(file), True)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+
+    def _move(self, source: str, target: str, over: bool) -> None:
+        """Renames in one step; without ``over`` it fails if the target exists."""
+        jvm = self.spark._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        flags = self.spark.sparkContext._gateway.new_array(rename, 1)
+        flags[0] = rename.OVERWRITE if over else rename.NONE
+        a, b = (self._fs.makeQualified(self._path(p)) for p in (source, target))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self.spark._jsc.hadoopConfiguration()).rename(a, b, flags)
+
+    def _create(self, file: str, state: dict) -> bool:
+        """Whether this call made ``file``: its whole content appears at once, or it was there before."""
+        fresh = f"{self.path}/.{uuid.uuid4().hex}.json"
+        self._save(fresh, state)
+        self._fs.mkdirs(self._path(file).getParent())
+        try:
+            if self._fs.getUri().getScheme() == "file":  # a link is made in one step or not at all; a local rename would replace
+                files = self.spark._jvm.java.nio.file.Files
+                local = lambda p: self.spark._jvm.java.io.File(self._fs.makeQualified(self._path(p)).toUri().getPath()).toPath()
+                files.createLink(local(file), local(fresh))
+            else:
+                self._move(fresh, file, over=False)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            self._fs.delete(self._path(fresh), False)
+
+    def discard(self, folder: str) -> None:
+        """Deletes a working folder, wherever it lies."""
+        at = self._path(folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    # -- versions ------------------------------------------------------------
+
+    def versions(self) -> list[int]:
+        """The versions that can be read, ascending."""
+        return sorted(int(n.split(".")[0]) for n in self._names(f"{self.path}/{LOG}") if n.endswith(".json") and not n.startswith("."))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """Version, bucket count and folders; of a store that doesn't exist yet version 0. Whatever is lost or can't be read is an error."""
+        known = self.versions()
+        copied = f"{self.path}/{MANIFEST}"
+        if version is None and self._fs.exists(self._path(copied)) and (last := self._load(copied).get("version", 0)) > max(known, default=0):
+            raise ValueError(f"{self.path}: version {last} is lost, its log ends at {max(known, default=0)}")
+        if not known:
+            held = self._names(self.path)
+            if any(not n.startswith(("_", ".", "v-")) for n in held):  # those a commit may have left that failed
+                raise ValueError(f"{self.path} holds files but no {LOG}: not a store")
+            if any(n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/{DONE}")) for n in held):
+                raise ValueError(f"{self.path} holds folders of finished commits but no {LOG}: it is lost")
+            if version:
+                raise ValueError(f"{self.path} has no version {version}")
+            return {"version": 0, "buckets": self.buckets, "folders": {}, "touched": []}
+        if known != list(range(known[0], known[-1] + 1)):
+            raise ValueError(f"{self.path}: the log has gaps: {known}")
+        at = known[-1] if version is None else version
+        if at not in known:
+            raise ValueError(f"{self.path} has no version {version}")
+        return self._load(f"{self.path}/{LOG}/{at:020d}.json")
+
+    def read(self, only: list[int] | None = None, version: int | None = None) -> DataFrame:
+        """The store's rows, or those of some buckets, now or at a version; a missing part of it fails the read."""
+        return self._rows(self.manifest(version), only)
+
+    def _rows(self, state: dict, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{f}/bucket={b}" for b, f in state["folders"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def bucket(self, key: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -51,52 +148,84 @@ class Store:
         """The rows of one key in their order; only its bucket is read."""
         known = self.manifest()
         b = self.spark.range(1).select(self.bucket(F.lit(key), known["buckets"])).first()[0]
-        return self.read([b]).where(F.col(self.key) == key).orderBy(*self.order)
+        return self._rows(known, [b]).where(F.col(self.key) == key).orderBy(*self.order)
 
-    def replace(self, fresh: DataFrame, removed: DataFrame | None = None) -> None:
-        """Commits: rows of every key in ``fresh`` or ``removed`` (column key) go, ``fresh`` comes."""
-        known = self.manifest()
-        n, folders = known["buckets"], dict(known["folders"])
+    # -- commits -------------------------------------------------------------
+
+    def replace(self, fresh: DataFrame, removed: DataFrame | None = None, base: dict | None = None, stable: bool = False) -> Committed:
+        """Commits: rows of every key in ``fresh`` or ``removed`` (column key) go, ``fresh`` comes.
+
+        base: the manifest that the change was decided on, by default the newest;
+        a later change of the same buckets by another writer raises Conflict.
+        stable: ``fresh`` is a table as it is, and needn't be staged.
+        """
+        known = self.manifest() if base is None else base
+        n = known["buckets"]
         folder = f"v-{uuid.uuid4().hex}"
         kinds = self.spark.createDataFrame([], self.schema).schema
         names = kinds.names
         fresh = fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
         staged = f"{self.path}/_staged-{folder}"
         try:
-            fresh.write.parquet(staged)  # computed once, whatever models or clocks it asks
-            fresh = self.spark.read.schema(fresh.schema).parquet(staged)
+            if not stable:
+                fresh.write.parquet(staged)  # computed once, whatever models or clocks it asks
+                fresh = self.spark.read.schema(fresh.schema).parquet(staged)
             gone = fresh.select(self.key)
             gone = (gone if removed is None else gone.unionByName(removed.select(self.key))).distinct()
             touched = sorted(r[0] for r in gone.select(self.bucket(F.col(self.key), n).alias("b")).distinct().collect())  # at most n numbers
             if not touched:
-                return
-            kept = self.read(touched).join(gone, self.key, "left_anti").select(*names)
+                return Committed(known["version"])
+            kept = self._rows(known, touched).join(gone, self.key, "left_anti").select(*names)
             laid = kept.unionByName(fresh).withColumn("bucket", self.bucket(F.col(self.key), n)).repartition("bucket").sortWithinPartitions("bucket", self.key, *self.order)
             laid.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(f"{self.path}/{folder}")
+            mine = {b: folder for b in touched if self._fs.exists(self._path(f"{self.path}/{folder}/bucket={b}"))}
+            state = {"buckets": n, "folders": {str(b): f for b, f in mine.items()}}
+            # counts of files, which Parquet keeps in their footers
+            before, after, added = self._rows(known, touched).count(), self._rows(state).count(), fresh.count()
         finally:
             self._fs.delete(self._path(staged), True)
-        for b in touched:
-            folders.pop(str(b), None)
-            if self._fs.exists(self._path(f"{self.path}/{folder}/bucket={b}")):
-                folders[str(b)] = folder
-        self._commit({"buckets": n, "folders": folders})
-
-    def _commit(self, state: dict) -> None:
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        fresh = f"{self.path}/.{MANIFEST}.{uuid.uuid4().hex}"
-        out = self._fs.create(self._path(fresh), True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        flags = gateway.new_array(rename, 1)
-        flags[0] = rename.OVERWRITE
-        target = self._fs.makeQualified(self._path(f"{self.path}/{MANIFEST}"))
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(self._path(fresh)), target, flags)
-
-    def vacuum(self) -> int:
-        """Deletes folders that the manifest doesn't name; only when nothing reads an older state. Returns how many."""
-        used = set(self.manifest()["folders"].values())
-        old = [s.getPath() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory() and s.getPath().getName() not in used]
+        version = self._commit(known, touched, mine, folder)
+        return Committed(version, added, before - (after - added))
+
+    def _commit(self, base: dict, touched: list[int], mine: dict[int, str], folder: str) -> int:
+        seen = base
+        while True:
+            head = self.manifest()
+            for v in range(seen["version"] + 1, head["version"] + 1):
+                if set(self.manifest(v)["touched"]) & set(touched):
+                    self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+                    raise Conflict(f"{self.path}: version {v} changed the same buckets as a commit on version {base['version']}")
+            seen = head
+            folders = {b: f for b, f in head["folders"].items() if int(b) not in touched} | {str(b): f for b, f in mine.items()}
+            state = {"version": head["version"] + 1, "buckets": base["buckets"], "folders": folders, "touched": touched}
+            if self._create(f"{self.path}/{LOG}/{state['version']:020d}.json", state):
+                break
+        if self._fs.exists(self._path(f"{self.path}/{folder}")):
+            self._fs.create(self._path(f"{self.path}/{folder}/{DONE}"), True).close()
+        copied = f"{self.path}/.{MANIFEST}.{uuid.uuid4().hex}"
+        self._save(copied, state)
+        self._move(copied, f"{self.path}/{MANIFEST}", over=True)
+        return state["version"]
+
+    def delete(self, keys: DataFrame) -> int:
+        """Removes all rows of the keys (column key); how many there were."""
+        return self.replace(self.spark.createDataFrame([], self.schema), keys).deleted
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes what the ``keep`` newest versions don't name; only while nothing writes or reads an older state. Returns how many folders."""
+        known = self.versions()
+        head = self.manifest()
+        used = {(f, b) for v in known[-keep:] for b, f in self.manifest(v)["folders"].items()}
+        old = []
+        for name in self._names(self.path):
+            if name.startswith("v-") and any(f == name for f, _ in used):
+                parts = [n for n in self._names(f"{self.path}/{name}") if n.startswith("bucket=")]
+                old += [f"{self.path}/{name}/{n}" for n in parts if (name, n.split("=")[1]) not in used]
+            elif name.startswith(("v-", "_")) and name != LOG:
+                old.append(f"{self.path}/{name}")
         for p in old:
-            self._fs.delete(p, True)
+            self._fs.delete(self._path(p), True)
+        for v in known[:-keep] if head["version"] else []:
+            with contextlib.suppress(FileNotFoundError):
+                self._fs.delete(self._path(f"{self.path}/{LOG}/{v:020d}.json"), False)
         return len(old)
