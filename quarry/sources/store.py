@@ -15,16 +15,13 @@ commits without any entry.
 
 from __future__ import annotations
 
-import contextlib
-import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MANIFEST, LOG, DONE = "manifest.json", "_log", "_COMMITTED"
+from quarry.sources.log import LOG, Log
 
 
 class Conflict(RuntimeError):
@@ -40,98 +37,13 @@ class Committed:
     deleted: int = 0
 
 
-class Store:
+class Store(Log):
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "file_path", order: Sequence[str] = (), buckets: int = 64):
-        self.spark, self.path, self.schema, self.key, self.order, self.buckets = spark, path.rstrip("/"), schema, key, list(order), buckets
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        at = self._path(self.path)
-        self._fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(at.toUri() if at.toUri().getScheme() else at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
-        # a local checksum lies in a second file, which no rename moves in the same step
-        self._fs.setVerifyChecksum(False)
-        self._fs.setWriteChecksum(False)
-
-    # -- files ---------------------------------------------------------------
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._path(folder)
-        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-
-    def _load(self, file: str) -> dict:
-        stream = self._fs.open(self._path(file))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        super().__init__(spark, path)
+        self.schema, self.key, self.order, self.buckets = schema, key, list(order), buckets
 
-    def _save(self, file: str, state: dict) -> None:
-        out = self._fs.create(self._path(file), True)
-        try:
-            out.write(bytearray(json.dumps(state).encode()))
-        finally:
-            out.close()
-
-    def _move(self, source: str, target: str, over: bool) -> None:
-        """Renames in one step; without ``over`` it fails if the target exists."""
-        jvm = self.spark._jvm
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        flags = self.spark.sparkContext._gateway.new_array(rename, 1)
-        flags[0] = rename.OVERWRITE if over else rename.NONE
-        a, b = (self._fs.makeQualified(self._path(p)) for p in (source, target))
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self.spark._jsc.hadoopConfiguration()).rename(a, b, flags)
-
-    def _create(self, file: str, state: dict) -> bool:
-        """Whether this call made ``file``: its whole content appears at once, or it was there before."""
-        fresh = f"{self.path}/.{uuid.uuid4().hex}.json"
-        self._save(fresh, state)
-        self._fs.mkdirs(self._path(file).getParent())
-        try:
-            if self._fs.getUri().getScheme() == "file":  # a link is made in one step or not at all; a local rename would replace
-                files = self.spark._jvm.java.nio.file.Files
-                local = lambda p: self.spark._jvm.java.io.File(self._fs.makeQualified(self._path(p)).toUri().getPath()).toPath()
-                files.createLink(local(file), local(fresh))
-            else:
-                self._move(fresh, file, over=False)
-            return True
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        finally:
-            self._fs.delete(self._path(fresh), False)
-
-    def discard(self, folder: str) -> None:
-        """Deletes a working folder, wherever it lies."""
-        at = self._path(folder)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    # -- versions ------------------------------------------------------------
-
-    def versions(self) -> list[int]:
-        """The versions that can be read, ascending."""
-        return sorted(int(n.split(".")[0]) for n in self._names(f"{self.path}/{LOG}") if n.endswith(".json") and not n.startswith("."))
-
-    def manifest(self, version: int | None = None) -> dict:
-        """Version, bucket count and folders; of a store that doesn't exist yet version 0. Whatever is lost or can't be read is an error."""
-        known = self.versions()
-        copied = f"{self.path}/{MANIFEST}"
-        if version is None and self._fs.exists(self._path(copied)) and (last := self._load(copied).get("version", 0)) > max(known, default=0):
-            raise ValueError(f"{self.path}: version {last} is lost, its log ends at {max(known, default=0)}")
-        if not known:
-            held = self._names(self.path)
-            if any(not n.startswith(("_", ".", "v-")) for n in held):  # those a commit may have left that failed
-                raise ValueError(f"{self.path} holds files but no {LOG}: not a store")
-            if any(n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/{DONE}")) for n in held):
-                raise ValueError(f"{self.path} holds folders of finished commits but no {LOG}: it is lost")
-            if version:
-                raise ValueError(f"{self.path} has no version {version}")
-            return {"version": 0, "buckets": self.buckets, "folders": {}, "touched": []}
-        if known != list(range(known[0], known[-1] + 1)):
-            raise ValueError(f"{self.path}: the log has gaps: {known}")
-        at = known[-1] if version is None else version
-        if at not in known:
-            raise ValueError(f"{self.path} has no version {version}")
-        return self._load(f"{self.path}/{LOG}/{at:020d}.json")
+    def empty(self) -> dict:
+        return {"version": 0, "buckets": self.buckets, "folders": {}, "touched": []}
 
     def read(self, only: list[int] | None = None, version: int | None = None) -> DataFrame:
         """The store's rows, or those of some buckets, now or at a version; a missing part of it fails the read."""
@@ -198,14 +110,8 @@ class Store:
             seen = head
             folders = {b: f for b, f in head["folders"].items() if int(b) not in touched} | {str(b): f for b, f in mine.items()}
             state = {"version": head["version"] + 1, "buckets": base["buckets"], "folders": folders, "touched": touched}
-            if self._create(f"{self.path}/{LOG}/{state['version']:020d}.json", state):
-                break
-        if self._fs.exists(self._path(f"{self.path}/{folder}")):
-            self._fs.create(self._path(f"{self.path}/{folder}/{DONE}"), True).close()
-        copied = f"{self.path}/.{MANIFEST}.{uuid.uuid4().hex}"
-        self._save(copied, state)
-        self._move(copied, f"{self.path}/{MANIFEST}", over=True)
-        return state["version"]
+            if self.add(state, folder):
+                return state["version"]
 
     def delete(self, keys: DataFrame) -> int:
         """Removes all rows of the keys (column key); how many there were."""
@@ -214,7 +120,7 @@ class Store:
     def vacuum(self, keep: int = 1) -> int:
         """Deletes what the ``keep`` newest versions don't name; only while nothing writes or reads an older state. Returns how many folders."""
         known = self.versions()
-        head = self.manifest()
+        self.manifest()  # a lost entry is an error before anything is deleted
         used = {(f, b) for v in known[-keep:] for b, f in self.manifest(v)["folders"].items()}
         old = []
         for name in self._names(self.path):
@@ -225,7 +131,5 @@ class Store:
                 old.append(f"{self.path}/{name}")
         for p in old:
             self._fs.delete(self._path(p), True)
-        for v in known[:-keep] if head["version"] else []:
-            with contextlib.suppress(FileNotFoundError):
-                self._fs.delete(self._path(f"{self.path}/{LOG}/{v:020d}.json"), False)
+        self.forget(known[:-keep])
         return len(old)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.operators import reverse
 from quarry.operators.analytics import is_query, usage_columns
 
 
@@ -74,14 +75,16 @@ def cooled(triggers: DataFrame, key: str = "repository", seconds: int = 600) ->
     return triggers.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+LISTS = {"categories": "category", "repositories": "repository", "document_ids": "document_id", "tags": "tags"}
+
+
 def delivered(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Updates for every subscription they fit: (conn_id, sub_id, update...).
 
     A list that is absent fits all; one that is present must hold the update's
     value, tags any of its tags. updates: document_id, category, repository, tags.
+    Subscriptions are indexed by their shortest list, so that an update meets those
+    that ask for one of its values, and those that ask for nothing.
     """
-    s, u = subscriptions.alias("s"), updates.alias("u")
-    one = lambda listed, value: F.col(f"s.{listed}").isNull() | F.coalesce(F.array_contains(F.col(f"s.{listed}"), F.col(f"u.{value}")), F.lit(False))
-    tags = F.col("s.tags").isNull() | F.coalesce(F.arrays_overlap(F.col("s.tags"), F.col("u.tags")), F.lit(False))
-    on = one("categories", "category") & one("repositories", "repository") & one("document_ids", "document_id") & tags
-    return u.join(s, on).select("s.conn_id", "s.sub_id", "u.*")
+    index = reverse.indexed(reverse.of_subscriptions(subscriptions.select("conn_id", "sub_id", *LISTS), LISTS))
+    return reverse.matched(updates, index, reverse.held(["category", "repository", "document_id"], ["tags"]), ["conn_id", "sub_id"])
