@@ -7,14 +7,12 @@ URLs that no rule reaches. Every URL trains it. One that a rule decides has the
 rule's class, without the part that the rule itself names; of the others those
 with a word of a short list in their host, which stands for unwanted hosts
 anywhere, are block rows, and the rest are allow rows: what nothing speaks
-against is allowed until its words say otherwise. A URL counts each of its
-tokens once, so that no long one outweighs the rest; classes weigh by their rows,
-and a token that training never saw speaks at its smoothed rate like any other.
-
-All counts cover all rows. What the workers get are the unigrams that stand
-somewhere in a name of the URLs, since no other word can be part of a split, and
-at most 2^``bits`` pairs of class counts: tokens are counted by hash, which
-bounds that table, and tokens of one hash count as one.
+against is allowed until its words say otherwise. A token counts as often as it
+stands in a URL, and classes weigh by their rows.
+
+All counts cover all rows, and none of them passes the driver or is sent to every
+task: names meet the words that stand in them by a join, as tokens meet their odds;
+names and tokens that fill the table are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -22,18 +20,16 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import written
 
 #: Words in a host that make an undecided URL a block row.
 SEEDS = ["adult", "bet", "buy", "casino", "cheap", "click", "deals", "farm", "free", "loan", "pills", "poker", "porn", "seo", "sex", "spam", "viagra", "win", "xxx"]
-SEEDED = {"h:" + w for w in SEEDS}
 LONGEST = 24
+SALT = 16  #: tasks that a hot name or token is dealt to
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -53,36 +49,50 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def stretches(names: str) -> set[str]:
-    """The runs of letters, of any script, in which words of a host or path may stand."""
-    return set(re.findall(r"[^\W\d_]+", names.lower()))
+NAME = r"[\p{L}\p{N}]+"
 
 
-def unigrams(html: Column, df: DataFrame, parts: DataFrame) -> tuple[dict[str, int], int]:
-    """Counts of all words of the pages, without their markup, that stand in a name of ``parts``
-    (host, path), and the total over all words.
-    """
+def page_words(html: Column, df: DataFrame) -> DataFrame:
+    """(word, n) of the pages' texts, without their markup."""
     plain = F.lower(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
-    each = df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = written(each.groupBy("word").count())
-    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    sizes = sorted(r[0] for r in counted.select(F.length("word").alias("size")).distinct().collect())
+    return df.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def runs(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*(stretches(x) for c in batch.columns for x in c.to_pylist()))), pa.string())], ["run"])
 
-    def inner(batches):
+def named(column: str) -> Column:
+    """The names of a host or path: runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(column), F.lit(NAME), F.lit(0))
+
+
+def splits(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, parts) of different names: each meets the words that stand in it, and is split by them alone.
+
+    A name's stretches of letters are cut into all their pieces up to the longest
+    word's length, which join the words; what meets in a row is one name and its words.
+    """
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = sorted(r[0] for r in words.select(F.length("word").alias("size")).distinct().collect())  # lengths, not words
+
+    def pieces(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for run in re.findall(r"[^\W\d_]+", name):
+                    for at in range(0, len(run), 4096):  # a run may be of any length
+                        for n in sizes:
+                            found = {run[k : k + n] for k in range(at, min(at + 4096, len(run) - n + 1))}
+                            if found:
+                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(sorted(found))], ["name", "word"])
+
+    met = names.mapInArrow(pieces, "name string, word string").distinct().join(words, "word")
+    listed = names.join(met.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("words")), "name", "left")
+
+    def split(batches):
         for batch in batches:
-            for run in batch.column(0).to_pylist():
-                for at in range(0, len(run), 4096):  # a run may be of any length
-                    for n in sizes:
-                        found = {run[k : k + n] for k in range(at, min(at + 4096, len(run) - n + 1))}
-                        if found:
-                            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+            found = []
+            for name, known in zip(*(c.to_pylist() for c in batch.columns)):
+                found.append((name,) if name == "#" else Segmenter({x["word"]: x["n"] for x in known or ()}, total).split(name))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["name", "parts"])
 
-    names = parts.select("host", "path").mapInArrow(runs, "run string").distinct().mapInArrow(inner, "word string").distinct()
-    return {r[0]: r[1] for r in counted.join(names, "word", "left_semi").collect()}, total
+    return listed.mapInArrow(split, "name string, parts array<string>")
 
 
 class Segmenter:
@@ -130,88 +140,75 @@ class Segmenter:
         return found
 
 
-def tokens(segmenter: Segmenter, host: str, path: str, rule: str | None) -> list[str]:
-    """``h:`` and ``p:`` words of a URL, without what its rule names; numbers count as one word."""
-    if rule:
-        top, rest = rule.split("/", 1)
-        host, path = host.removesuffix(top), path.removeprefix("/" + rest)
-    out = []
-    for kind, names in (("h:", re.findall(r"[^\W_]+", host)), ("p:", re.findall(r"[^\W_]+", path.lower()))):
-        for name in names:
-            out += [kind + w for w in (("#",) if name.isdigit() else segmenter.split(name))]
-    return out
+def salted(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """Left rows with their row of ``right`` (one per value of ``on``), hot values dealt to SALT tasks by the column ``by``."""
+    many = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(many, [on, "salt"]).drop("salt")
 
 
-def bucket(token: str, bits: int) -> int:
-    return xxhash.xxh64_intdigest(token) & ((1 << bits) - 1)
+def bare(host: Column, path: Column, rule: Column) -> tuple[Column, Column]:
+    """Host and path without what the rule itself names, numbers in the path as 0."""
+    top, rest = F.substring_index(rule, "/", 1), F.concat(F.lit("/"), F.regexp_extract(rule, r"(?s)^[^/]*/(.*)$", 1))
+    cut = lambda whole, fits, part: F.when(fits, part).otherwise(whole)
+    h = cut(host, F.coalesce(host.endswith(top), F.lit(False)), host.substr(F.lit(1), F.length(host) - F.length(top)))
+    p = cut(path, F.coalesce(path.startswith(rest), F.lit(False)), path.substr(F.length(rest) + 1, F.length(path)))
+    return h, F.regexp_replace(p, "[0-9]+", "0")
 
 
-UNSEEN, ROWS = -1, -2
+def tokenised(groups: DataFrame, words: DataFrame) -> DataFrame:
+    """``groups`` (gid, host, path, ...) with ``tokens``: ``h:`` and ``p:`` words of its names, as often as they stand there; numbers are one word."""
+    of = lambda kind, column: F.transform(named(column), lambda x: F.struct(F.lit(kind).alias("kind"), F.when(x.rlike(r"^\p{Nd}+$"), "#").otherwise(x).alias("name")))
+    each = groups.select("gid", F.posexplode(F.concat(of("h:", "host"), of("p:", "path"))).alias("at", "x")).select("gid", "at", "x.kind", "x.name")
+    names = each.select("name").distinct()
+    found = written(splits(names, words))
+    met = salted(each, found, "name", "gid").groupBy("gid").agg(F.flatten(F.collect_list(F.transform("parts", lambda w: F.concat("kind", w)))).alias("tokens"))
+    return groups.join(met, "gid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
-class Bayes:
-    """Multinomial naive Bayes over counts by (bucket, block), with Laplace smoothing and class priors."""
+def learnt(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(token, odds) of multinomial naive Bayes with Laplace smoothing, and the log odds of the classes. rows: tokens, n, block.
 
-    def __init__(self, counts: dict[tuple[int, bool], int], bits: int):
-        rows = {c: counts.get((ROWS, c), 0) + 1 for c in (True, False)}
-        counts = {k: n for k, n in counts.items() if k[0] != ROWS}
-        known = {k for k, _ in counts}
-        sums = {c: sum(n for (_, k), n in counts.items() if k is c) + len(known) + 1 for c in (True, False)}
-        ratio = lambda b: math.log((counts.get((b, True), 0) + 1) / sums[True]) - math.log((counts.get((b, False), 0) + 1) / sums[False])
-        self.bits, self.start, self.unseen = bits, math.log(rows[True] / rows[False]), ratio(UNSEEN)
-        self.odds = {b: ratio(b) for b in known}
-
-    def score(self, found: list[str]) -> float:
-        """Log odds for a block."""
-        return self.start + sum(self.odds.get(bucket(t, self.bits), self.unseen) for t in dict.fromkeys(found))
+    A token counts as often as it stands in a URL, times the URLs.
+    """
+    many = lambda block: F.coalesce(F.sum(F.when(F.col("block") == block, F.col("n"))), F.lit(0))
+    counts = written(rows.select(F.explode("tokens").alias("token"), "block", "n").groupBy("token").agg(many(True).alias("b"), many(False).alias("a")))
+    b, a, known = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.count("token")).first()
+    rows_b, rows_a = rows.agg(many(True), many(False)).first()
+    rate = lambda c, total: F.log((F.col(c) + 1) / F.lit(float(total + known + 1)))
+    return counts.select("token", (rate("b", b) - rate("a", a)).alias("odds")), math.log((rows_b + 1) / (rows_a + 1))
 
 
 def url_filter(
-    pages: DataFrame, rules: list[tuple[str, str]], bits: int = 20, margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html"
+    pages: DataFrame, rules: list[tuple[str, str]], margin: float = 9.0, id_column: str = "page_id", url: str = "url", html: str = "html", seeds: list[str] = SEEDS
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's log odds for a block (null under a rule).
 
     rules: (``host/path``, ``block`` or ``allow``). The model blocks where its odds
     are above ``margin``; of an empty URL it knows the classes' sizes only. Every
     row trains; those of one host and path (but for numbers) are split once, with
-    their count.
+    their count. seeds: words in a host that make an undecided URL a block row.
+    Of rules that fit the longest one speaks, of two of one length the later one.
     Null URLs are empty, null html has no words, null ids stay, repeated rows
     count each, and an empty table gives no rows. A page of any length is one
-    row's list of words; a host or path of any length is split in steps of the
-    longest word. Columns other than the three are not read.
+    row's list of words; a name of any length is split in steps of the longest
+    word. Columns other than the three are not read.
     """
-    spark = pages.sparkSession
     host, path = url_parts(pages[url])
     parts = pages.select(pages[id_column].alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("rule", rule).withColumn("says", verdict)
-    model = spark.sparkContext.broadcast(unigrams(pages[html], pages, parts))
-
-    def count(batches):
-        segmenter, found = Segmenter(*model.value), Counter()
-        for batch in batches:
-            for host, path, rule, says, n in zip(*(c.to_pylist() for c in batch.columns)):
-                words = set(tokens(segmenter, host, path, rule))
-                block = says == "block" if says else any(t in SEEDED for t in words)
-                found[ROWS, block] += n
-                for t in words:
-                    found[bucket(t, bits), block] += n
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found]), pa.array(list(found.values()))], ["bucket", "block", "n"])
-
-    labelled = parts.groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("path"), "rule", "says").count().mapInArrow(count, "bucket long, block boolean, n long")
-    counts = {(r[0], r[1]): r[2] for r in labelled.groupBy("bucket", "block").agg(F.sum("n")).collect()}
-    bayes = spark.sparkContext.broadcast(Bayes(counts, bits))
-
-    def judge(batches):
-        segmenter, known = Segmenter(*model.value), bayes.value
-        for batch in batches:
-            scores: list[float | None] = []
-            says = batch.column(4).to_pylist()
-            for host, path, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), says):
-                scores.append(None if given else known.score(tokens(segmenter, host, path, None)))
-            verdicts = [given or ("block" if s > math.log(margin) else "allow") for given, s in zip(says, scores)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["id", "host", "path", "rule", "verdict", "log_odds"])
-
-    kind = pages.schema[id_column].dataType.simpleString()
-    return parts.mapInArrow(judge, f"id {kind}, host string, path string, rule string, verdict string, log_odds double").withColumnRenamed("id", id_column)
+    own, rest = bare(F.col("host"), F.col("path"), F.col("rule"))
+    keyed = parts.withColumn("key", F.struct(own.alias("host"), rest.alias("path")))
+    grouped = keyed.groupBy("key", "says").agg(F.count("host").alias("n")).select("key.host", "key.path", "says", "n")
+    groups = written(grouped.withColumn("gid", F.monotonically_increasing_id()))
+    held = tokenised(groups, written(page_words(pages[html], pages)))
+    seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + w) for w in seeds])) if seeds else F.lit(False)
+    held = written(held.withColumn("block", F.when(F.col("says").isNotNull(), F.col("says") == "block").otherwise(seeded)))
+    odds, start = learnt(held)
+    open_ = held.where("says is null")
+    summed = salted(open_.select("gid", F.explode("tokens").alias("token")), odds, "token", "gid").groupBy("gid").agg(F.sum("odds").alias("sum"))
+    scored = open_.join(summed, "gid", "left").select(F.struct("host", "path").alias("key"), (F.coalesce("sum", F.lit(0.0)) + start).alias("log_odds"))
+    unruled = keyed.where("says is null").withColumn("place", F.monotonically_increasing_id())
+    judged = salted(unruled, scored, "key", "place").select("id", "host", "path", "rule", F.when(F.round("log_odds", 9) > math.log(margin), "block").otherwise("allow").alias("verdict"), "log_odds")
+    ruled = keyed.where("says is not null").select("id", "host", "path", "rule", F.col("says").alias("verdict"), F.lit(None).cast("double").alias("log_odds"))
+    return judged.unionByName(ruled).withColumnRenamed("id", id_column)
