@@ -71,11 +71,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-AT, DOT = r"(?:\(at\)|\[at\]| at )", r"(?:\.|\(dot\)|\[dot\]| dot )"
+AT = r"(?:\(at\)|\[at\]| at )"
+#: a written-out dot and what follows it; a real one has no blank after it, or the next sentence would belong to the address
+DOT = r"(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z]{2,}+|\.[A-Za-z]{2,}+)"
 #: Each proposes spans of a kind; the last group that took part is the span. Runs of any length never give back, so that a text takes linear time.
 GENERATORS = [
-    ("email", "dot", re.compile(rf"(?<![\w.+-])[\w.+-]++ ?{AT} ?[\w-]++(?: ?{DOT} ?[A-Za-z]{{2,}}+)+", re.I)),
-    ("email", "at", re.compile(rf"(?<![\w.+-])[\w.+-]++ ?(?:\(at\)|\[at\]) ?[\w-]++(?: ?{DOT} ?[A-Za-z]{{2,}}+)+", re.I)),
+    ("email", "dot", re.compile(rf"(?<![\w.+-])[\w.+-]++ ?{AT} ?[\w-]++{DOT}+", re.I)),
+    ("email", "at", re.compile(rf"(?<![\w.+-])[\w.+-]++ ?(?:\(at\)|\[at\]) ?[\w-]++{DOT}+", re.I)),
     ("phone", "0", re.compile(r"(?<![\w.+/-])(?:\([0-9]{2,5}\) ?|00[0-9]{1,3}[ .-]|0?[0-9]{2,4}[ ./-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])")),
     ("card", "0", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")),
     ("ip", "0", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![\w:])")),
@@ -121,6 +123,7 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         s.count(" "), s.count("-"), s.count("."), s.count("/"), float("(" in s), float(s[0] == "0"), float(len(digits) > 1 and luhn("".join(digits))),
         float(bool(re.search(r"[\[(](?:at|dot)[\])]", s, re.I))), float(bool(re.search(r"(?:com|org|net|edu|de|fr|es|io|uk)$", s, re.I))),
         float(bool(FOR_RX[kind].search(before))), float(bool(AGAINST.search(before))), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in tuple("%€$")),
+        float(len(groups) > 2 and all(n == 3 for n in sizes[1:]) and groups[0][0] != "0"), float(bool(re.match(r" [a-z]", after))), sum(c.isdigit() != n.isdigit() for c, n in zip(s, s[1:])) / len(s),
     ]
 
 
@@ -133,6 +136,15 @@ def examples(seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     prose = lambda: " ".join(word() for _ in range(rng.randint(2, 6)))
     pick = rng.choice
 
+    def long(part) -> str:
+        out = part()
+        while len(out) < 12:
+            out += part()
+        return out
+
+    def thousands(groups: int, mark: str) -> str:
+        return mark.join([str(rng.randint(1, 999)), *(pick([d(3), "000"]) for _ in range(groups))])
+
     def card(good: bool) -> str:
         body = d(15)
         last = next(c for c in "0123456789" if luhn(body + c) == good)
@@ -147,6 +159,8 @@ def examples(seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ("ip", lambda: pick(["host ", "ip ", "from "]) + ":".join(pick(["", "0"])[:0] + "%04x" % rng.randrange(1 << 16) for _ in range(8))),
         ("account", lambda: pick(["iban ", "account ", "ssn ", ""]) + pick([f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}", f"FR{d(20)}", f"{d(3)}-{d(2)}-{d(4)}"])),
         ("secret", lambda: pick(["token = ", "api_key: ", "key=", "password: ", "secret = "]) + '"' + "".join(pick("0123456789abcdef") for _ in range(pick([20, 32, 40]))) + '"'),
+        ("secret", lambda: pick(["token=", "key = ", "secret: "]) + "".join(pick("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(rng.randint(16, 44)))),
+        ("secret", lambda: pick(["password: ", "password=", "pwd = ", "passwd: "]) + long(lambda: (word().title() if rng.random() < 0.4 else word()) + d(rng.randint(1, 3)))),
     ]
     bad = [
         ("card", lambda: pick(["", "order ", "ref ", "serial ", ""]) + card(False)),
@@ -157,12 +171,15 @@ def examples(seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ("phone", lambda: pick(["version ", "section ", ""]) + f"{d(2)}.{d(2)}.{d(3)}"),
         ("phone", lambda: pick(["isbn ", "order ", "part no. ", "page "]) + f"{d(3)}-{d(3)}-{d(4)}"),
         ("phone", lambda: f"{d(3)} {d(3)} {d(3)}"),
+        ("phone", lambda: pick(["", "", "about ", "total "]) + thousands(rng.randint(2, 4), pick([" ", "."])) + pick([" people", " units", " words", " of them", "", " years"])),
+        ("card", lambda: pick(["", "about "]) + thousands(rng.randint(4, 5), " ") + pick([" people", " units", " of them", ""])),
         ("phone", lambda: f"{rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)}"),
         ("ip", lambda: f"{d(2)}:{d(2)}:{d(2)}:{d(2)}"),
         ("email", lambda: word() + " at " + word() + " dot " + word()),
         ("email", lambda: word() + " at " + word() + "." + word()),
         ("account", lambda: "AB" + d(2) + " " + pick(["PAGE", "ITEM", "TIME"]) + " " + pick(["SIZE", "PART"]) + " " + "WORD"),
         ("secret", lambda: pick(["key: ", "key = ", "token: "]) + "".join(word() for _ in range(4))),
+        ("secret", lambda: pick(["password: ", "pwd = ", "secret: "]) + pick(["-", "_", ""]).join(word() for _ in range(5)) + "word"),
     ]
     x, y, of = [], [], []
     while len(y) < EXAMPLES:
