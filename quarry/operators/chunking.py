@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions.text import bind, hash_embedding, sentences, words
 from quarry.functions.vector import cosine, mean, nearest_rank
+from quarry.operators.ordered import numbered, spaced
+from quarry.session import scratch
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,15 @@ def embedded(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[
 
 
 def adjacent(rows: DataFrame, group: str, order: str, vector: str = "embedding") -> DataFrame:
-    """Adds ``similarity`` of each row to the one before it in its group; null for the first."""
-    before = F.lag(vector).over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("similarity", cosine(F.col(vector), before))
+    """Adds ``similarity`` of each row to the one before it in its group, null for the first, and ``number``, its place from 0.
+
+    Rows are numbered by ranges, and blocks of neighbours meet in a row each, so
+    that a group of any size is as many tasks as it needs.
+    """
+    each = numbered(rows, [F.col(order).asc()], [group], "number").withColumn("number", F.col("number") - 1)
+    names = [c for c in rows.columns if c != group]
+    made = long_similarities(each.select(group, "number", F.struct(*names).alias("sentence"), F.col(vector).alias("embedding")), group)
+    return made.select(group, "sentence.*", "number", "similarity")
 
 
 def boundaries(similarities: Column, config: ChunkerConfig) -> Column:
@@ -123,32 +131,145 @@ def chunked(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key:
     """Chunks of (key, number, sentence, embedding) rows; one exchange, by document.
 
     A document's sentences meet in one row: documents, not the collection, must
-    fit a task.
+    fit a task. :func:`chunked_long` has no such bound.
     """
-    each = adjacent(sentences_, key, "number")
-    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding", "similarity"))).alias("s"))
+    listed = sentences_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding"))).alias("s"))
+    return assembled(listed.select(key, with_similarities(F.col("s")).alias("s")), config, key)
+
+
+def with_similarities(s: Column) -> Column:
+    """An array of (number, sentence, embedding) with each element's ``similarity`` to the one before it."""
+    before = lambda a, i: cosine(F.get(a, i)["embedding"], F.get(a, i - 1)["embedding"])
+    return bind(s, lambda a: F.transform(a, lambda x, i: F.struct(x["number"].alias("number"), x["sentence"].alias("sentence"), x["embedding"].alias("embedding"), F.when(i > 0, before(a, i)).alias("similarity"))))
+
+
+def assembled(listed: DataFrame, config: ChunkerConfig, key: str) -> DataFrame:
+    """Chunks of (key, s) rows; s: the document's sentences in order, with their similarities."""
     sims = F.slice(F.transform("s", lambda x: x["similarity"]), 2, F.greatest(F.size("s") - 1, F.lit(0)))
     made = listed.withColumn("sims", sims).withColumn("cuts", F.when(F.size("sims") > 0, boundaries(F.col("sims"), config)).otherwise(F.array(F.lit(0))))
     made = made.withColumn("spans", bind(F.col("cuts"), lambda c: spans(c, F.size("s"), config)))
-    part = lambda c, a, b: F.slice(c, a + 1, b - a + 1)
-    chunk = made.withColumn("total_chunks", F.size("spans")).select(key, "s", "sims", "total_chunks", F.posexplode("spans").alias("chunk_index", "x"))
-    text = F.concat_ws(" ", F.transform(part(F.col("s"), F.col("x.first"), F.col("x.last")), lambda y: y["sentence"]))
-    core = part(F.col("s"), F.col("x.first"), F.col("x.core"))
-    inner = F.slice("sims", F.col("x.first") + 1, F.col("x.core") - F.col("x.first"))
+    # each chunk takes its own sentences along, so that a document is copied once, not once a chunk
+    parts = F.transform("spans", lambda x: F.struct(x.alias("x"), F.slice("s", x["first"] + 1, x["last"] - x["first"] + 1).alias("s")))
+    chunk = made.select(key, F.size("spans").alias("total_chunks"), F.posexplode(parts).alias("chunk_index", "c"))
+    return described(chunk.select(key, "chunk_index", "total_chunks", "c.x", "c.s"), key)
+
+
+def described(chunk: DataFrame, key: str) -> DataFrame:
+    """The columns of chunks from (key, chunk_index, total_chunks, x, s) rows; x: a span, s: its sentences."""
+    core = F.slice("s", 1, F.col("x.core") - F.col("x.first") + 1)
+    inner = F.transform(F.slice("s", 2, F.col("x.core") - F.col("x.first")), lambda y: y["similarity"])
     coherence = F.when(F.size(inner) > 0, F.aggregate(inner, F.lit(0.0), lambda s, y: s + y) / F.size(inner)).otherwise(1.0)
     chunk = chunk.select(
-        key, "chunk_index", "total_chunks", F.col("x.first").alias("start_sentence"), F.col("x.last").alias("end_sentence"), text.alias("content"),
+        key, "chunk_index", "total_chunks", F.col("x.first").alias("start_sentence"), F.col("x.last").alias("end_sentence"), F.concat_ws(" ", F.transform("s", lambda y: y["sentence"])).alias("content"),
         mean(F.transform(core, lambda y: y["embedding"])).alias("embedding"), coherence.alias("avg_similarity"),
     )
     return chunk.withColumn("word_count", F.size(words(F.col("content")))).withColumn("char_count", F.length("content"))
 
 
+BLOCK = 256  #: sentences that are compared in one row
+
+
+def long_similarities(sentences_: DataFrame, key: str) -> DataFrame:
+    """``sentences_`` with each one's ``similarity`` to the one before it, blocks of sentences at a time; the first of a block comes with the one before."""
+    n = F.col("number")
+    blocks = F.when(n % BLOCK == BLOCK - 1, F.array(F.floor(n / BLOCK), F.floor(n / BLOCK) + 1)).otherwise(F.array(F.floor(n / BLOCK)))
+    dealt = sentences_.select(key, F.explode(blocks).alias("_block"), F.struct("number", "sentence", "embedding").alias("x"))
+    listed = dealt.groupBy(key, "_block").agg(F.array_sort(F.collect_list("x")).alias("s"))
+    each = listed.select(key, "_block", F.explode(with_similarities(F.col("s"))).alias("x"))
+    return each.where(F.floor(F.col("x.number") / BLOCK) == F.col("_block")).select(key, "x.*")
+
+
+def long_limits(each: DataFrame, config: ChunkerConfig, key: str) -> DataFrame:
+    """(key, limit): below which a similarity is a boundary. The percentile is the element of its rank among all of the document."""
+    sims = each.where("similarity is not null")
+    place = F.round(F.lit(config.boundary_percentile) * (F.col("n") - 1)).cast("long") + 1
+    size = sims.groupBy(key).agg(F.count("similarity").alias("n"))
+    ranked = numbered(sims.select(key, "similarity"), [F.col("similarity").asc()], [key], "rank")
+    return ranked.join(size, key).where(F.col("rank") == place).select(key, F.least("similarity", F.lit(config.similarity_threshold)).alias("limit"))
+
+
+def long_spans(each: DataFrame, config: ChunkerConfig, key: str) -> DataFrame:
+    """(key, first, last, core) of the chunks of documents of any length.
+
+    A chunk begins at the first boundary that lies the minimum or more after the
+    last beginning: greedy spacing, whose state at any sentence is the last
+    beginning. Sentence ranges state what they make of any such state, and the
+    maps are composed across ranges.
+    """
+    low, high, whole = config.min_chunk_sentences, config.max_chunk_sentences, config.mode == "whole"
+    cuts = each.join(long_limits(each, config, key), key).where(F.col("similarity") < F.col("limit")).select(key, "number")
+    size = each.groupBy(key).agg(F.count("number").alias("n"))
+    cuts = cuts.unionByName(size.select(key, F.lit(0).alias("number")))
+    begins = spaced(cuts.select(key, F.col("number").cast("long").alias("number")), [key], "number", low, lead="before")
+    begins = stable(begins)
+    span = lambda a, b, c: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"), c.cast("int").alias("core"))
+
+    def pieces(a: Column, b: Column) -> Column:
+        """Spans of [a, b), cut at the maximum; a short rest goes (stored) or joins the piece before it (whole)."""
+        firsts = F.sequence(a, b - 1, F.lit(high).cast("long"))
+        rest = (b - a) % high
+        short = (rest > 0) & (rest < low)
+        if whole:
+            many = F.when(short & (F.size(firsts) > 1), F.slice(firsts, 1, F.size(firsts) - 1)).otherwise(firsts)
+            end = lambda f: F.when(f == F.element_at(many, -1), b - 1).otherwise(f + high - 1)
+        else:
+            many = F.when(short, F.slice(firsts, 1, F.greatest(F.size(firsts) - 1, F.lit(0)))).otherwise(firsts)
+            end = lambda f: F.least(f + high, b) - 1
+        return F.transform(many, lambda f: span(f, end(f), end(f)))
+
+    one = lambda a, b: F.array(span(a, b - 1, b - 1))
+    parts = lambda a, b: F.when(b - a > high, pieces(a, b)).otherwise(one(a, b))
+    last = begins.groupBy(key).agg(F.max_by(F.struct("before", "number"), "number").alias("l")).join(size, key)
+    last = last.select(key, F.col("l.before").alias("before"), F.col("l.number").alias("start"), "n")
+    inner = begins.where("before is not null").join(last.select(key, "start"), key).where(F.col("number") < F.col("start"))
+    inner = inner.select(key, parts(F.col("before"), F.col("number")).alias("p"))
+    # the last beginning and what follows it: the rest is a chunk, or joins the chunk before, if there is one
+    start, n, before = F.col("start"), F.col("n"), F.col("before")
+    earlier = F.when(before.isNotNull(), parts(before, start)).otherwise(F.array().cast(SPAN))
+    grown = bind(earlier, lambda e: F.concat(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.array(span(F.element_at(e, -1)["first"], n - 1, (n - 1) if whole else F.element_at(e, -1)["core"]))))
+    tail = parts(start, n) if whole else one(start, n)
+    alone = one(start, n) if whole else F.array().cast(SPAN)
+    ends = last.select(key, F.when(n - start >= low, F.concat(earlier, tail)).when(before.isNotNull(), grown).otherwise(alone).alias("p"))
+    return inner.unionByName(ends).select(key, F.explode("p").alias("x"))
+
+
+def chunked_long(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id") -> DataFrame:
+    """:func:`chunked` for documents of any length: no row, task or window holds a document.
+
+    What meets in a row is a block of sentences or a chunk. Numbers count from 0
+    without gaps.
+    """
+    each = stable(long_similarities(sentences_, key))
+    found = stable(numbered(long_spans(each, config, key), [F.col("x.first").asc()], [key], "_place"))
+    total = found.groupBy(key).agg(F.count("x").cast("int").alias("total_chunks"))
+    dealt = found.withColumn("_block", F.explode(F.sequence(F.floor(F.col("x.first") / BLOCK), F.floor(F.col("x.last") / BLOCK))))
+    held = each.withColumn("_block", F.floor(F.col("number") / BLOCK)).join(dealt, [key, "_block"]).where(F.col("number").between(F.col("x.first"), F.col("x.last")))
+    listed = held.groupBy(key, "_place", "x").agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding", "similarity"))).alias("s"))
+    chunk = listed.join(total, key).select(key, (F.col("_place") - 1).cast("int").alias("chunk_index"), "total_chunks", "x", "s")
+    return described(chunk, key)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the scratch folder, which several readers share."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def sentence_count(start: Column, end: Column) -> Column:
     return end - start + 1
 
 
-def chunk_documents(docs: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id", text: str = "text", model: Callable | None = None, size: int = 384) -> DataFrame:
-    """Sentences, embeddings (a model's, or the hash stand-in) and chunks of documents."""
-    rows = docs.select(key, F.posexplode(sentences(F.col(text), config.min_sentence_length)).alias("number", "sentence"))
+def chunk_documents(docs: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id", text: str = "text", model: Callable | None = None, size: int = 384, long: bool = False) -> DataFrame:
+    """Sentences, embeddings (a model's, or the hash stand-in) and chunks of documents.
+
+    Without a model a document stays in its row, and nothing moves. long: documents
+    may be too long for a row of vectors.
+    """
+    found = sentences(F.col(text), config.min_sentence_length)
+    if model is None and not long:
+        s = F.transform(found, lambda x, i: F.struct(i.alias("number"), x.alias("sentence"), hash_embedding(x, size).alias("embedding")))
+        return assembled(docs.select(key, with_similarities(s).alias("s")), config, key)
+    rows = docs.select(key, F.posexplode(found).alias("number", "sentence"))
     rows = rows.withColumn("embedding", hash_embedding(F.col("sentence"), size)) if model is None else embedded(rows, "sentence", model)
-    return chunked(rows, config, key)
+    return (chunked_long if long else chunked)(rows, config, key)

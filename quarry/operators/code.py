@@ -176,6 +176,21 @@ def structure(files: DataFrame, path: str = "path", text: str = "text", analyzer
     return rows.mapInPandas(run, f"path string, language string, {ITEM}")
 
 
+def code_items(analyzers: dict | None = None):
+    """The items of one text as a table function, for SQL: ``FROM files, LATERAL code_items(text, 'rust')``.
+
+    A language without an analyzer, and null, give no rows. Further analyzers may be given.
+    """
+    known = ANALYZERS | (analyzers or {})
+
+    class Items:
+        def eval(self, text: str, name: str):
+            if text is not None and name in known:
+                yield from known[name](text.split("\n"))
+
+    return F.udtf(Items, returnType=ITEM)
+
+
 def config_files(files: DataFrame, path: str = "path") -> DataFrame:
     """Configuration files down to the second level, and the well-known ones as ``env``."""
     known = F.regexp_extract(path, r"([^/]+)$", 1).isin("Dockerfile", "Makefile", "README.md", "LICENSE")

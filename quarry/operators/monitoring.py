@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.vector import nearest_rank
+from quarry.operators.ordered import sliding
+
+
+def seconds(at: Column) -> Column:
+    return at.cast("timestamp").cast("double")
 
 
 def share(a: Column, b: Column) -> Column:
@@ -21,7 +26,7 @@ def extraction(ops: DataFrame) -> DataFrame:
 
 def snapshot(ops: DataFrame, order: list[str], window: int = 1000) -> DataFrame:
     """:func:`extraction` with the percentiles of the last ``window`` times and the seconds from the first row to the last."""
-    span = ops.agg((F.max("ts").cast("double") - F.min("ts").cast("double")).alias("uptime_s"))
+    span = ops.agg((seconds(F.max("ts")) - seconds(F.min("ts"))).alias("uptime_s"))
     return extraction(ops).join(last_percentiles(ops, order, "ms", window)).join(span)  # one row each
 
 
@@ -45,9 +50,9 @@ def last_percentiles(ops: DataFrame, order: list[str], value: str = "ms", window
 
 
 def sliding_percentiles(ops: DataFrame, by: str, order: list[str], value: str = "ms", window: int = 1000) -> DataFrame:
-    """The same at every row of a series, over the rows up to it."""
-    held = F.collect_list(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(-(window - 1), 0))
-    return ops.withColumn("v", held).select(by, *order, *[nearest_rank(F.col("v"), p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+    """The same at every row of a series, over the rows up to it; a sorted list is carried along blocks of the series."""
+    shares = {f"p{p}": p / 100 for p in (50, 95, 99)}
+    return sliding(ops.select(by, *order, value), [F.col(c).asc() for c in order], value, shares, [by], window).select(by, *order, *shares)
 
 
 def alerts(snapshot: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def enrichment(rows: DataFrame) -> DataFrame:
 
 def jobs(table: DataFrame) -> DataFrame:
     """Totals, success rate and throughput (finished jobs per hour of work) of (status, started_at, completed_at)."""
-    took = F.col("completed_at").cast("double") - F.col("started_at").cast("double")
+    took = seconds(F.col("completed_at")) - seconds(F.col("started_at"))
     done = F.sum((F.col("status") == "completed").cast("long"))
     over = F.sum(F.col("status").isin("completed", "failed").cast("long"))
     return table.agg(F.count("*").alias("jobs"), done.alias("completed"), share(done, over).alias("success_rate"), F.avg(took).alias("avg_s"), share(over.cast("double"), F.sum(took) / 3600).alias("per_hour"))

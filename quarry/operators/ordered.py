@@ -110,6 +110,8 @@ def state_map(at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     are followed by doubling, and entries that leave alike are one.
     """
     n = len(at)
+    if not gap:
+        return at[:1], at[-1:]
     step = np.minimum(successors(at, gap), n)
     last = np.where(step < n, step, np.arange(n))
     while True:

@@ -98,7 +98,8 @@ def of_saved(spark: SparkSession, saved: dict[str, Request], **kw) -> DataFrame:
 def held(values: Iterable[str] = (), lists: Iterable[str] = (), texts: Iterable[str] = ()) -> Column:
     """All keys of a document: ``field=value`` of values and lists, ``field~word`` of texts, and the category in lower case."""
     parts = [F.array(key(c, F.col(c))) for c in values] + [F.array(key("lower(category)", F.lower("category")))] * ("category" in values) + [keys(c, F.col(c)) for c in lists]
-    parts += [F.transform(tokens(F.col(c)), lambda w, c=c: F.concat(F.lit(c + "~"), w)) for c in texts]
+    worded = lambda c: F.transform(tokens(F.col(c)), lambda w: F.concat(F.lit(c + "~"), w))
+    parts += [worded(c) for c in texts]
     whole = F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]) if parts else F.array().cast("array<string>")
     return F.array_distinct(F.filter(whole, lambda k: k.isNotNull()))
 
@@ -189,7 +190,7 @@ def from_json(text: str) -> Request:
             d.get("query"), m and MultiMatch(**tuples(m)), b and BoolQuery(*(tuple(map(clause, b[k])) for k in ("must", "should", "must_not")), b["minimum_should_match"]),
             Filters(**tuples(f)), Options(**(d.get("options") or {})),
         )
-    except (KeyError, TypeError, json.JSONDecodeError) as e:
+    except (KeyError, TypeError, AttributeError, json.JSONDecodeError) as e:
         raise QueryError("malformed request") from e
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions.text import tokens
 from quarry.functions.vector import cosine
+from quarry.operators.ordered import numbered
 
 FIELDS = ("title", "content", "tags", "path", "repository")
 CATEGORIES = ("tutorial", "how-to", "reference", "explanation")
@@ -280,11 +281,15 @@ def keyset_page(rows: DataFrame, size: int, after: str | None, key: str, ts: str
 
 
 def batches(found: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Numbers rows in deliveries of ``size``, with whether more follow; for a client that takes results in parts."""
+    """Numbers rows in deliveries of ``size``, with whether more follow; for a client that takes results in parts.
+
+    Ranges of the order number their own rows, so that no task holds all results.
+    """
     require(1 <= size <= 100, "size must lie in [1, 100]")
-    rank = F.row_number().over(Window.orderBy(*order))
-    made = found.withColumn("batch", F.floor((rank - 1) / size).cast("int"))
-    return made.withColumn("has_more", F.col("batch") < F.max("batch").over(Window.partitionBy()))
+    each = numbered(found, list(order), name="_rank")
+    made = each.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
+    last = made.agg(F.max("batch").alias("_last"))
+    return made.join(F.broadcast(last)).withColumn("has_more", F.col("batch") < F.col("_last")).drop("_last")  # one row
 
 
 def evaluated(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -301,6 +306,21 @@ def evaluated(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def evaluated_by_label(results: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """:func:`evaluated` where what shares the query's label is relevant to it: labels are counted and compared, no pairs are made.
+
+    results: query, doc, rank; labels: doc, label, of queries too. A query isn't relevant to itself.
+    """
+    known = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    asked = labels.select(F.col("doc").alias("query"), F.col("label").alias("q_label"))
+    hits = results.join(labels, "doc").join(asked, "query").withColumn("hit", F.when((F.col("label") == F.col("q_label")) & (F.col("doc") != F.col("query")), 1))
+    each = hits.groupBy("query", "q_label").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("hit"))), F.lit(0)).alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    joined = each.join(known, F.col("q_label") == F.col("label"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return joined.select(
+        "query", share(F.col("found"), F.least(F.lit(k), F.col("n"))).alias("precision"), share(F.col("found"), F.col("n_relevant")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), F.col("n").alias("results"))
+
+
 def evaluation(each: DataFrame) -> DataFrame:
     """Means over queries, and the share of those without results."""
     return each.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("reciprocal_rank").alias("mrr"), F.avg((F.col("results") == 0).cast("double")).alias("zero_result_rate"), F.avg("results").alias("avg_results"))

@@ -90,7 +90,8 @@ def saved_search_matches(spark, sf):
     b = read(spark, sf, "benchmark")
     words = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{IsAlphabetic}\p{N}_-]+", -1), lambda w: w != ""), 1, 3), " ")
     source = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
-    must = F.array(F.struct(F.lit("term").alias("kind"), F.lit("source").alias("field"), source.alias("value"), F.lit(None).cast("int").alias("gte")), F.struct(F.lit("range"), F.lit("n_chars"), F.lit(None).cast("string"), F.lit(300)))
+    clause = lambda kind, field, value, gte: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(gte).cast("int").alias("gte"))
+    must = F.array(clause("term", "source", source, None), clause("range", "n_chars", F.lit(None), 300))
     bool_query = F.struct(must.alias("must"), F.array().cast("array<string>").alias("should"), F.array().cast("array<string>").alias("must_not"), F.lit(0).alias("minimum_should_match"))
     saved = b.select("item_id", F.to_json(F.struct(words.alias("query"), bool_query.alias("bool_query"))).alias("request"))
     docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")

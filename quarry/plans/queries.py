@@ -191,11 +191,10 @@ k AS (SELECT a.vec_id AS q, count(*) AS n FROM v a JOIN v b ON a.label = b.label
 SELECT round(avg(f / 10.0), 6) AS precision, round(avg(f::DOUBLE / n), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, 0.0::DOUBLE AS zero_result_rate, 10.0::DOUBLE AS avg_results FROM e JOIN k USING (q)""")
 def knn_label_precision(spark, sf):
     v = read(spark, sf, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("q_label"))
-    near = search.batch_search(v, asked.drop("q_label"), 11, "vec_id").where("vec_id <> query_id")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = search.batch_search(v, asked, 11, "vec_id").where("vec_id <> query_id")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 10").select(F.col("query_id").alias("query"), F.col("vec_id").alias("doc"), "rank")
-    relevant = asked.join(v, F.col("q_label") == F.col("label")).where("query_id <> vec_id").select(F.col("query_id").alias("query"), F.col("vec_id").alias("doc"))
-    made = search.evaluation(search.evaluated(ranked, relevant, 10))
+    made = search.evaluation(search.evaluated_by_label(ranked, v.select(F.col("vec_id").alias("doc"), "label"), 10))
     return made.select(*[r6(F.col(c)).alias(c) for c in made.columns])
 
 
@@ -209,9 +208,9 @@ l AS (SELECT label, list(s ORDER BY vec_id) FILTER (s IS NOT NULL) AS s FROM s G
 SELECT label, unnest(list_concat([0], list_filter(range(1, len(s) + 1), lambda i: s[i] < least(list_sort(s)[round(0.5 * (len(s) - 1))::INTEGER + 1], 0.7)))) AS boundary FROM l""")
 def boundary_flags(spark, sf):
     each = chunking.adjacent(read(spark, sf, "embeddings"), "label", "vec_id")
-    listed = each.groupBy("label").agg(F.array_sort(F.collect_list(F.when(F.col("similarity").isNotNull(), F.struct("vec_id", "similarity")))).alias("s"))
-    cuts = chunking.boundaries(F.transform("s", lambda x: x["similarity"]), chunking.ChunkerConfig())
-    return listed.select("label", F.explode(cuts).alias("boundary")).withColumn("boundary", F.col("boundary").cast("long"))
+    limits = chunking.long_limits(each.select("label", "similarity"), chunking.ChunkerConfig(), "label")
+    below = each.join(limits, "label").where(F.col("similarity") < F.col("limit")).select("label", F.col("number").alias("boundary"))
+    return below.unionByName(each.where("number = 0").select("label", F.col("number").alias("boundary")))
 
 
 @query("""SELECT label, (k - 1)::INTEGER AS k, round(avg(x), 6) AS mean FROM
@@ -221,11 +220,47 @@ def centroid(spark, sf):
     return each.groupBy("label", "k").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
 
 
-@query()
+#: The walk over boundaries written out: the next beginning is the first boundary three or more after the last one.
+CHUNKS_SQL = SENTENCES_SQL.replace("WITH s AS", "WITH RECURSIVE s AS") + """,
+t AS MATERIALIZED (SELECT doc_id, k, s[k + 1] AS s, list_transform(range(1, 65), lambda i: (ascii(substr(sha256(s[k + 1]), i, 1)) / 255.0::DOUBLE)::FLOAT) AS e FROM s, unnest(range(len(s))) u(k)),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+p AS MATERIALIZED (SELECT b.doc_id, b.k, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS sim FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+l AS (SELECT doc_id, least(list_sort(list(sim))[round(0.5 * (count(*) - 1))::INTEGER + 1], 0.7) AS lim FROM p GROUP BY 1),
+c AS MATERIALIZED (SELECT doc_id, k FROM p JOIN l USING (doc_id) WHERE sim < lim),
+g AS (SELECT doc_id, 0::BIGINT AS start FROM n UNION ALL SELECT g.doc_id, min(c.k) FROM g JOIN c ON c.doc_id = g.doc_id AND c.k >= g.start + 3 GROUP BY g.doc_id, g.start),
+h AS (SELECT doc_id, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM g),
+q AS (SELECT doc_id, start AS first, stop - 1 AS last FROM h WHERE stop - start <= 30
+  UNION ALL SELECT doc_id, f, least(f + 30, stop) - 1 FROM h, unnest(range(start, stop, 30)) u(f) WHERE stop - start > 30 AND least(f + 30, stop) - f >= 3),
+r AS (SELECT *, last AS core, row_number() OVER (PARTITION BY doc_id ORDER BY first DESC) = 1 AS final FROM q),
+e AS (SELECT doc_id, start, n FROM h JOIN n USING (doc_id) WHERE stop IS NULL),
+x AS (SELECT r.doc_id, first, CASE WHEN final AND n - start < 3 THEN n - 1 ELSE last END AS last, core FROM r JOIN e USING (doc_id) UNION ALL SELECT doc_id, start, n - 1, n - 1 FROM e WHERE n - start >= 3),
+y AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, first, last, core FROM x),
+m AS (SELECT y.doc_id, chunk_index, total_chunks, first, last, string_agg(s, ' ' ORDER BY k) AS content FROM y JOIN t ON t.doc_id = y.doc_id AND k BETWEEN first AND last GROUP BY ALL),
+v AS (SELECT doc_id, chunk_index, list(d ORDER BY i) AS v FROM (SELECT y.doc_id, chunk_index, i, round(avg(e[i]::DOUBLE) * 10000)::BIGINT AS d FROM y JOIN t ON t.doc_id = y.doc_id AND k BETWEEN first AND core, unnest(range(1, 65)) u(i) GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT y.doc_id, chunk_index, avg(sim) AS sim FROM y LEFT JOIN p ON p.doc_id = y.doc_id AND k > first AND k <= core GROUP BY ALL)
+SELECT doc_id, chunk_index::INTEGER AS chunk_index, total_chunks::INTEGER AS total_chunks, first::INTEGER AS start_sentence, last::INTEGER AS end_sentence, (last - first + 1)::INTEGER AS sentences, md5(content) AS content,
+  md5(array_to_string(v, ',')) AS embedding, length(content)::INTEGER AS char_count, round(coalesce(sim, 1.0::DOUBLE), 6) AS avg_similarity FROM m JOIN v USING (doc_id, chunk_index) JOIN w USING (doc_id, chunk_index)"""
+
+
+@query(CHUNKS_SQL)
 def semantic_chunks(spark, sf):
     """Chunks of all documents, with the hash stand-in for a model."""
     made = chunking.chunk_documents(read(spark, sf, "documents"), chunking.ChunkerConfig(), size=64)
-    return made.select("doc_id", "chunk_index", "total_chunks", "start_sentence", "end_sentence", "content", "embedding", "word_count", "char_count", r6(F.col("avg_similarity")).alias("avg_similarity"))
+    return chunk_columns(made)
+
+
+@query(CHUNKS_SQL)
+def semantic_chunks_long(spark, sf):
+    """The same without a row that holds a document: boundaries spaced over ranges of sentences."""
+    return chunk_columns(chunking.chunk_documents(read(spark, sf, "documents"), chunking.ChunkerConfig(), size=64, long=True))
+
+
+def chunk_columns(made):
+    parts = F.transform("embedding", lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return made.select(
+        "doc_id", "chunk_index", "total_chunks", "start_sentence", "end_sentence", chunking.sentence_count(F.col("start_sentence"), F.col("end_sentence")).alias("sentences"), F.md5(F.col("content").cast("binary")).alias("content"),
+        F.md5(F.array_join(parts, ",").cast("binary")).alias("embedding"), "char_count", r6(F.col("avg_similarity")).alias("avg_similarity"),
+    )
 
 
 @query("""SELECT doc_id, CASE WHEN p LIKE '%tutorial%' THEN 'tutorial' WHEN p LIKE '%howto%' OR p LIKE '%how-to%' OR p LIKE '%how\\_to%' ESCAPE '\\' THEN 'how-to'

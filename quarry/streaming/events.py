@@ -9,6 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators import reverse
 from quarry.operators.analytics import is_query, usage_columns
+from quarry.operators.ordered import spaced
 
 
 def windowed_usage(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -75,6 +76,16 @@ def cooled(triggers: DataFrame, key: str = "repository", seconds: int = 600) ->
     return triggers.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def cooled_batch(triggers: DataFrame, key: str = "repository", seconds: int = 600, ts: str = "ts", parts: int | None = None) -> DataFrame:
+    """:func:`cooled` over a table: whole rows of the triggers let through, however many a key has.
+
+    Each accepted trigger is followed by the first one ``seconds`` or more after
+    it, which depends on all before; ranges of a key compose (see ``spaced``).
+    """
+    timed = triggers.where(F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    return spaced(timed, [key], "_at", seconds * 1_000_000, parts).drop("_at")
+
+
 LISTS = {"categories": "category", "repositories": "repository", "document_ids": "document_id", "tags": "tags"}
 
 

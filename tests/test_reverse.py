@@ -71,16 +71,14 @@ def documents(spark, rng, n):
     return made.withColumn("updated_at", F.col("day").cast("timestamp")).cache()
 
 
-OF = reverse.held(["category", "repository"], ["tags"], ["title", "content"])
-VALUES = reverse.numbers({"similarity": F.col("similarity"), "updated_at": F.unix_micros("updated_at") / 1e6})
-
-
 def test_saved_requests_match_as_a_search_does(spark):
     rng = random.Random(8)
     docs, asked = documents(spark, rng, 60), requests(rng, 24)
     want = sorted((str(k), r["id"]) for k, q in enumerate(asked) for r in q.matches(docs).select("id").collect())
     index = reverse.indexed(reverse.of_saved(spark, {str(k): q for k, q in enumerate(asked)}))
-    made = reverse.matched(docs, index, OF, ["search_id"], VALUES)
+    of = reverse.held(["category", "repository"], ["tags"], ["title", "content"])
+    values = reverse.numbers({"similarity": F.col("similarity"), "updated_at": F.unix_micros("updated_at") / 1e6})
+    made = reverse.matched(docs, index, of, ["search_id"], values)
     assert sorted((r["search_id"], r["id"]) for r in made.collect()) == want and len(want) > 30
 
 
