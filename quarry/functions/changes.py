@@ -27,6 +27,19 @@ MARKERS = {
 SOURCES = ["rs", "py", "js", "ts", "go", "java"]
 SUSPICIOUS = ["<script", "javascript:", "onerror=", "onload=", "eval(", "document.cookie", "select * from", "drop table", "union select", "../", "..\\"]
 SEVERITIES = ["none", "patch", "minor", "major"]
+CONFIG_FORMATS = {"yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "env": "env", "ini": "ini", "properties": "properties"}
+#: Points of a change set (many files, a major one, many lines, a breaking change) and what they amount to.
+MANY_FILES, MANY_LINES, BREAKING = (5, 3), (500, 2), (["BREAKING", "breaking change"], 5)
+MAJOR_POINTS = 2
+SIGNIFICANCE = [(7, "critical"), (4, "major"), (2, "minor")]
+#: Paths and sizes by which one file's change is major or minor, and which touch the interface or the configuration.
+MAJOR_PARTS, MAJOR_ENDS, MAJOR_CHANGES = ["Cargo.toml", "package.json", "go.mod", "api/"], [".proto"], ["added", "deleted"]
+MINOR_LINES, MINOR_ENDS = 50, [".rs", ".go", ".py", ".js", ".ts"]
+API_PARTS, API_ENDS = ["api/", "interface", "contract"], [".proto"]
+CONFIG_PARTS, CONFIG_ENDS = ["config"], [".yaml", ".yml", ".toml", ".json"]
+#: Documents asked for at once, by the bytes below which one has to be; a retry's first and longest wait in ms, and its jitter.
+BATCH_SIZES, LARGE_BATCH = [(1024, 50), (10_240, 20)], 5
+RETRY_FIRST, RETRY_MOST, RETRY_JITTER = 1000, 60_000, 0.2
 
 
 def glob_pattern(glob: str) -> str:
@@ -54,7 +67,7 @@ def language(name: Column) -> Column:
 
 
 def config_format(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for x in ("yaml", "yaml", "yml", "yaml", "toml", "toml", "json", "json", "env", "env", "ini", "ini", "properties", "properties")])
+    known = F.create_map(*[F.lit(x) for pair in CONFIG_FORMATS.items() for x in pair])
     return F.coalesce(F.element_at(known, extension(path)), F.lit("unknown"))
 
 
@@ -66,14 +79,15 @@ def has(messages: Column, *parts: str, lower: bool = False) -> Column:
     return F.exists(messages, lambda m: any_of(F.lower(m) if lower else m, list(parts)))
 
 
-def score(files: Column, commits: Column, total: Column, major: list[str], threshold: int = 5) -> Column:
-    """3 for many files, 2 for each major one, 2 for over 500 lines, 5 for a breaking change."""
-    paths = F.transform(files, lambda f: f["path"])
-    return F.when(F.size(files) > threshold, 3).otherwise(0) + 2 * F.size(F.filter(paths, lambda p: matches(p, major))) + F.when(total > 500, 2).otherwise(0) + F.when(has(commits, "BREAKING", "breaking change"), 5).otherwise(0)
+def score(files: Column, commits: Column, total: Column, major: list[str], threshold: int = MANY_FILES[0]) -> Column:
+    """Points for many files, for each major one, for many lines and for a breaking change."""
+    points = lambda on, n: F.when(on, n).otherwise(0)
+    n_major = F.size(F.filter(F.transform(files, lambda f: f["path"]), lambda p: matches(p, major)))
+    return points(F.size(files) > threshold, MANY_FILES[1]) + MAJOR_POINTS * n_major + points(total > MANY_LINES[0], MANY_LINES[1]) + points(has(commits, *BREAKING[0]), BREAKING[1])
 
 
 def significance(points: Column) -> Column:
-    return case([(points >= 7, "critical"), (points >= 4, "major"), (points >= 2, "minor")], "trivial")
+    return case([(points >= n, name) for n, name in SIGNIFICANCE], "trivial")
 
 
 def affected_sections(files: Column, commits: Column) -> Column:
@@ -106,8 +120,8 @@ def suggestions(commits: Column, total: Column) -> Column:
 
 def severity(path: Column, change: Column, changed_lines: Column) -> Column:
     """Of one file: major, minor, patch or none."""
-    major = any_of(path, ["Cargo.toml", "package.json", "go.mod", "api/"]) | path.endswith(".proto") | change.isin("added", "deleted")
-    minor = (changed_lines > 50) | ends_with_any(path, [".rs", ".go", ".py", ".js", ".ts"])
+    major = any_of(path, MAJOR_PARTS) | ends_with_any(path, MAJOR_ENDS) | change.isin(*MAJOR_CHANGES)
+    minor = (changed_lines > MINOR_LINES) | ends_with_any(path, MINOR_ENDS)
     return case([(major, "major"), (minor, "minor"), (changed_lines > 0, "patch")], "none")
 
 
@@ -117,11 +131,11 @@ def highest(severities: Column) -> Column:
 
 
 def affects_api(files: Column) -> Column:
-    return F.exists(files, lambda f: any_of(f["path"], ["api/", "interface", "contract"]) | f["path"].endswith(".proto"))
+    return F.exists(files, lambda f: any_of(f["path"], API_PARTS) | ends_with_any(f["path"], API_ENDS))
 
 
 def affects_config(files: Column) -> Column:
-    return F.exists(files, lambda f: ends_with_any(f["path"], [".yaml", ".yml", ".toml", ".json"]) | f["path"].contains("config"))
+    return F.exists(files, lambda f: ends_with_any(f["path"], CONFIG_ENDS) | any_of(f["path"], CONFIG_PARTS))
 
 
 def suspicious(text: Column) -> Column:
@@ -134,7 +148,7 @@ def traverses(path: Column) -> Column:
 
 def retry_delay_ms(attempt: int, jitter: float = 0.0) -> float:
     """Doubling from one second to a minute, and up to a fifth more."""
-    return min(1000 * 2**attempt, 60_000) * (1 + 0.2 * jitter)
+    return min(RETRY_FIRST * 2**attempt, RETRY_MOST) * (1 + RETRY_JITTER * jitter)
 
 
 def finish_estimate(started: Column, now: Column, percent: Column) -> Column:
@@ -143,4 +157,4 @@ def finish_estimate(started: Column, now: Column, percent: Column) -> Column:
 
 
 def batch_size(n_bytes: Column) -> Column:
-    return case([(n_bytes < 1024, 50), (n_bytes < 10_240, 20)], 5)
+    return case([(n_bytes < least, n) for least, n in BATCH_SIZES], LARGE_BATCH)

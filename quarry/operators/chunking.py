@@ -45,10 +45,15 @@ def embedded(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[
     """Adds a model's vectors, asked for in batches within each task.
 
     Blank texts are an error, and so are vectors of another length than ``size``
-    or, without one, than the first of their task: the first failure ends the job.
+    or, without one, than that of the table's first text, which is asked for on
+    its own: no two tasks can give two lengths. The first failure ends the job.
     """
     if batch < 1:
         raise ValueError("batch must be 1 at least")
+    if size is None and not rows.isStreaming:
+        sizes = lambda frames: (frame.assign(n=[len(v) for v in model(frame["t"].tolist())])[["n"]] for frame in frames if len(frame))
+        first = rows.where(F.col(text).rlike(r"(?U)\S")).select(F.col(text).alias("t")).limit(1).mapInPandas(sizes, "n int").first()
+        size = first["n"] if first else None
 
     def run(frames):
         expected = size

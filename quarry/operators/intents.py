@@ -19,7 +19,9 @@ ALIASES = {
 #: Words that name an intent in an answer without the form asked for.
 NAMED = {"tutorial": ["tutorial"], "howto": ["howto", "how-to", "how to"], "reference": ["reference"], "explanation": ["explanation"]}
 UNSAID, THRESHOLD = 0.7, 0.6
-#: What speaks for an intent in a question, for the rules that stand in for a model.
+#: The lines of an answer.
+ANSWER = {"intent": r"(?i)Intent:\s*(\w+)", "confidence": r"(?i)Confidence:\s*([0-9.]+)", "reasoning": r"(?i)Reasoning:\s*(.+?)(?:\n|\z)", "secondary": r"(?i)Secondary:\s*(.+?)(?:\n|\z)"}
+#: What speaks for an intent in a question, for the rules that stand in for a model; ordinary phrases, some of which any question to a model names as examples.
 SIGNS = {
     "tutorial": ["getting started", "first steps", "learn", "tutorial", "beginner"], "howto": ["how to", "how do i", "how can i", "configure", "set up", "setup", "install"],
     "reference": ["api", "option", "parameter", "reference", "syntax"], "explanation": ["why", "explain", "architecture", "concept", "what is"],
@@ -48,16 +50,16 @@ def parsed(answer: Column, threshold: float = THRESHOLD, multi: bool = False) ->
     stay. A confidence below the threshold is an error, and so is no answer.
     """
     low = F.lower(answer)
-    said = F.regexp_extract(answer, r"(?i)Intent:\s*(\w+)", 1)
+    said = F.regexp_extract(answer, ANSWER["intent"], 1)
     anywhere = F.lit(None).cast("string")
     for intent in reversed(INTENTS):
         anywhere = F.when(any_of(low, NAMED[intent]), intent).otherwise(anywhere)
     intent = F.when(said != "", intent_named(said)).otherwise(anywhere)
-    number = F.regexp_extract(answer, r"(?i)Confidence:\s*([0-9.]+)", 1)
+    number = F.regexp_extract(answer, ANSWER["confidence"], 1)
     confidence = clamped(F.coalesce(number.try_cast("double"), F.lit(UNSAID)))
-    line = F.regexp_extract(answer, r"(?i)Reasoning:\s*(.+?)(?:\n|\z)", 1)
+    line = F.regexp_extract(answer, ANSWER["reasoning"], 1)
     reasoning = F.when(line != "", stripped(line)).otherwise(stripped(answer))
-    listed = F.regexp_extract(answer, r"(?i)Secondary:\s*(.+?)(?:\n|\z)", 1)
+    listed = F.regexp_extract(answer, ANSWER["secondary"], 1)
 
     def pair(x: Column) -> Column:
         parts = F.split(stripped(x), ":", -1)

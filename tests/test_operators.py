@@ -288,3 +288,26 @@ def test_saved_searches_and_long_code(spark):
     assert code.documentation_coverage(items, spark.createDataFrame([("x.toml",)], "path string")).first()["coverage"] == 0.0
     sources = spark.createDataFrame([("a.ts",), ("b.tsx",), ("c.rs",)], "path string")
     assert files.source_files(sources, "typescript").count() == 2 and files.source_files(sources, "zig").count() == 3
+
+
+def test_labels_are_relevant_without_pairs(spark):
+    """Counts of labels give what all pairs of one label give."""
+    rng = random.Random(6)
+    labels = [(k, rng.choice(["a", "a", "a", "b", "c"])) for k in range(40)] + [(40, "alone")]
+    results = [(q, d, r + 1) for q in range(0, 41, 5) for r, d in enumerate(rng.sample([k for k in range(41) if k != q], 12))]
+    of = dict(labels)
+    pairs = [(q, d) for q in {r[0] for r in results} for d, _ in labels if of[d] == of[q] and d != q]
+    found, held = spark.createDataFrame(results, "query int, doc int, rank int"), spark.createDataFrame(labels, "doc int, label string")
+    by_pairs = search.evaluated(found, spark.createDataFrame(pairs, "query int, doc int"), 10)
+    by_label = search.evaluated_by_label(found, held, 10)
+    assert sorted(map(tuple, by_label.collect())) == sorted(map(tuple, by_pairs.select(*by_label.columns).collect()))
+
+
+def test_summary_of_sections(spark):
+    from quarry.functions import text as tx
+
+    long = "A first sentence. " * 40
+    text = f"# Goal\nShort.\n## Steps\n{long}\n### End\nno stop " + "x" * 600
+    made = spark.createDataFrame([(text,), ("plain text",)], "t string").select(tx.context_summary(F.col("t"), ["Goal", "Steps", "End", "None"])).collect()
+    cut = long[:500].rpartition(".")[0] + "."
+    assert made[0][0] == f"## Goal\n\nShort.\n\n## Steps\n\n{cut}\n\n## End\n\n{('no stop ' + 'x' * 600)[:500]}\n\n" and made[1][0] == "plain text"
