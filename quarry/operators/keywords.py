@@ -138,8 +138,9 @@ def extracted(docs: DataFrame, key: str, text: str, model: Callable[[list[str]],
 
 
 def in_rollout(key: Column, percent: float, seed: int = 0) -> Column:
-    """Whether a key is among the given percent of the hash space."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < F.lit(int(min(max(percent, 0), 100)))
+    """Whether a key is among the given percent of the hash space; the hash, of the key as text, is one that any system has."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % 100 < F.lit(int(min(max(percent, 0), 100)))
 
 
 def arms(docs: DataFrame, key: str, percent: float, assigned: DataFrame | None = None) -> DataFrame:

@@ -690,11 +690,19 @@ def ab_comparison(spark, sf):
     return rounded(monitoring.comparison(e, "arm", "value"))
 
 
-@query()
+@query("""SELECT doc_id, lang, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT % 100 < 30 THEN 'treatment' ELSE 'control' END AS arm FROM documents""")
 def ab_assignment(spark, sf):
     return keywords.arms(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 30)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN (CASE WHEN doc_id % 20 = 0 THEN 'treatment' ELSE 'control' END) WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT % 100 < 30 THEN 'treatment' ELSE 'control' END AS arm FROM documents""")
+def ab_stored_arms(spark, sf):
+    """Arms where every tenth document has a stored one, which stays."""
+    d = read(spark, sf, "documents").select("doc_id")
+    stored = d.where("doc_id % 10 = 0").withColumn("arm", F.when(F.col("doc_id") % 20 == 0, "treatment").otherwise("control"))
+    return keywords.arms(d, "doc_id", 30, stored)
+
+
 @query("""SELECT line FROM (SELECT unnest(list_concat(list_transform([10, 50, 100, 250], lambda b: 'ms_bucket{le="' || b || '"} ' || len(list_filter(v, lambda x: x <= b))),
  ['ms_bucket{le="+Inf"} ' || len(v), 'ms_sum ' || printf('%.6f', s), 'ms_count ' || len(v)])) AS line FROM (SELECT list(value) AS v, sum(value) AS s FROM events))""")
 def exposition(spark, sf):
