@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.functions import quality, text as tx
+from quarry.functions import quality, text as tx, vector as vx
 from quarry.operators import chunking, incremental
 from quarry.session import scratch
 from quarry.sources.store import Store
@@ -48,6 +48,22 @@ def chunks_of(docs: DataFrame, config: chunking.ChunkerConfig | None = chunking.
     return made.join(about.drop("text"), "file_path").select(*NAMES)
 
 
+#: The simpler table: paragraphs with packed vectors and free metadata.
+PIECES = "file_path string, file_hash string, chunk_id string, content string, embedding binary, metadata string"
+
+
+def piece_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    return Store(spark, path, PIECES, "file_path", ("chunk_id",), buckets)
+
+
+def pieces_of(docs: DataFrame, vector: Callable = tx.hash_embedding) -> DataFrame:
+    """Rows of a piece store from (file_path, text) rows: a row for each paragraph; metadata is JSON."""
+    text = F.col("text")
+    each = docs.select("file_path", tx.content_hash(text).alias("file_hash"), F.size(tx.paragraphs(text)).alias("total"), F.posexplode(tx.paragraphs(text)).alias("k", "content"))
+    meta = F.to_json(F.struct(F.col("k").alias("index"), "total", F.length("content").alias("length")))
+    return each.select("file_path", "file_hash", F.concat(F.lit("chunk_"), F.col("k").cast("string")).alias("chunk_id"), "content", vx.packed(vector(F.col("content"))).alias("embedding"), meta.alias("metadata"))
+
+
 def judged(docs: DataFrame, store: DataFrame, config: chunking.ChunkerConfig | None = chunking.ChunkerConfig(), skip_existing: bool = True) -> DataFrame:
     """(file_path, text, file_hash, action, error) of every path: add, update, skip, or why it can't be ingested.
 

@@ -136,3 +136,17 @@ def language_coverage(spark, sf):
     """Items by language, and how many of their functions are public."""
     made = code.coverage(code.merged(code.structure(source_files(read(spark, sf, "documents"))), code.structure(source_files(read(spark, sf, "documents")))), "language")
     return made.select("language", "items", "public_functions")
+
+
+@query("""WITH p AS (SELECT doc_id, text, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS p FROM documents WHERE doc_id % 13 <> 0),
+n AS (SELECT doc_id, text, p, row_number() OVER (PARTITION BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
+SELECT 'doc/' || doc_id AS file_path, sha256(text) AS file_hash, count(*) AS pieces, 1536 * count(*) AS bytes, sum(length(p))::BIGINT AS chars, max(n)::BIGINT AS total, (SELECT count(*) FROM (SELECT unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) FROM documents WHERE doc_id % 13 = 0)) AS deleted FROM n GROUP BY 1, 2""")
+def piece_store(spark, sf):
+    """A store of paragraphs with packed vectors, after a deletion that says how many rows it took."""
+    d = read(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), "doc_id", "text")
+    store = ingest.piece_store(spark, scratch(spark), buckets=4)
+    store.replace(ingest.pieces_of(d))
+    gone = store.delete(d.where("doc_id % 13 = 0"))
+    total = F.get_json_object("metadata", "$.total").cast("long")
+    made = store.read().groupBy("file_path", "file_hash").agg(F.count("*").alias("pieces"), F.sum(F.octet_length("embedding")).cast("long").alias("bytes"), F.sum(F.length("content")).alias("chars"), F.max(total).alias("total"))
+    return made.withColumn("deleted", F.lit(gone).cast("long"))

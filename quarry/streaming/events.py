@@ -56,6 +56,38 @@ def changed(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repository").applyInPandasWithState(step, "repository string, kind string, before string, after string, ts timestamp", "commit string", "append", GroupStateTimeout.NoTimeout)
 
 
+COMMANDS = ("tick", "check", "pause", "resume", "stop")
+
+
+def polls(signals: DataFrame) -> DataFrame:
+    """(repository, ts, by) whenever a repository is to be looked at: at its ticks while it isn't paused, at a ``check`` also then, never after a ``stop``.
+
+    signals: repository, command (of COMMANDS; others are an error), ts. Of equal
+    times the order of COMMANDS counts.
+    """
+
+    def step(key, frames: Iterator, state: GroupState):
+        import pandas as pd
+
+        rows = pd.concat(list(frames))
+        unknown = set(rows["command"]) - set(COMMANDS)
+        if unknown:
+            raise ValueError(f"unknown commands: {sorted(map(str, unknown))}")
+        rows = rows.assign(place=rows["command"].map(COMMANDS.index)).sort_values(["ts", "place"], kind="stable")
+        (mode,) = state.get if state.exists else ("on",)
+        out = []
+        for command, ts in zip(rows["command"], rows["ts"]):
+            if mode == "stopped":
+                break
+            if command == "check" or command == "tick" and mode == "on":
+                out.append((key[0], ts, command))
+            mode = {"pause": "paused", "resume": "on", "stop": "stopped"}.get(command, mode)
+        state.update((mode,))
+        yield pd.DataFrame(out, columns=["repository", "ts", "by"])
+
+    return signals.groupBy("repository").applyInPandasWithState(step, "repository string, ts timestamp, by string", "mode string", "append", GroupStateTimeout.NoTimeout)
+
+
 def cooled(triggers: DataFrame, key: str = "repository", seconds: int = 600) -> DataFrame:
     """Triggers that come ``seconds`` or more after the last one let through for their key."""
 

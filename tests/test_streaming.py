@@ -49,3 +49,11 @@ def test_collected(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("id")).first()[0] == 3
+
+
+def test_polls_follow_commands(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    signals = [("r", "tick", 0), ("r", "pause", 1), ("r", "tick", 5), ("r", "check", 6), ("r", "resume", 7), ("r", "tick", 10), ("r", "stop", 11), ("r", "tick", 15), ("r", "check", 16), ("s", "tick", 5), ("s", "pause", 5), ("s", "tick", 6)]
+    rows = [(k, c, at(m)) for k, c, m in signals]
+    made = drained(spark, ev.polls(stream(spark, tmp_path, rows, "repository string, command string, ts timestamp")), "polls", "append").collect()
+    assert sorted((r["repository"], (r["ts"] - T0).seconds // 60, r["by"]) for r in made) == [("r", 0, "tick"), ("r", 6, "check"), ("r", 10, "tick"), ("s", 5, "tick")]
