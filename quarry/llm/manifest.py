@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import dropped, native_count, trimmed, written
+from quarry.llm.common import dropped, native_count, shared_dir, trimmed, written
 
 ARITY = 3
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -133,6 +133,9 @@ def finished(t: pa.Table, until: int | None) -> list[tuple]:
 
 def ranged(rows: DataFrame, parts: int) -> DataFrame:
     """``rows`` (grp, id, leaf, ...) sorted by group, id and leaf into ranges that stay as they are from now on, numbered as ``part``."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # a local session without one; on a cluster shared_dir asks for it
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     order = [F.col("grp").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("leaf").asc(), F.col("tie").asc()]
     placed = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return placed.drop("tie").withColumn("part", F.spark_partition_id()).checkpoint()
