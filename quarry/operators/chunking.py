@@ -138,8 +138,10 @@ def chunked(sentences_: DataFrame, config: ChunkerConfig = ChunkerConfig(), key:
     A document's sentences meet in one row: documents, not the collection, must
     fit a task. :func:`chunked_long` has no such bound.
     """
-    listed = sentences_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding"))).alias("s"))
-    return assembled(listed.select(key, with_similarities(F.col("s")).alias("s")), config, key)
+    before = F.lag("embedding").over(Window.partitionBy(key).orderBy("number"))
+    each = sentences_.withColumn("similarity", cosine(F.col("embedding"), before))
+    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "sentence", "embedding", "similarity"))).alias("s"))
+    return assembled(listed, config, key)
 
 
 def with_similarities(s: Column) -> Column:
@@ -268,13 +270,8 @@ def sentence_count(start: Column, end: Column) -> Column:
 def chunk_documents(docs: DataFrame, config: ChunkerConfig = ChunkerConfig(), key: str = "doc_id", text: str = "text", model: Callable | None = None, size: int = 384, long: bool = False) -> DataFrame:
     """Sentences, embeddings (a model's, or the hash stand-in) and chunks of documents.
 
-    Without a model a document stays in its row, and nothing moves. long: documents
-    may be too long for a row of vectors.
+    long: documents may be too long for a row of vectors.
     """
-    found = sentences(F.col(text), config.min_sentence_length)
-    if model is None and not long:
-        s = F.transform(found, lambda x, i: F.struct(i.alias("number"), x.alias("sentence"), hash_embedding(x, size).alias("embedding")))
-        return assembled(docs.select(key, with_similarities(s).alias("s")), config, key)
-    rows = docs.select(key, F.posexplode(found).alias("number", "sentence"))
+    rows = docs.select(key, F.posexplode(sentences(F.col(text), config.min_sentence_length)).alias("number", "sentence"))
     rows = rows.withColumn("embedding", hash_embedding(F.col("sentence"), size)) if model is None else embedded(rows, "sentence", model)
     return (chunked_long if long else chunked)(rows, config, key)
