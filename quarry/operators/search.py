@@ -7,7 +7,11 @@ import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions.text import tokens
 from quarry.functions.vector import cosine
@@ -51,25 +55,89 @@ def semantic_search(chunks: DataFrame, query: list[float], config: SearchConfig
     return scored.orderBy(F.desc("similarity"), *ties).limit(config.max_results)
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query", block: int = 10_000) -> DataFrame:
-    """The k nearest chunks of every row of ``queries``: all chunks against blocks of about ``block`` queries.
+VECTORS = 4096  #: vectors of a block
+NEAR = 1e-9  #: more than a product of unit vectors is off; what lies closer to the k-th one is computed again
 
-    One block, of a few MB, is sent to all tasks; more blocks are dealt to as many
-    copies of the chunks by a key of their own. Each task keeps k rows per query
-    before anything is exchanged (the window's group limit).
+
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query", block: int = 2048) -> DataFrame:
+    """The k nearest chunks of every row of ``queries``: blocks of VECTORS chunks meet blocks of about ``block`` queries.
+
+    All pairs are compared, a matrix product per pair of blocks; what may be among
+    the k best of a block is computed again as :func:`cosine` does, term by term,
+    so that equal vectors tie. A task holds two blocks and 256 queries' products,
+    and k rows per query and block are exchanged.
     """
     require(k >= 1, "k must be 1 at least")
-    asked = queries.select(F.col(query_id), F.col(query_vector))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
-    dealt = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
-    pairs = dealt.join(F.broadcast(asked) if blocks == 1 else asked, "_block").drop("_block")
-    scored = pairs.withColumn("similarity", cosine(F.col(vector), F.col(query_vector))).where(F.col("similarity").isNotNull())
+    whole = lambda c: (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())
+    asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).where(whole(F.col("_q")))
+    rows = chunks.select(chunk_id, F.col(vector).cast("array<double>").alias("_v")).where(whole(F.col("_v")))
+    blocks, cells = max(1, -(-queries.count() // block)), max(1, -(-chunks.count() // VECTORS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    met = min(blocks * cells, 1 << 15)
+    left = rows.withColumn("_cell", dealt(cells, chunk_id, "_v")).withColumn("_block", every(blocks)).repartition(met, "_cell", "_block")
+    right = asked.withColumn("_block", dealt(blocks, query_id, "_q")).withColumn("_cell", every(cells)).repartition(met, "_cell", "_block")
+    schema = StructType([StructField(query_id, queries.schema[query_id].dataType), StructField(chunk_id, chunks.schema[chunk_id].dataType), StructField("similarity", DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = nearest(a.column(chunk_id), a.column("_v"), b.column("_q"), k)
+        return pa.table([b.column(query_id).take(found[0]), a.column(chunk_id).take(found[1]), found[2]], [query_id, chunk_id, "similarity"])
+
+    scored = left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInArrow(run, schema)
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), chunk_id)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity", "rank")
 
 
+def nearest(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, asked: pa.ChunkedArray, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(place of the query, place of the vector, cosine) of each query's k nearest vectors, ties to smaller ids."""
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    # sums in the order of the components: those of ``dot``, bit by bit
+    dot_ = lambda x, y: np.cumsum(x * y, axis=1)[:, -1] + 0.0
+    out: list[tuple] = []
+
+    def of_size(lists: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(pc.list_value_length(lists).to_numpy() == size)
+        x = pc.list_flatten(lists.take(pa.array(at))).to_numpy().reshape(-1, size)
+        n = np.sqrt(dot_(x, x)) if len(x) else np.empty(0)
+        good = n > 0
+        return at[good], x[good], n[good]
+
+    for size in pc.unique(pc.list_value_length(asked)).to_pylist():
+        with np.errstate(all="ignore"):
+            at, x, n = of_size(vectors, size)
+            q_at, q, qn = of_size(asked, size)
+            # of equal vectors the k first ones count, and no others
+            seen: dict[bytes, int] = {}
+            kept = []
+            for j in np.argsort(place[at], kind="stable"):
+                own = x[j].tobytes()
+                seen[own] = seen.get(own, 0) + 1
+                if seen[own] <= k:
+                    kept.append(j)
+            at, x, n = at[kept], x[kept], n[kept]
+            if not len(x):
+                continue
+            usual = lambda v: (v > 1e-100) & (v < 1e100)
+            unit = np.where(usual(n)[:, None], x / n[:, None], 0.0)
+            for a in range(0, len(q), 256):
+                some, odd = slice(a, a + 256), ~usual(qn[a : a + 256])
+                products = np.where(odd[:, None], 0.0, q[some] / qn[some, None]) @ unit.T
+                products[:, ~usual(n)] = -np.inf
+                limit = np.partition(products, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else -np.inf
+                i, j = np.nonzero((products >= limit - NEAR) | odd[:, None] | ~usual(n))
+                exact = [dot_(q[a + i[c : c + 65536]], x[j[c : c + 65536]]) / (qn[a + i[c : c + 65536]] * n[j[c : c + 65536]]) for c in range(0, len(i), 65536)]
+                value = np.concatenate(exact) if exact else np.empty(0)
+                held = ~np.isnan(value) & (qn[a + i] * n[j] > 0)
+                i, j, value = i[held], j[held], value[held]
+                order = np.lexsort((place[at[j]], -value, i))
+                i, j, value = i[order], j[order], value[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((q_at[a + i[first]], at[j[first]], value[first]))
+    parts = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return tuple(map(pa.array, parts))
+
+
 @dataclass(frozen=True)
 class SavedSearch:
     """A search that a user keeps; creating or updating one checks its names and the request itself."""

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.vector import cosine
 from quarry.operators import analytics, chunking, code, crossref, incremental, intents, keywords, monitoring, prompts, search
 from quarry.sources import files
 
@@ -265,6 +266,24 @@ def test_batch_search_in_blocks(spark):
     assert one == many and len(one) == 60
 
 
+def test_batch_search_of_odd_vectors_and_copies(spark, monkeypatch):
+    """Blocks of products, not pairs; equal vectors tie in the order of their ids, whatever block they are in; odd ones are as in the definition."""
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(9)]
+    odd = [None, [], [0.0] * 7, [None] * 7, [1.0, 2.0], [float("nan")] * 7, [float("inf")] + [1.0] * 6, [1e-200] * 7, [1e200] * 7, [1e-90] + [0.0] * 6]
+    rows = [(f"k{rng.randrange(10**6)}-{k}", v) for k, v in enumerate([x for x in base for _ in range(40)] + odd * 2 + [[3.0 * y for y in x] for x in base])]
+    made = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, v) for k, v in enumerate(base + odd)], "query_id int, query array<double>")
+    pairs = made.crossJoin(asked).select("query_id", "id", cosine(F.col("embedding"), F.col("query")).alias("s")).where("s is not null").collect()
+    want = sorted((q, i, s, r) for q in range(len(base + odd)) for r, (s, i) in enumerate(sorted(((p["s"], p["id"]) for p in pairs if p["query_id"] == q), key=lambda x: (-x[0], x[1]))[:6], 1))
+    for block, size in ((100, 4096), (4, 100)):
+        monkeypatch.setattr(search, "VECTORS", size)
+        found = search.batch_search(made, asked, 6, "id", block=block)
+        assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "BroadcastHashJoin" not in plan
+        assert sorted(map(tuple, found.select("query_id", "id", "similarity", "rank").collect())) == want
+    assert len(want) > 60
+
+
 def test_links_as_groups_are_all_links(spark):
     rng = random.Random(5)
     docs = spark.createDataFrame([(f"t{rng.randrange(25)}", rng.choice(["tutorial", "how-to", "reference", "explanation", "none"]), f"s{k}") for k in range(60)], "title string, category string, slug string")
