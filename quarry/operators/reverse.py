@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators.chunking import stable
 from quarry.operators.search import BoolQuery, Filters, Match, MultiMatch, Options, QueryError, Range, Request, SavedSearch, Term, require
 
 ANY = ""  #: the key of every document
@@ -164,6 +165,38 @@ def matched(docs: DataFrame, index: DataFrame, of: Column, ids: list[str], value
     return met.where(once & fulfilled(F.col("_of"), F.col("_values"))).select("_ids.*", "_doc.*")
 
 
+def tallied(docs: DataFrame, subscriptions: DataFrame, lists: dict[str, str], ids: list[str], value: str, several: tuple[str, ...] = ("tags",)) -> DataFrame:
+    """(ids, n, total): how many documents fulfil each subscription, and the sum of their ``value``, without a row per pair.
+
+    Subscriptions that ask for the same are one predicate. Those that ask by the same
+    lists can't tell documents apart that hold the same in these fields: for each
+    such set of lists, documents are grouped by what they hold that anything asks for, and
+    predicates meet the groups. lists: as of :func:`of_subscriptions`; several: fields that are arrays.
+    """
+    clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.col(c).cast("array<string>"), lambda v: v.isNotNull())))
+    subs = subscriptions.select(*ids, *[clean(c).alias(c) for c in lists])
+    kind = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in lists])
+    subs = subs.withColumn("_kind", kind).withColumn("_asked", F.to_json(F.struct(*lists)))
+    asked = stable(subs.groupBy("_kind", "_asked").agg(*[F.first(c).alias(c) for c in lists]))
+    held_ = docs.select(F.col(value).alias("_value"), *[clean(f).alias(f) if f in several else F.col(f).cast("string").alias(f) for f in lists.values()])
+    for c, f in lists.items():
+        if f not in several:
+            wanted = asked.select(F.explode(c).alias(f)).distinct().withColumn("_in", F.lit(True))
+            held_ = held_.join(wanted, f, "left").withColumn(f, F.when(F.col("_in"), F.col(f))).drop("_in")
+    each = held_.join(F.broadcast(asked.select("_kind").distinct()))  # at most a row for each set of lists
+    own = lambda v: F.concat("_kind", F.lit("/"), v)
+    owned = lambda c: F.transform(c, own)
+    for k, f in enumerate(lists.values(), 1):
+        counts = F.substring("_kind", k, 1) == "1"
+        each = each.where(~counts | F.col(f).isNotNull()).withColumn(f, F.when(counts, owned(f) if f in several else own(F.col(f))))
+    groups = stable(each.groupBy("_kind", *lists.values()).agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total")))
+    of = held(["_kind", *(f for f in lists.values() if f not in several)], [f for f in lists.values() if f in several])
+    predicates = asked.select("_asked", F.array("_kind").alias("_kinds"), *[owned(c).alias(c) for c in lists])
+    index = stable(indexed(of_subscriptions(predicates, {"_kinds": "_kind"} | lists), frequencies(groups, of)))
+    found = matched(groups, index, of, ["_asked"]).groupBy("_asked").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return subs.select(*ids, "_asked").join(found, "_asked").groupBy(*ids).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 # -- saved searches as data --------------------------------------------------
 
 SAVED = "search_id string, user_id string, name string, description string, request string, created_at timestamp, updated_at timestamp"

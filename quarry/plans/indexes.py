@@ -66,7 +66,7 @@ SUBSCRIPTIONS = f"""s AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 3 >
 SELECT sub_id, count(*) AS updates, sum(doc_id)::BIGINT AS ids FROM s JOIN d ON (categories IS NULL OR list_contains(categories, category)) AND (repositories IS NULL OR list_contains(repositories, repository))
   AND (document_ids IS NULL OR list_contains(document_ids, doc_id::VARCHAR)) AND (s.tags IS NULL OR list_has_any(s.tags, d.tags)) GROUP BY 1""")
 def subscription_matches(spark, sf):
-    """Documents for every customer's subscription, as counts: candidates by the rarest list, then checked in full."""
+    """Documents for every customer's subscription, as counts: equal subscriptions and equal documents are one row each."""
     c, k = read(spark, sf, "customer"), F.col("c_custkey")
     src = lambda x: F.concat(F.lit("src"), x.cast("string"))
     subs = c.select(
@@ -75,11 +75,8 @@ def subscription_matches(spark, sf):
         F.when(k % 6 == 0, F.array(F.lit("en"), F.lit("fr"))).when(k % 6 == 1, F.array().cast("array<string>")).when(k % 6 == 2, F.array(F.lit("de"))).alias("tags"),
     )
     docs = read(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), CATEGORY(F.col("doc_id")).alias("category"), F.col("source").alias("repository"), F.array("lang").alias("tags"))
-    of = reverse.held(["category", "repository", "document_id"], ["tags"])
     lists = {"categories": "category", "repositories": "repository", "document_ids": "document_id", "tags": "tags"}
-    index = reverse.indexed(reverse.of_subscriptions(subs, lists), reverse.frequencies(docs, of))
-    found = reverse.matched(docs, index, of, ["sub_id"])
-    return found.groupBy("sub_id").agg(F.count("doc_id").alias("updates"), F.sum("doc_id").alias("ids"))
+    return reverse.tallied(docs, subs, lists, ["sub_id"], "doc_id").select("sub_id", F.col("n").alias("updates"), F.col("total").alias("ids"))
 
 
 @query(f"""WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> '')[1:3] AS w, 'src' || (item_id % 20) AS source FROM benchmark),

@@ -115,3 +115,25 @@ def test_a_hot_key_and_nothing_asked(spark):
     assert index.where("key = 'category=hot'").count() == 0  # the rare list is the entry: 300 candidates, not 90 000
     assert reverse.matched(docs, index, of, ["sub_id"]).count() == 300
     assert reverse.matched(docs.limit(0), index, of, ["sub_id"]).collect() == [] and reverse.matched(docs, index.limit(0), of, ["sub_id"]).collect() == []
+
+
+def test_tallies_are_those_of_the_pairs_without_making_them(spark):
+    rng = random.Random(8)
+    some = lambda values: rng.choice([None, None, [], [None, "x"], *[rng.choices(values, k=2) for _ in range(4)]])
+    subs = spark.createDataFrame([("c", k % 140, some(list("abc")), some(["r1", "r2"]), some([f"d{k}" for k in range(20)]), some(["t1", "t2", "t3"])) for k in range(150)], SUBS)
+    kinds = [(rng.choice([None, *"abcd"]), rng.choice([None, "r1", "r2"]), rng.choice([None, [], [None], ["t1", "t2"], ["t2", "t1"], ["t3"]])) for _ in range(12)]
+    rows = [(f"d{k % 90}", *kinds[k % 12], "own", k) for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS + ", n long")
+    lists = {"categories": "category", "repositories": "repository", "document_ids": "document_id", "tags": "tags"}
+    of = reverse.held(["category", "repository", "document_id"], ["tags"])
+    pairs = reverse.matched(docs, reverse.indexed(reverse.of_subscriptions(subs, lists)), of, ["sub_id"])
+    want = sorted(tuple(r) for r in pairs.groupBy("sub_id").agg(F.count("*"), F.sum("n")).collect())
+    assert sorted(tuple(r) for r in reverse.tallied(docs, subs, lists, ["sub_id"], "n").collect()) == want and len(want) > 20
+
+
+def test_tallies_of_hot_groups(spark):
+    """Half a million subscriptions to what half a million documents are: pairs would never end."""
+    subs = spark.range(500_000).select(F.col("id").alias("sub_id"), F.array(F.lit("hot")).alias("categories"), F.when(F.col("id") % 1000 == 0, F.array(F.col("id").cast("string"))).alias("document_ids"))
+    docs = spark.range(500_000).select("id", F.col("id").cast("string").alias("document_id"), F.lit("hot").alias("category"))
+    made = reverse.tallied(docs, subs, {"categories": "category", "document_ids": "document_id"}, ["sub_id"], "id", several=())
+    assert made.agg(F.count("*"), F.sum("n"), F.max("total")).first()[:] == (500_000, 499_500 * 500_000 + 500, 499_999 * 250_000)
