@@ -18,17 +18,23 @@ add documents at once, and readers see one state.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators.chunking import runs_of
 from quarry.sources.log import Log
 
 RANGE = 1 << 16  #: ids of a block
 SENT = 100_000  #: dead ids that are sent to every task; more are joined by an exchange
 POSTINGS = "term string, range long, first long, docs array<int>, counts array<int>, sizes array<int>, n int"
 LIVE = "doc long, size int"
+EACH = "doc long, size int, term string, count int"
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,27 @@ class Ranking:
     b: float = 0.75
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, size, term, count) of rows (doc, size, terms)."""
+    for batch in batches:
+        lists = batch.column(2)
+        words, row = pc.list_flatten(lists).dictionary_encode(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        n = max(len(words.dictionary), 1)
+        pair, count = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+        at = pa.array(pair // n)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), words.dictionary.take(pa.array(pair % n)), pa.array(count.astype(np.int32))], ["doc", "size", "term", "count"])
+
+
+def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting blocks of sorted rows (term, range, doc, count, size, bucket, first); a block is at most RANGE rows."""
+    for rows, starts in runs_of(batches, 2):
+        at, first = pa.array(starts), rows.column(6).to_numpy()
+        ends = pa.array(np.r_[starts, rows.num_rows].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, c) for c in (pa.array((rows.column(2).to_numpy() - first).astype(np.int32)), rows.column(3), rows.column(4))]
+        made = [rows.column(0).take(at), rows.column(1).take(at), pa.array(first[starts]), *lists, pa.array(np.diff(np.r_[starts, rows.num_rows]).astype(np.int32)), rows.column(5).take(at)]
+        yield pa.RecordBatch.from_arrays(made, ["term", "range", "first", "docs", "counts", "sizes", "n", "bucket"])
+
+
 class TextIndex(Log):
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         super().__init__(spark, path)
@@ -59,13 +86,13 @@ class TextIndex(Log):
         without terms is indexed as an empty one.
         """
         listed = F.filter(F.coalesce(tokens(F.col(text)) if terms is None else terms, F.array().cast("array<string>")), lambda t: t.isNotNull())
-        one = F.max_by("terms", F.struct(F.size("terms"), F.to_json("terms"))).alias("terms")
-        fresh = docs.select(docs[id_column].cast("long").alias("doc"), listed.alias("terms")).where("doc is not null").groupBy("doc").agg(one)
+        rows = docs.select(docs[id_column].cast("long").alias("doc"), listed.alias("terms")).where("doc is not null")
+        fresh = rows.groupBy("doc").agg(F.max(F.struct(F.size("terms").alias("size"), "terms")).alias("most")).select("doc", "most.size", "most.terms")
         known = self.manifest()
         folder = f"v-{uuid.uuid4().hex}"
-        each = fresh.select("doc", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("doc", "size", "term").agg(F.count("*").cast("int").alias("count"))
-        self._lay(each, f"{self.path}/{folder}/postings", known["buckets"])
-        fresh.select("doc", F.size("terms").alias("size")).sort("doc").write.parquet(f"{self.path}/{folder}/live")
+        self._lay(fresh.mapInArrow(counted, EACH), f"{self.path}/{folder}/postings", known["buckets"])
+        # the size of the row that counts is the largest, for which no terms are exchanged
+        rows.groupBy("doc").agg(F.max(F.size("terms")).alias("size")).sort("doc").write.parquet(f"{self.path}/{folder}/live")
         live = self._live(folder)
         gone = live.select("doc")
         gone = (gone if removed is None else gone.unionByName(removed.select(removed[id_column].cast("long").alias("doc")).where("doc is not null"))).distinct()
@@ -118,16 +145,13 @@ class TextIndex(Log):
 
     def _lay(self, each: DataFrame, path: str, buckets: int) -> None:
         """Writes (doc, size, term, count) rows as posting blocks in buckets of their term."""
-        ranged = each.withColumn("range", F.floor(F.col("doc") / RANGE).cast("long"))
-        blocks = ranged.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("doc", "count", "size"))).alias("p"))
-        first = F.col("range") * RANGE
-        laid = blocks.select(
-            "term", "range", first.alias("first"), F.transform("p", lambda x: (x["doc"] - first).cast("int")).alias("docs"), F.transform("p", lambda x: x["count"]).alias("counts"),
-            F.transform("p", lambda x: x["size"]).alias("sizes"), F.size("p").alias("n"), self._bucket(F.col("term"), buckets).alias("bucket"),
-        )
-        # by term and range: a bucket's file is one per task, and a frequent term's blocks are many rows of several tasks
-        sorted_ = laid.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
-        sorted_.write.partitionBy("bucket").option("parquet.writer.version", "PARQUET_2_0").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+        ranged = each.select("term", F.floor(F.col("doc") / RANGE).cast("long").alias("range"), "doc", "count", "size", self._bucket(F.col("term"), buckets).alias("bucket"))
+        ranged = ranged.withColumn("first", F.col("range") * RANGE)
+        # a bucket is several tasks with a file each, which a frequent term's blocks are dealt to
+        pieces = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+        dealt = ranged.withColumn("_piece", F.pmod(F.xxhash64("range", "term"), F.lit(pieces))).repartition(buckets * pieces, "bucket", "_piece").drop("_piece")
+        laid = dealt.sortWithinPartitions("bucket", "term", "range", "doc").mapInArrow(blocked, f"{POSTINGS}, bucket int")
+        laid.write.partitionBy("bucket").option("parquet.writer.version", "PARQUET_2_0").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
 
     # -- reading -------------------------------------------------------------
 

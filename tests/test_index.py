@@ -139,3 +139,25 @@ def test_lost_entry(spark, tmp_path):
     sorted((tmp_path / "i" / "_log").glob("0*.json"))[-1].unlink()
     with pytest.raises(ValueError, match="lost"):
         index.holding(["a"])
+
+
+def test_postings_are_laid_as_a_stream(spark, tmp_path, monkeypatch):
+    """Words of a document are counted where it lies, and blocks built of sorted rows: no lists are collected, no JSON is made of texts, batches may cut a block."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().toString()), write(self, *a, **k))[1])
+    monkeypatch.setattr(ix, "RANGE", 16)
+    docs = {k: " ".join(["hot"] * (k % 3 + 1) + [f"w{k % 7}"]) for k in range(100)}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        index = TextIndex(spark, str(tmp_path / "i"), buckets=3)
+        index.put(frame(spark, docs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert plans and not any(x in p for p in plans for x in ("collect_list", "to_json"))
+    blocks = spark.read.schema(ix.POSTINGS).parquet(f"{index.path}/{index.manifest()['segments'][0]['folder']}/postings").where("term = 'hot'").collect()
+    assert sorted((b["first"], b["n"]) for b in blocks) == [(k, min(16, 100 - k)) for k in range(0, 100, 16)]
+    assert all(b["counts"] == [(b["first"] + o) % 3 + 1 for o in b["docs"]] and b["sizes"] == [c + 1 for c in b["counts"]] for b in blocks)
+    assert {(r["term"], r["documents"], r["occurrences"]) for r in index.terms().collect()} == {("hot", 100, 199), *((f"w{k}", len(range(k, 100, 7)), len(range(k, 100, 7))) for k in range(7))}
