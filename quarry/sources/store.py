@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.sources.log import LOG, Log
 
+ROWS = 8192  #: rows of a task that writes a bucket; a key's rows stay together
+
 
 class Conflict(RuntimeError):
     """Another writer has changed the same buckets since this commit began."""
@@ -88,12 +90,15 @@ class Store(Log):
             if not touched:
                 return Committed(known["version"])
             kept = self._rows(known, touched).join(gone, self.key, "left_anti").select(*names)
-            laid = kept.unionByName(fresh).withColumn("bucket", self.bucket(F.col(self.key), n)).repartition("bucket").sortWithinPartitions("bucket", self.key, *self.order)
+            # counts of files, which Parquet keeps in their footers
+            before, added = self._rows(known, touched).count(), fresh.count()
+            pieces = max(1, -(-(before + added) // (len(touched) * ROWS)))  # tasks, and files, of a bucket
+            dealt = kept.unionByName(fresh).withColumn("bucket", self.bucket(F.col(self.key), n)).withColumn("_piece", F.pmod(F.xxhash64(F.lit("piece"), self.key), F.lit(pieces)))
+            laid = dealt.repartition(min(n * pieces, 1 << 15), "bucket", "_piece").drop("_piece").sortWithinPartitions("bucket", self.key, *self.order)
             laid.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(f"{self.path}/{folder}")
             mine = {b: folder for b in touched if self._fs.exists(self._path(f"{self.path}/{folder}/bucket={b}"))}
             state = {"buckets": n, "folders": {str(b): f for b, f in mine.items()}}
-            # counts of files, which Parquet keeps in their footers
-            before, after, added = self._rows(known, touched).count(), self._rows(state).count(), fresh.count()
+            after = self._rows(state).count()
         finally:
             self._fs.delete(self._path(staged), True)
         version = self._commit(known, touched, mine, folder)

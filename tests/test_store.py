@@ -4,6 +4,7 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import chunking, ingest
 from quarry.sources.store import Conflict, Store
@@ -157,3 +158,17 @@ def test_ingest_with_chunks_and_a_source_that_changes(spark, tmp_path):
     both = lambda df: sorted((r["file_path"], r["chunk_index"], r["content"], r["total_chunks"]) for r in df.collect())
     assert both(store.read()) == both(want)
     assert not [p.name for p in (tmp_path / "c").iterdir() if p.name.startswith(("_report", "_staged"))]
+
+
+def test_a_bucket_is_many_tasks(spark, tmp_path, monkeypatch):
+    """A task that writes reads so many rows, not a whole bucket; a key stays in one file."""
+    from quarry.sources import store as module
+
+    monkeypatch.setattr(module, "ROWS", 20)
+    kept = Store(spark, str(tmp_path / "t"), "file_path string, k int", "file_path", ("k",), buckets=2)
+    rows = spark.createDataFrame([(f"f{j // 2}", j) for j in range(400)], "file_path string, k int")
+    assert kept.replace(rows).added == 400
+    files = kept.read().select(F.input_file_name().alias("f"), "file_path").distinct().collect()
+    assert len({r["f"] for r in files}) > 8 and len(files) == 200
+    assert kept.delete(rows.where("k < 100").select("file_path")) == 100 and kept.read().count() == 300
+    assert [r["k"] for r in kept.rows_of("f70").collect()] == [140, 141]
