@@ -25,6 +25,7 @@ from quarry.operators.search import BoolQuery, Filters, Match, MultiMatch, Optio
 
 ANY = ""  #: the key of every document
 SENT = 50_000  #: index rows that are sent to every task; more are joined by an exchange
+CELL = 256  #: predicates of one key that a document meets as one row
 PREDICATES = "needs array<array<string>>, never array<array<string>>, some array<array<string>>, least int, ranges array<struct<field: string, low: double, high: double>>"
 
 
@@ -141,28 +142,43 @@ def indexed(predicates: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("key", F.explode(F.coalesce("entry", F.array(F.lit(ANY)))))
 
 
-def fulfilled(of: Column, values: Column) -> Column:
-    """Whether the keys and numbers of a document fulfil the predicate in its columns."""
+def fulfilled(asks: Column, of: Column, values: Column) -> Column:
+    """Whether the keys and numbers of a document fulfil the predicate in the struct ``asks``."""
     touches = lambda g: F.coalesce(F.arrays_overlap(g, of), F.lit(False))
     inside = lambda r: F.coalesce((r["low"].isNull() | (F.element_at(values, r["field"]) >= r["low"])) & (r["high"].isNull() | (F.element_at(values, r["field"]) <= r["high"])) & F.element_at(values, r["field"]).isNotNull(), F.lit(False))
-    return F.forall("needs", touches) & ~F.exists("never", touches) & (F.size(F.filter("some", touches)) >= F.col("least")) & F.forall("ranges", inside)
+    return F.forall(asks["needs"], touches) & ~F.exists(asks["never"], touches) & (F.size(F.filter(asks["some"], touches)) >= asks["least"]) & F.forall(asks["ranges"], inside)
+
+
+def celled(index: DataFrame, ids: list[str]) -> DataFrame:
+    """A row per key of an index and about CELL of its predicates: ``_key``, ``_asks`` (they, as structs) and ``_asked`` (all keys that they name)."""
+    hot = index.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL)  # at most a row for CELL rows of the index
+    cell = F.coalesce(F.pmod(F.xxhash64(*ids, "needs", "some"), F.ceil(F.col("_n") / CELL)), F.lit(0))
+    asks = F.struct(F.struct(*ids).alias("ids"), "needs", "never", "some", "least", "ranges", "entry")
+    cells = index.join(F.broadcast(hot), "key", "left").groupBy(F.col("key").alias("_key"), cell.alias("_cell")).agg(F.collect_list(asks).alias("_asks"))
+    named = F.transform("_asks", lambda a: F.flatten(F.concat(a["needs"], a["never"], a["some"])))
+    return cells.select("_key", "_asks", F.array_distinct(F.flatten(named)).alias("_asked"))
 
 
 def matched(docs: DataFrame, index: DataFrame, of: Column, ids: list[str], values: Column | None = None, small: bool | None = None) -> DataFrame:
     """Columns ``ids`` of every predicate and all of every document that fulfils it, each pair once.
 
+    A document meets the predicates of a key as cells: its keys are cut to those that
+    a cell names once, and each predicate of the cell is checked against these few.
     index: of :func:`indexed`. small: whether the index is sent to all tasks; by
     default it is counted. Works on streams of documents as on tables.
     """
     if small is None:
         small = index.count() <= SENT
-    own = index.select(F.struct(*ids).alias("_ids"), *[F.col(c) for c in ("needs", "never", "some", "least", "ranges", "entry")], F.col("key").alias("_key"))
+    sent = F.broadcast if small else lambda df: df
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), of.alias("_of"), (numbers({}) if values is None else values).alias("_values"))
     dealt = row.withColumn("_key", F.explode(F.concat("_of", F.array(F.lit(ANY)))))
-    met = dealt.join(F.broadcast(own) if small else own, "_key")
+    # most keys of a text are no predicate's entry: they go before a row with all keys is made for each
+    dealt = dealt.join(sent(index.select(F.col("key").alias("_key")).distinct()), "_key", "left_semi")
+    met = dealt.join(sent(celled(index, ids)), "_key").withColumn("_met", F.array_intersect("_asked", "_of"))
     # a document may hold several keys of an entry: the first one speaks
-    once = F.col("entry").isNull() | (F.col("_key") == F.array_min(F.array_intersect("entry", "_of")))
-    return met.where(once & fulfilled(F.col("_of"), F.col("_values"))).select("_ids.*", "_doc.*")
+    once = lambda a: a["entry"].isNull() | (F.col("_key") == F.array_min(F.array_intersect(a["entry"], F.col("_met"))))
+    hits = F.filter("_asks", lambda a: once(a) & fulfilled(a, F.col("_met"), F.col("_values")))
+    return met.select(F.explode(F.transform(hits, lambda a: a["ids"])).alias("_ids"), "_doc").select("_ids.*", "_doc.*")
 
 
 def tallied(docs: DataFrame, subscriptions: DataFrame, lists: dict[str, str], ids: list[str], value: str, several: tuple[str, ...] = ("tags",)) -> DataFrame:

@@ -1,6 +1,7 @@
 """Reverse search against the nested loop: subscriptions, saved requests, and searches kept in a store."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,30 @@ def test_tallies_of_hot_groups(spark):
     docs = spark.range(500_000).select("id", F.col("id").cast("string").alias("document_id"), F.lit("hot").alias("category"))
     made = reverse.tallied(docs, subs, {"categories": "category", "document_ids": "document_id"}, ["sub_id"], "id", several=())
     assert made.agg(F.count("*"), F.sum("n"), F.max("total")).first()[:] == (500_000, 499_500 * 500_000 + 500, 499_999 * 250_000)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_key_of_more_predicates_than_a_cell(spark, monkeypatch, small):
+    monkeypatch.setattr(reverse, "CELL", 3)
+    rng = random.Random(5)
+    docs, asked = documents(spark, rng, 50), requests(rng, 24)
+    asked += [Request(bool_query=BoolQuery(must=(Term("repository", "r1"),), must_not=(Match("content", w),))) for w in WORDS]
+    want = sorted((str(k), r["id"]) for k, q in enumerate(asked) for r in q.matches(docs).select("id").collect())
+    index = reverse.indexed(reverse.of_saved(spark, {str(k): q for k, q in enumerate(asked)}))
+    cells = reverse.celled(index, ["search_id"]).collect()
+    assert sum(len(r["_asks"]) for r in cells) == index.count() and sum(r["_key"] == "repository=r1" for r in cells) > 1
+    of = reverse.held(["category", "repository"], ["tags"], ["title", "content"])
+    values = reverse.numbers({"similarity": F.col("similarity"), "updated_at": F.unix_micros("updated_at") / 1e6})
+    made = reverse.matched(docs, index, of, ["search_id"], values, small)
+    assert sorted((r["search_id"], r["id"]) for r in made.collect()) == want and len(want) > 30
+
+
+def test_keys_of_a_long_text_are_not_copied_for_each_of_them(spark):
+    """Thirty texts of 40 000 different words: a row with all keys for each key would be some 800 GB."""
+    docs = spark.range(30).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda k: F.concat(F.lit("w"), k.cast("string")))).alias("content"), F.lit("r1").alias("repository"))
+    asked = {str(k): Request(f"w{k} absent", bool_query=BoolQuery(must=(Term("repository", "r1"),))) for k in range(40)} | {"none": Request("absent", bool_query=BoolQuery(must=(Term("repository", "r1"),)))}
+    index = reverse.indexed(reverse.of_saved(spark, asked))
+    begun = time.monotonic()
+    made = reverse.matched(docs, index, reverse.held(["repository"], texts=["content"]), ["search_id"])
+    assert made.agg(F.count("*"), F.countDistinct("search_id"), F.sum("id")).first()[:] == (1200, 40, 40 * 435)
+    assert time.monotonic() - begun < 60
