@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Abbreviations whose full stops end no sentence, in the order they are looked for.
@@ -89,7 +90,8 @@ def context_chunks(text: Column, size: int, overlap: int = 0) -> Column:
     The next piece begins ``overlap`` characters before a piece's end, at least one
     after its begin; the piece that ends the text is the last. Where a piece ends
     decides where the next begins, which no built-in function walks, so an Arrow
-    function does, a batch of texts at a time.
+    function does. It holds the pieces of about a million characters at a time,
+    however many texts Spark sends at once.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
@@ -107,9 +109,20 @@ def context_chunks(text: Column, size: int, overlap: int = 0) -> Column:
             start = max(end - overlap, start + 1)
         return out
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([pieces(t) if t is not None else [] for t in texts])
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
+        for texts in batches:
+            made, held = [], 0
+            for t in texts:
+                t = t.as_py() or ""
+                made.append(pieces(t))
+                held += len(t)
+                if held >= 1 << 20:
+                    yield pa.array(made, kind)
+                    made, held = [], 0
+            if made:
+                yield pa.array(made, kind)
 
     return run(text)
 

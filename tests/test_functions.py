@@ -1,5 +1,10 @@
 """Text, vector, quality and change functions on small rows with known answers."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +84,40 @@ def test_changes(spark):
     assert one(spark, changes.update_priority(files, F.array(F.lit("a"))), t="docs/x") == "medium"
     assert [changes.retry_delay_ms(k) for k in (0, 3, 9)] == [1000, 8000, 60_000]
     assert one(spark, changes.suspicious(t), t="a <SCRIPT>") is True and one(spark, changes.traverses(t), t="%2e%2e/") is True
+
+
+CHUNKER = """
+import resource, tempfile
+import pandas as pd
+from pyspark.sql import SparkSession, functions as F
+from quarry.functions import text as tx
+home = tempfile.mkdtemp()
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", home).getOrCreate()
+peak = lambda batches: (pd.DataFrame({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]}) for _ in batches)
+before = spark.range(1).coalesce(1).mapInPandas(peak, "mb long").first()[0]
+docs = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("Some words of a text. "), 300).alias("text"))
+n = docs.select(F.explode(tx.context_chunks(F.col("text"), 1000, 50)).alias("piece")).count()
+after = spark.range(1).coalesce(1).mapInPandas(peak, "mb long").first()[0]
+print("RESULT", n, before, after, flush=True)
+"""
+
+
+def test_context_chunks_of_a_batch_are_not_held_at_once():
+    """9000 texts of 6600 characters are one Arrow batch of 59 MB; its pieces as objects and again as Arrow would be several times that."""
+    home = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", CHUNKER], capture_output=True, text=True, timeout=300, cwd=home, env=os.environ | {"PYTHONPATH": str(home), "SPARK_LOCAL_IP": "127.0.0.1"})
+    n, before, after = map(int, done.stdout.split("RESULT")[1].split())
+    assert n == 9000 * 7 and after - before < 140
+
+
+def test_context_chunks_of_many_texts_come_in_their_order(spark):
+    texts = [None, "", "a" * 2500, "x. " * 200_000, "One.\n\n" * 300, *("word " * k for k in range(400))]
+    made = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", "text", tx.context_chunks(F.col("text"), 1000, 50).alias("pieces")).collect()
+    assert len(made) == len(texts)
+    for r in made:
+        at = 0
+        for p in r["pieces"]:
+            assert 0 < len(p) <= 1000 and r["text"].startswith(p, at)
+            at += max(len(p) - 50, 1)
+        assert r["pieces"] == [] if not r["text"] else r["text"].endswith(r["pieces"][-1])
+    assert [len(p) for p in made[2]["pieces"]] == [1000, 1000, 600]
