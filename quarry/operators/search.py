@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from quarry.functions.text import tokens
 from quarry.functions.vector import cosine
@@ -55,26 +55,29 @@ def semantic_search(chunks: DataFrame, query: list[float], config: SearchConfig
     return scored.orderBy(F.desc("similarity"), *ties).limit(config.max_results)
 
 
-VECTORS = 4096  #: vectors of a block
-NEAR = 1e-9  #: more than a product of unit vectors is off; what lies closer to the k-th one is computed again
+VECTORS = 1 << 16  #: vectors of a block, at most
+COMPONENTS = 1 << 22  #: and their numbers, about
+STEP = 4096  #: vectors of a matrix product; a side of more is cut into four blocks at least, for the tasks
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query", block: int = 2048) -> DataFrame:
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query", block: int | None = None) -> DataFrame:
     """The k nearest chunks of every row of ``queries``: blocks of VECTORS chunks meet blocks of about ``block`` queries.
 
-    All pairs are compared, a matrix product per pair of blocks; what may be among
-    the k best of a block is computed again as :func:`cosine` does, term by term,
-    so that equal vectors tie. A task holds two blocks and 256 queries' products,
-    and k rows per query and block are exchanged.
+    All pairs are compared by matrix products; what may be among the k best of a
+    block is computed again as :func:`cosine` does, term by term, so that equal
+    vectors tie. A task holds two blocks and the products of 256 queries with STEP
+    chunks; a vector is exchanged once per block of the other side, in the type it
+    has, and k rows per query and block of chunks.
     """
     require(k >= 1, "k must be 1 at least")
     whole = lambda c: (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())
-    asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).where(whole(F.col("_q")))
-    rows = chunks.select(chunk_id, F.col(vector).cast("array<double>").alias("_v")).where(whole(F.col("_v")))
-    blocks, cells = max(1, -(-queries.count() // block)), max(1, -(-chunks.count() // VECTORS))
+    held = lambda df, c: F.col(c).cast("array<float>" if df.schema[c].dataType == ArrayType(FloatType(), df.schema[c].dataType.containsNull) else "array<double>")
+    asked = queries.select(query_id, held(queries, query_vector).alias("_q")).where(whole(F.col("_q")))
+    rows = chunks.select(chunk_id, held(chunks, vector).alias("_v")).where(whole(F.col("_v")))
+    blocks, cells = parts(asked, "_q", block or VECTORS), parts(rows, "_v", VECTORS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    met = min(blocks * cells, 1 << 15)
+    met = min(4 * blocks * cells, 1 << 15) if blocks * cells > 1 else 1  # four times, so that few meet in one task by chance
     left = rows.withColumn("_cell", dealt(cells, chunk_id, "_v")).withColumn("_block", every(blocks)).repartition(met, "_cell", "_block")
     right = asked.withColumn("_block", dealt(blocks, query_id, "_q")).withColumn("_cell", every(cells)).repartition(met, "_cell", "_block")
     schema = StructType([StructField(query_id, queries.schema[query_id].dataType), StructField(chunk_id, chunks.schema[chunk_id].dataType), StructField("similarity", DoubleType())])
@@ -88,21 +91,31 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, q
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, chunk_id, "similarity", "rank")
 
 
+def parts(rows: DataFrame, vector: str, most: int) -> int:
+    """Blocks of a side: of ``most`` rows and COMPONENTS numbers, or smaller ones where few would be left to do at a time."""
+    n, size = rows.agg(F.count("*"), F.sum(F.size(vector))).first()
+    return max(1, -(-n // most), -(-(size or 0) // COMPONENTS), min(4, n // STEP))
+
+
 def nearest(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, asked: pa.ChunkedArray, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
     """(place of the query, place of the vector, cosine) of each query's k nearest vectors, ties to smaller ids."""
     place = np.empty(len(ids), np.int64)
     place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
     # sums in the order of the components: those of ``dot``, bit by bit
-    dot_ = lambda x, y: np.cumsum(x * y, axis=1)[:, -1] + 0.0
+    dot_ = lambda x, y: np.cumsum(np.multiply(x, y, dtype=np.float64), axis=1)[:, -1] + 0.0
+    usual = lambda v: (v > 1e-100) & (v < 1e100)
     out: list[tuple] = []
 
     def of_size(lists: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(pc.list_value_length(lists).to_numpy() == size)
         x = pc.list_flatten(lists.take(pa.array(at))).to_numpy().reshape(-1, size)
-        n = np.sqrt(dot_(x, x)) if len(x) else np.empty(0)
+        n = np.concatenate([np.empty(0), *(np.sqrt(dot_(y, y)) for y in (x[c : c + STEP] for c in range(0, len(x), STEP)))])
         good = n > 0
         return at[good], x[good], n[good]
 
+    def unit(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.where(usual(m)[:, None], y / m[:, None], 0.0).astype(np.float32) for y, m in ((x[c : c + STEP], n[c : c + STEP]) for c in range(0, len(x), STEP))])
+
     for size in pc.unique(pc.list_value_length(asked)).to_pylist():
         with np.errstate(all="ignore"):
             at, x, n = of_size(vectors, size)
@@ -116,26 +129,43 @@ def nearest(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, asked: pa.ChunkedArr
                 if seen[own] <= k:
                     kept.append(j)
             at, x, n = at[kept], x[kept], n[kept]
-            if not len(x):
+            if not len(x) or not len(q):
                 continue
-            usual = lambda v: (v > 1e-100) & (v < 1e100)
-            unit = np.where(usual(n)[:, None], x / n[:, None], 0.0)
+            units, q_units, odd_x, odd_q = unit(x, n), unit(q, qn), ~usual(n), ~usual(qn)
+            # more than two products of unit vectors in single precision are off together
+            near = (size + 8) * 2.0**-22
             for a in range(0, len(q), 256):
-                some, odd = slice(a, a + 256), ~usual(qn[a : a + 256])
-                products = np.where(odd[:, None], 0.0, q[some] / qn[some, None]) @ unit.T
-                products[:, ~usual(n)] = -np.inf
-                limit = np.partition(products, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else -np.inf
-                i, j = np.nonzero((products >= limit - NEAR) | odd[:, None] | ~usual(n))
-                exact = [dot_(q[a + i[c : c + 65536]], x[j[c : c + 65536]]) / (qn[a + i[c : c + 65536]] * n[j[c : c + 65536]]) for c in range(0, len(i), 65536)]
-                value = np.concatenate(exact) if exact else np.empty(0)
-                held = ~np.isnan(value) & (qn[a + i] * n[j] > 0)
-                i, j, value = i[held], j[held], value[held]
-                order = np.lexsort((place[at[j]], -value, i))
-                i, j, value = i[order], j[order], value[order]
-                first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((q_at[a + i[first]], at[j[first]], value[first]))
-    parts = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return tuple(map(pa.array, parts))
+                some = slice(a, a + 256)
+                limit = np.full(len(q[some]), -np.inf)
+                i, j, value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                for c in range(0, len(x), STEP):
+                    products = q_units[some] @ units[c : c + STEP].T
+                    products[:, odd_x[c : c + STEP]] = -np.inf
+                    width = products.shape[1]
+                    if not c and width > k:
+                        limit = np.partition(products, width - k, axis=1)[:, width - k].astype(np.float64)
+                        limit[odd_q[some]] = -np.inf
+                    more = products >= (limit - near).astype(np.float32)[:, None]
+                    more[:, odd_x[c : c + STEP]] = True
+                    more[odd_q[some]] = True
+                    new_i, new_j = np.nonzero(more)
+                    if not len(new_i):
+                        continue
+                    new_j += c
+                    pieces = [(a + new_i[p : p + 65536], new_j[p : p + 65536]) for p in range(0, len(new_i), 65536)]
+                    exact = np.concatenate([dot_(q[y], x[z]) / (qn[y] * n[z]) for y, z in pieces])
+                    valid = ~np.isnan(exact) & (qn[a + new_i] * n[new_j] > 0)
+                    i, j, value = (np.concatenate([u, v[valid]]) for u, v in ((i, new_i), (j, new_j), (value, exact)))
+                    order = np.lexsort((place[at[j]], -value, i))
+                    i, j, value = i[order], j[order], value[order]
+                    number = np.arange(len(i)) - np.searchsorted(i, i)
+                    last = number == k - 1
+                    limit[i[last]] = value[last]
+                    first = number < k
+                    i, j, value = i[first], j[first], value[first]
+                out.append((q_at[a + i], at[j], value))
+    parts_ = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return tuple(map(pa.array, parts_))
 
 
 @dataclass(frozen=True)
@@ -374,12 +404,14 @@ def evaluated(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
-def evaluated_by_label(results: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+def evaluated_by_label(results: DataFrame, labels: DataFrame, k: int, alone: bool = True) -> DataFrame:
     """:func:`evaluated` where what shares the query's label is relevant to it: labels are counted and compared, no pairs are made.
 
-    results: query, doc, rank; labels: doc, label, of queries too. A query isn't relevant to itself.
+    results: query, doc, rank; labels: doc, label, of queries too. A query isn't relevant to itself;
+    one whose label nothing else has counts as a miss, or not at all unless ``alone``.
     """
     known = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    known = known if alone else known.where("n_relevant > 0")
     asked = labels.select(F.col("doc").alias("query"), F.col("label").alias("q_label"))
     hits = results.join(labels, "doc").join(asked, "query").withColumn("hit", F.when((F.col("label") == F.col("q_label")) & (F.col("doc") != F.col("query")), 1))
     each = hits.groupBy("query", "q_label").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("hit"))), F.lit(0)).alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
